@@ -44,4 +44,4 @@ def load_all() -> None:
         importlib.import_module(f"textprep.plans.{mod}")
 
 
-MODULES = ["q_prep"]
+MODULES = ["q_prep", "q_clean"]
