@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textprep.session import small_side
+from textprep.session import checkpointed, small_side
 
 
 def argmax(logits) -> Column:
@@ -25,7 +25,10 @@ def confusion(pred: DataFrame, label_col: str = "label", pred_col: str = "pred")
 
 def per_class(conf: DataFrame) -> DataFrame:
     """Per class over the union of true and predicted classes: support, predicted, hits,
-    precision, recall, f1 (0 where undefined, as scikit-learn's report with zero division 0)."""
+    precision, recall, f1 (0 where undefined, as scikit-learn's report with zero division 0).
+    The confusion table (at most C x C rows) is materialised once, so the three reductions
+    below and the report rows built on them never re-read the predictions."""
+    conf = checkpointed(conf)
     true_n = conf.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
     pred_n = conf.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
     hits = conf.filter(F.col("label") == F.col("pred")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
@@ -47,7 +50,7 @@ def classification_report(conf: DataFrame) -> DataFrame:
     """M3: rows per class (``row`` = class as text) plus ``accuracy``, ``macro avg`` and
     ``weighted avg`` rows, columns ``precision, recall, f1, support`` (the accuracy row carries
     the accuracy in ``f1`` and nulls in precision / recall, like the printed report)."""
-    pc = per_class(conf)
+    pc = checkpointed(per_class(conf))
     classes = pc.select(F.col("cls").cast("string").alias("row"), "precision", "recall", "f1", "support")
     tot = pc.agg(
         F.sum("support").alias("N"),
@@ -74,7 +77,7 @@ def classification_report(conf: DataFrame) -> DataFrame:
 def report_rows(conf: DataFrame, num_classes: int) -> DataFrame:
     """M4: one row per class ``0..C-1`` (a class absent from both sides gets zeros)."""
     spark = conf.sparkSession
-    pc = per_class(conf)
+    pc = checkpointed(per_class(conf))
     return spark.range(num_classes).select(F.col("id").cast("int").alias("cls")).join(pc, "cls", "left").select(
         "cls", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("precision", "recall", "f1", "support")]
     )
