@@ -18,6 +18,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textprep.functions.hashing import hex_bucket
 from textprep.session import checkpointed, shuffle_partitions, small_side
@@ -102,7 +103,7 @@ def global_offsets(
     n = partitions or shuffle_partitions(df.sparkSession)
     order = _cols(order)
     d = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    schema = d.schema.add("_pid", "int").add("_loc", "long")
+    schema = T.StructType(d.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_loc", T.LongType())])
 
     def running(batches):
         from pyspark import TaskContext
