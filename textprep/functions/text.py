@@ -61,9 +61,11 @@ def py_strip(c) -> Column:
     return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
-def split_words(c) -> Column:
-    """Python ``str.split()``: split on whitespace runs, no empty words (so '' -> [])."""
-    s = py_strip(F.regexp_replace(_c(c), f"{WS_CLASS}+", " "))
+def split_words(c, cleaned: bool = False) -> Column:
+    """Python ``str.split()``: split on whitespace runs, no empty words (so '' -> []).
+    ``cleaned=True`` skips the whitespace normalisation for text that came out of
+    :func:`clean_text_full` / :func:`clean_text_basic` (single spaces, no ends)."""
+    s = _c(c) if cleaned else py_strip(F.regexp_replace(_c(c), f"{WS_CLASS}+", " "))
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
 
 
@@ -82,6 +84,9 @@ def word_windows(words, size: int, overlap: float = 0.25) -> Column:
 
 
 def chunk_text(c, size: int, overlap: float = 0.25) -> Column:
+    """C1 on a text column.  Pass a column of words to :func:`word_windows` where possible: a
+    lambda that refers to an expression re-evaluates it for every window, so callers that
+    project many rows should first materialise the words (see ``explode_chunks``)."""
     return word_windows(split_words(c), size, overlap)
 
 

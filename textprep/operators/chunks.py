@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.functions.text import chunk_text
+from textprep.functions.text import split_words, word_windows
 
 
 def explode_chunks(
@@ -16,10 +16,15 @@ def explode_chunks(
     carry: tuple[str, ...] = ("label", "cv"),
     overlap: float = 0.25,
     out_col: str = "data",
+    cleaned: bool | None = None,
 ) -> DataFrame:
     """One row per chunk: ``key, subix, data`` plus the carried columns that exist
-    (``label, cv`` for training data, nothing for test data).  A narrow ``posexplode``; no shuffle."""
+    (``label, cv`` for training data, nothing for test data).  A narrow ``posexplode``; no shuffle.
+    ``cleaned`` (default: the column name ends in ``_cleaned``) splits on single spaces only."""
     keep = [c for c in carry if c in df.columns]
-    return df.select(
-        key_col, *keep, F.posexplode(chunk_text(F.col(text_col), size, overlap)).alias("subix", out_col)
+    if cleaned is None:
+        cleaned = text_col.endswith("_cleaned")
+    words = df.select(key_col, *keep, split_words(F.col(text_col), cleaned).alias("_words"))
+    return words.select(
+        key_col, *keep, F.posexplode(word_windows(F.col("_words"), size, overlap)).alias("subix", out_col)
     ).select(key_col, F.col("subix").cast("int").alias("subix"), out_col, *keep)

@@ -80,10 +80,13 @@ def hash_rank(
 def global_rank(
     df: DataFrame, order: Sequence, rank_col: str = "rn", partitions: int | None = None
 ) -> DataFrame:
-    """1-based rank in the total order ``order`` (its last column must make it unique)."""
+    """1-based rank in the total order ``order`` (its last column must make it unique).
+
+    The input is materialised first: range partitioning samples it in a job of its own, and
+    without the copy that job and the ranking job would both recompute the upstream plan."""
     n = partitions or shuffle_partitions(df.sparkSession)
     order = _cols(order)
-    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    d = checkpointed(df).repartitionByRange(n, *order).sortWithinPartitions(*order)
     d = checkpointed(d.withColumn("_mid", F.monotonically_increasing_id()))
     d = d.withColumn("_pid", F.shiftright("_mid", POSITION_BITS))
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))

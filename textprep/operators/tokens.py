@@ -43,7 +43,7 @@ def build_vocab(texts: DataFrame, text_col: str = "text", clean: bool = True, sp
     ``(-count, word)``.  Counting is a partial aggregation; ids come from a distributed global
     rank (no single-partition window)."""
     t = clean_text_full(text_col) if clean else F.col(text_col)
-    words = texts.select(F.explode(split_words(t)).alias("token"))
+    words = texts.select(F.explode(split_words(t, cleaned=clean)).alias("token"))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_count)
     ranked = global_rank(counts, [F.col("count").desc(), F.col("token")], rank_col="_r")
     spark = texts.sparkSession

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textprep.functions.text import chunk_text, clean_text_basic, clean_text_full
+from textprep.functions.text import clean_text_basic, clean_text_full
 from textprep.operators.chunks import explode_chunks
 from textprep.operators.folds import cv_split, shuffled_folds, stratified_folds, tail_holdout
 from textprep.plans import sqltext as S
@@ -90,10 +90,9 @@ def q_p13(spark, sf_dir):
           FROM (SELECT doc_id, {S.word_windows(S.split_words('text'), 250)} AS ch FROM documents)""",
 )
 def q_c1(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(chunk_text("text", 250)).alias("subix", "chunk")).select(
-        "doc_id", F.col("subix").cast("long"), "chunk"
-    )
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ch = explode_chunks(d, 250, text_col="text", key_col="doc_id", carry=(), out_col="chunk")
+    return ch.select("doc_id", F.col("subix").cast("long"), "chunk")
 
 
 @register(

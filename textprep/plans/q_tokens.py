@@ -23,7 +23,14 @@ VOCAB_SQL = f"""(SELECT token, id, NULL::BIGINT AS n FROM {_SPECIALS_SQL}
 
 
 def corpus_vocab(spark, sf_dir):
-    return TK.build_vocab(read_table(spark, sf_dir, "documents").select("text"), "text")
+    """T20 over ``documents``, materialised once per input (S2/S3): later token queries read
+    the stored vocabulary instead of re-counting the corpus."""
+    from textprep.sources.io import cache_key, cache_root, input_signature, with_cache
+
+    src = f"{sf_dir.rstrip('/')}/documents.parquet"
+    key = cache_key({"op": "corpus_vocab", "clean": "compat", "specials": TK.SPECIALS, **input_signature(spark, src)})
+    return with_cache(spark, f"{cache_root(spark)}/vocab/{key}",
+                      lambda: TK.build_vocab(read_table(spark, sf_dir, "documents").select("text"), "text"))
 
 
 @register("t20_corpus_vocab", f"SELECT token, CAST(id AS BIGINT) AS id, CAST(n AS BIGINT) AS n FROM {VOCAB_SQL} v")

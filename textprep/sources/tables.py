@@ -8,8 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Inputs smaller than this are spread over the cluster's cores after the scan when the scan
+# itself cannot split them (a Parquet file with one row group is read by one task).
+SPREAD_MAX_BYTES = 2 << 30
+
+
+def _input_summary(spark: SparkSession, path: str) -> tuple[int, int]:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    cs = p.getFileSystem(conf).getContentSummary(p)
+    return int(cs.getLength()), int(cs.getFileCount())
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Read one of the given tables.  Large inputs (many files / row groups) are read as they
+    are; a small input held in fewer files than there are cores is round-robin spread over the
+    cores once, so the CPU-bound text expressions after the scan run in parallel (the shuffle
+    is bounded by ``SPREAD_MAX_BYTES``)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if not spread:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    size, files = _input_summary(spark, path)
+    if files < cores and size <= SPREAD_MAX_BYTES and size > (8 << 20):
+        df = df.repartition(cores)
+    return df
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
