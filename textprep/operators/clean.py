@@ -4,8 +4,8 @@ placeholder nulling, duplicate removal and the survivor filter.
 Duplicate removal keeps the first row (smallest key) of every group of equal rows.  It is an
 aggregation, not a window: ``min_by(row, key)`` per group with map-side partial aggregation, so a
 group of copies holding a third of all rows is reduced inside each map task before the shuffle.
-Rows with a null in the key are never duplicates (pandas drops null group keys) and bypass the
-shuffle entirely.
+Rows with a null in the key are never duplicates (pandas drops null group keys): they form
+groups of their own inside the same aggregation, so the input is computed once.
 """
 
 from __future__ import annotations
@@ -106,25 +106,33 @@ def dedup_keep_first(
     df: DataFrame, key_cols: Sequence[str], order_col: str = "index", exempt_col: str | None = None
 ) -> DataFrame:
     """Of every group of rows equal on ``key_cols`` keep the one with the
-    smallest ``order_col``.  Rows with a null key column are kept.  Rows flagged by
-    ``exempt_col`` are always kept (they still count as group members, so a flagged first row
-    removes the rest of its group)."""
+    smallest ``order_col`` (a unique key).  Rows with a null key column are kept.  Rows flagged
+    by ``exempt_col`` are always kept, yet still count as group members, so a flagged first row
+    removes the rest of its group.
+
+    One aggregation, one shuffle, whatever the flags: a null-key row forms a group of its own
+    (extra group column = its key); a flagged row forms a group of its own *and* enters its key
+    group as a non-emitted blocker.  ``min_by`` aggregates partially before the shuffle, so a
+    group of copies holding a third of all rows is reduced inside every map task first."""
     key_cols = list(key_cols)
     any_null = _any([F.col(c).isNull() for c in key_cols])
     rest = [c for c in df.columns if c not in key_cols]
-    null_key = df.filter(any_null)
-    full = df.filter(~any_null)
+    own = F.col(order_col)
+    if exempt_col:
+        ex = F.coalesce(F.col(exempt_col), F.lit(False))
+        alone = F.struct(own.alias("g"), F.lit(False).alias("b"))
+        member = F.struct(F.lit(None).cast(df.schema[order_col].dataType).alias("g"), F.lit(False).alias("b"))
+        blocker = F.struct(F.lit(None).cast(df.schema[order_col].dataType).alias("g"), F.lit(True).alias("b"))
+        variants = F.when(any_null, F.array(alone)).when(ex, F.array(alone, blocker)).otherwise(F.array(member))
+        d = df.withColumn("_v", F.explode(variants)).withColumn("_gk", F.col("_v.g")).withColumn("_blk", F.col("_v.b")).drop("_v")
+    else:
+        d = df.withColumn("_gk", F.when(any_null, own)).withColumn("_blk", F.lit(False))
     firsts = (
-        full.groupBy(*key_cols)
-        .agg(F.min_by(F.struct(*rest), F.col(order_col)).alias("_first"))
+        d.groupBy(*key_cols, "_gk")
+        .agg(F.min_by(F.struct(*rest, "_blk"), own).alias("_first"))
         .select(*key_cols, "_first.*")
-        .select(*df.columns)
     )
-    if exempt_col:
-        firsts = firsts.filter(~F.coalesce(F.col(exempt_col), F.lit(False)))
-        exempt = full.filter(F.coalesce(F.col(exempt_col), F.lit(False)))
-        return firsts.unionByName(exempt).unionByName(null_key)
-    return firsts.unionByName(null_key)
+    return firsts.filter(~F.col("_blk")).select(*df.columns)
 
 
 # --- P18: the composition ----------------------------------------------------------------
