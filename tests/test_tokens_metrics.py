@@ -130,3 +130,32 @@ def test_pooling_and_padding(spark):
     assert r[0]["hs"] == [[3.0, 2.0], [1.0, 4.0]] and r[0]["m"] == [2.0, 3.0] and r[0]["x"] == [3.0, 4.0]
     p = {x["index"]: x["hs"] for x in E.pad_sequences(docs, 2).collect()}
     assert p[1] == [[5.0, 5.0], [0.0, 0.0]]
+
+
+def test_pool_by_key_equals_collected(spark):
+    d = spark.createDataFrame([(0, 1, [1.0, 4.0]), (0, 0, [3.0, 2.0]), (1, 0, [5.0, 5.0])], "index long, subix int, hs array<double>")
+    agg = {r["index"]: (r["mean"], r["max"], r["sum"]) for r in E.pool_by_key(d, "index", "hs", ("mean", "max", "sum")).collect()}
+    assert agg[0] == ([2.0, 3.0], [3.0, 4.0], [4.0, 6.0]) and agg[1] == ([5.0, 5.0], [5.0, 5.0], [5.0, 5.0])
+
+
+def test_doc_features_join_form_equals_one_groupby(spark):
+    """The reference joins per-document first values to the collected vectors; one groupBy
+    gives the same rows."""
+    d = spark.createDataFrame([(0, 1, 7, [1.0]), (0, 0, None, [3.0]), (1, 0, 2, [5.0])], "index long, subix int, label int, hs array<double>")
+    one = {r["index"]: (r["label"], r["hs"]) for r in E.collect_chunks(d, "index", "subix", "hs", ("label",)).collect()}
+    firsts = d.groupBy("index").agg(E.first_non_null("label", "subix").alias("label"))
+    vecs = d.groupBy("index").agg(F.sort_array(F.collect_list(F.struct("subix", "hs"))).alias("v")).select("index", F.transform("v", lambda x: x["hs"]).alias("hs"))
+    joined = {r["index"]: (r["label"], r["hs"]) for r in firsts.join(vecs, "index").collect()}
+    assert one == joined == {0: (7, [[3.0], [1.0]]), 1: (2, [[5.0]])}
+
+
+def test_masked_mean(spark):
+    d = spark.createDataFrame([([[1.0, 1.0], [3.0, 5.0], [0.0, 0.0]], [1, 1, 0])], "hs array<array<double>>, m array<int>")
+    assert d.select(E.masked_mean("hs", "m").alias("x")).first()["x"] == [2.0, 3.0]
+
+
+def test_decode_out_of_range_is_null(spark):
+    v = TK.build_vocab(corpus(spark), "text")
+    ids = spark.createDataFrame([(0, 5), (1, 999)], "p int, id int")
+    got = {r["p"]: r["token"] for r in TK.lookup_tokens(ids, v).collect()}
+    assert got == {0: "the", 1: None}

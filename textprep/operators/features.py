@@ -1,8 +1,9 @@
 """Features (E1-E8, G7-G9, T19): encoding chunks, collecting chunk vectors per document,
 pooling, padding, a linear head and fitting one.
 
-Per-document work is one ``groupBy`` on the document key; a document's chunk list is bounded
-by the document length, and pooling over it is a projection with higher-order functions.
+Per-document vector lists (E5) are one ``groupBy`` on the document key; pooling (E2/E3/E6) is an
+aggregation per (document, dimension) that combines partially before the shuffle, so it never
+gathers one document's chunks in one task.
 Class-level models (C x dim numbers) are small, size-checked and held as literals, the way
 Spark ML models keep their coefficients on the driver."""
 
@@ -76,6 +77,21 @@ def masked_mean(hs, mask) -> Column:
     return pool(F.transform(kept, lambda z: z["v"]), "mean")
 
 
+def pool_by_key(chunks: DataFrame, key_col: str = "index", vec_col: str = "hs", hows=("mean",)) -> DataFrame:
+    """E2 / E3 / E6 as aggregations: per key and dimension ``avg`` / ``max`` / ``sum`` over the
+    chunk vectors, then one array per pooling.  Unlike pooling a collected list, this never
+    gathers a key's chunks in one place: the per-dimension partial aggregates combine before the
+    shuffle, so a key holding a third of all chunks costs no more than any other."""
+    fns = {"mean": F.avg, "max": F.max, "sum": F.sum}
+    e = chunks.select(key_col, F.posexplode(vec_col).alias("_pos", "_x"))
+    per_dim = e.groupBy(key_col, "_pos").agg(*[fns[h](F.col("_x").cast("double")).alias(h) for h in hows])
+    g = per_dim.groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct("_pos", *hows))).alias("_d"))
+    def field(h):
+        return F.transform("_d", lambda x: x[h]).alias(h)
+
+    return g.select(key_col, *[field(h) for h in hows])
+
+
 def mean_max(hs) -> Column:
     """Mean and max vectors concatenated."""
     return F.concat(pool(hs, "mean"), pool(hs, "max"))

@@ -77,24 +77,30 @@ def q_e5(spark, sf_dir):
 
 @register("e2_mean_pool", _pool_sql("avg"))
 def q_e2(spark, sf_dir):
-    return _exploded(docs(spark, sf_dir).withColumn("v", E.pool("hs", "mean")), "v")
+    return _exploded(E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("mean",)), "mean")
 
 
 @register("e3_max_pool", _pool_sql("max"))
 def q_e3(spark, sf_dir):
-    return _exploded(docs(spark, sf_dir).withColumn("v", E.pool("hs", "max")), "v")
+    return _exploded(E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("max",)), "max")
 
 
 @register("e6_sum_pool", _pool_sql("sum"))
 def q_e6(spark, sf_dir):
-    return _exploded(docs(spark, sf_dir).withColumn("v", E.pool("hs", "sum")), "v")
+    return _exploded(E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("sum",)), "sum")
+
+
+@register("e2_mean_pool_collected", _pool_sql("avg"))
+def q_e2_collected(spark, sf_dir):
+    """E2 on the per-document vector list of E5 (pooling as a projection)."""
+    return _exploded(docs(spark, sf_dir).withColumn("v", E.pool("hs", "mean")), "v")
 
 
 @register("e4_mean_max_concat", f"""SELECT CAST("index" AS BIGINT) AS "index", CAST(128 AS BIGINT) AS dim,
       round(avg(hs[1]), 6) AS mean_0, round(max(hs[1]), 6) AS max_0, round(avg(hs[64]), 6) AS mean_63, round(max(hs[64]), 6) AS max_63
     FROM {CV} a GROUP BY "index\"""")
 def q_e4(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("v", E.mean_max("hs"))
+    d = E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("mean", "max")).withColumn("v", F.concat("mean", "max"))
     return d.select(
         F.col("index").cast("long"), F.size("v").cast("long").alias("dim"),
         rounded(F.col("v")[0], "mean_0"), rounded(F.col("v")[64], "max_0"),
