@@ -15,13 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textprep.functions.hashing import hex_bucket
-from textprep.session import checkpointed, shuffle_partitions, small_side
+from textprep.session import checkpointed, shuffle_partitions
 
 POSITION_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
@@ -67,7 +66,9 @@ def hash_rank(
         else:
             side = side.withColumn(before_col, F.lit(0).cast("long"))
         extra.append(before_col)
-    side = small_side(side)
+    # The side table has groups x buckets rows.  It is joined on the window's own partition key,
+    # so the data is shuffled once whether AQE broadcasts the side (when it is small at run
+    # time) or sort-merge joins it.
     w = Window.partitionBy(*by, "_hb").orderBy(F.col(hash_col), *_cols(tiebreak))
     out = d.join(side, [*by, "_hb"]).withColumn(rank_col, (F.col("_hoff") + F.row_number().over(w)).cast("long"))
     if size_col:
@@ -90,7 +91,8 @@ def global_rank(
     d = checkpointed(d.withColumn("_mid", F.monotonically_increasing_id()))
     d = d.withColumn("_pid", F.shiftright("_mid", POSITION_BITS))
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
-    offsets = small_side(counts.select("_pid", (F.sum("_pn").over(Window.orderBy("_pid")) - F.col("_pn")).alias("_poff")))
+    # one row per partition: bounded by n, broadcast without a check
+    offsets = F.broadcast(counts.select("_pid", (F.sum("_pn").over(Window.orderBy("_pid")) - F.col("_pn")).alias("_poff")))
     mask = (1 << POSITION_BITS) - 1
     return (
         d.join(offsets, "_pid")
@@ -122,7 +124,7 @@ def global_offsets(
 
     d = checkpointed(d.mapInPandas(running, schema))
     totals = d.groupBy("_pid").agg(F.sum(F.coalesce(F.col(weight_col), F.lit(0))).alias("_pt"))
-    offsets = small_side(totals.select("_pid", (F.sum("_pt").over(Window.orderBy("_pid")) - F.col("_pt")).alias("_poff")))
+    offsets = F.broadcast(totals.select("_pid", (F.sum("_pt").over(Window.orderBy("_pid")) - F.col("_pt")).alias("_poff")))
     return d.join(offsets, "_pid").withColumn(out_col, (F.col("_poff") + F.col("_loc")).cast("long")).drop("_pid", "_loc", "_poff")
 
 

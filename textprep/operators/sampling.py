@@ -3,11 +3,13 @@
 A sample is a table ``(label, j, key)``: draw ``j`` of class ``label`` picked row ``key``.
 Draws are exact in size (not Bernoulli like ``sample``/``sampleBy``):
 
-* without replacement (a class has at least as many rows as draws): the first ``n`` rows of
-  the class in seeded hash order (rank from :func:`hash_rank`, hot classes split by ranges);
-* with replacement (more draws than rows): draw ``j`` picks rank
-  ``floor(u(seed, label, j) * n_c) + 1``; the draw list is generated in parallel blocks
-  (:func:`expand_counts`) and equi-joined to the ranked rows on ``(label, rank)``.
+* without replacement (a class has at least as many rows as draws): draw ``j`` takes the row of
+  rank ``j`` in seeded hash order (rank from :func:`hash_rank`, hot classes split by ranges);
+* with replacement (more draws than rows): draw ``j`` takes rank ``floor(u(seed, label, j) * n_c) + 1``.
+
+The draw list is generated in parallel blocks (:func:`expand_counts`) and equi-joined to the
+ranked rows on ``(label, rank)`` - a uniform key - after the ranked rows are cut to the ranks a
+draw can ask for, so the join shuffles about as many rows as the sample holds.
 
 Every hash includes the seed and the epoch, so each epoch redraws and any run reproduces.
 """
@@ -82,21 +84,22 @@ def draw(
     seed: int = 42,
     epoch: int = 0,
 ) -> DataFrame:
-    """Exact per-class draw: ``targets`` is a small ``(label, target)`` table.  Returns
-    ``(label, j, key)`` with ``j = 1..target`` per class."""
-    t = small_side(targets.select(label_col, F.col("target").cast("long").alias("target")))
-    r = _ranked(df.select(label_col, key_col), label_col, key_col, seed, epoch).join(t, label_col)
-    without = r.filter((F.col("target") <= F.col("_n")) & (F.col("_rn") <= F.col("target"))).select(
-        label_col, F.col("_rn").alias("j"), key_col
-    )
-    sizes = class_counts(df, label_col).join(t, label_col).filter(F.col("target") > F.col("n"))
-    picks = expand_counts(sizes, "target", "j").withColumn(
-        "_rn", (F.floor(uniform(seed, F.lit("draw"), epoch, label_col, "j") * F.col("n")) + 1).cast("long")
-    )
-    with_repl = picks.join(r.filter(F.col("target") > F.col("_n")).select(label_col, "_rn", key_col), [label_col, "_rn"]).select(
-        label_col, "j", key_col
+    """Exact per-class draw: ``targets`` is a small ``(label, target[, n])`` table (one row per
+    class; ``n`` = class size, counted here when absent).  Returns ``(label, j, key)`` with
+    ``j = 1..target`` per class."""
+    if "n" not in targets.columns:
+        targets = targets.join(class_counts(df, label_col), label_col)
+    t = small_side(targets.select(label_col, F.col("n").cast("long").alias("n"), F.col("target").cast("long").alias("target")))
+    # Ranked rows, computed once; only ranks a draw can ask for survive: the first `target`
+    # rows of a class drawn without replacement, every row of a class drawn with replacement.
+    r = _ranked(df.select(label_col, key_col), label_col, key_col, seed, epoch).join(t.drop("n"), label_col)
+    r = r.filter(F.col("_rn") <= F.least(F.col("target"), F.col("_n"))).select(label_col, "_rn", key_col)
+    # One draw row per (class, j); draw j takes rank j, or a uniform rank with replacement.
+    u = uniform(seed, F.lit("draw"), epoch, label_col, "j")
+    picks = expand_counts(t, "target", "j").withColumn(
+        "_rn", F.when(F.col("target") <= F.col("n"), F.col("j")).otherwise(F.floor(u * F.col("n")) + 1).cast("long")
     )
-    return without.unionByName(with_repl)
+    return picks.join(r, [label_col, "_rn"]).select(label_col, "j", key_col)
 
 
 def balanced_sample(df, label_col="label", key_col="index", mode="downsampling", seed=42, epoch=0) -> DataFrame:
@@ -109,7 +112,7 @@ def dynamic_sample(df, epoch: int, label_col="label", key_col="index", seed=42,
     """Draw of one epoch of the dynamic schedule."""
     start = schedule.get("start_epoch", 0)
     t = dynamic_targets(df, epoch - start + 1, label_col, **schedule).filter(F.col("epoch") == epoch)
-    return draw(df, t.select(label_col, "target"), label_col, key_col, seed, epoch)
+    return draw(df, t.select(label_col, "n", "target"), label_col, key_col, seed, epoch)
 
 
 def weighted_sample(
