@@ -105,3 +105,29 @@ def test_batches_drop_last(spark):
     assert max(r["batch_id"] for r in b) == 3
     keep = B.batches(s, 10, drop_last=False).collect()
     assert len(keep) == 301
+
+
+def test_weighted_rows_sample_matches_brute_force(spark):
+    import bisect
+    import hashlib
+
+    rows = [(k, 1000.0 if k == 17 else float(k % 4)) for k in range(400)]  # one heavy row, zeros never drawn
+    d = spark.createDataFrame(rows, "k long, w double")
+    got = {r["j"]: r["k"] for r in B.weighted_rows_sample(d, 3000, "w", "k", seed=7, buckets=8).collect()}
+
+    def md5(s):
+        return hashlib.md5(s.encode()).hexdigest()
+
+    order = sorted((md5(f"7|wrow|{k}"), k, w) for k, w in rows if w > 0)
+    los, keys, acc = [], [], 0.0
+    for _, k, w in order:
+        los.append(acc)
+        keys.append(k)
+        acc += w
+    want = {}
+    for i in range(3000):
+        x = int(md5(f"7|wdraw|0|{i}")[:8], 16) / 4294967296.0 * acc
+        want[i + 1] = keys[bisect.bisect_right(los, x) - 1]
+    assert got == want
+    share = sum(1 for v in got.values() if v == 17) / 3000
+    assert abs(share - 1000 / acc) < 0.03

@@ -21,10 +21,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textprep.functions.hashing import hash_hex, uniform
+from textprep.functions.hashing import hash_hex, hex_bucket, uniform
 from textprep.operators.labels import class_counts
 from textprep.operators.ranking import expand_counts, global_rank, hash_rank
-from textprep.session import small_side
+from textprep.session import checkpointed, shuffle_partitions, small_side
 
 
 def _ranked(df: DataFrame, label_col: str, key_col: str, seed: int, epoch: int) -> DataFrame:
@@ -213,3 +213,67 @@ def batches(
 
 def n_batches(n: int, batch_size: int, drop_last: bool) -> int:
     return n // batch_size if drop_last else math.ceil(n / batch_size)
+
+
+def weighted_rows_sample(
+    df: DataFrame,
+    n: int,
+    weight_col: str,
+    key_col: str = "index",
+    seed: int = 42,
+    epoch: int = 0,
+    buckets: int | None = None,
+) -> DataFrame:
+    """B5 with general per-row weights: ``n`` draws with replacement, row ``i`` with probability
+    ``w_i / sum(w)``.  Returns ``(j, key)``.
+
+    Rows in seeded hash order tile ``[0, sum(w))`` with intervals ``[lo_i, lo_i + w_i)``; draw
+    ``j`` lands at ``x = u(seed, j) * sum(w)`` and takes the row whose interval holds ``x``.
+    The hash order is cut into order-preserving hash buckets (about equal row counts); ``lo`` is a
+    per-bucket running sum plus the bucket's offset (a bucket-sized side table).  A draw finds its
+    bucket in the literal list of bucket offsets, then its row by a merge inside the bucket (a
+    window over rows and draws ordered by position).  Rows of at least ``sum(w) / buckets`` weight
+    (at most ``buckets`` of them) are resolved from a literal before the merge, so a row holding a
+    third of the mass never sends a third of the draws into one task.  Integer-valued weights
+    give exact sums."""
+    spark = df.sparkSession
+    nb = buckets or max(8, shuffle_partitions(spark))
+    w = F.col(weight_col).cast("double")
+    d = df.select(key_col, w.alias("_w")).filter(F.col("_w") > 0)
+    d = d.withColumn("_h", hash_hex(seed, F.lit("wrow"), key_col)).withColumn("_hb", hex_bucket(F.col("_h"), nb))
+    mass = d.groupBy("_hb").agg(F.sum("_w").alias("_m")).orderBy("_hb").collect()  # at most nb rows
+    offsets, acc = {}, 0.0
+    for r in mass:
+        offsets[r["_hb"]] = acc
+        acc += r["_m"]
+    total = acc
+    if total <= 0:
+        raise ValueError("all weights are zero")
+    bnames = sorted(offsets)
+    off_col = F.element_at(F.array(*[F.lit(offsets[b]) for b in bnames]), F.array_position(F.array(*[F.lit(b) for b in bnames]), F.col("_hb")).cast("int"))
+    run = Window.partitionBy("_hb").orderBy("_h", key_col).rowsBetween(Window.unboundedPreceding, -1)
+    rows = checkpointed(d.withColumn("_lo", off_col + F.coalesce(F.sum("_w").over(run), F.lit(0.0))))
+    heavy = rows.filter(F.col("_w") >= total / nb).select("_lo", "_w", key_col).orderBy("_lo").collect()  # at most nb rows
+    draws = spark.range(n).select((F.col("id") + 1).alias("j"), (uniform(seed, F.lit("wdraw"), epoch, "id") * F.lit(total)).alias("_x"))
+    starts = F.array(*[F.lit(offsets[b]) for b in bnames])
+    draws = draws.withColumn("_hb", F.element_at(F.array(*[F.lit(b) for b in bnames]), F.size(F.filter(starts, lambda s: s <= F.col("_x")))))
+    if heavy:
+        h_lo = F.array(*[F.lit(r["_lo"]) for r in heavy])
+        h_hi = F.array(*[F.lit(r["_lo"] + r["_w"]) for r in heavy])
+        h_key = F.array(*[F.lit(r[key_col]) for r in heavy])
+        hit = F.array_position(
+            F.transform(F.arrays_zip(h_lo.alias("lo"), h_hi.alias("hi")), lambda z: (z["lo"] <= F.col("_x")) & (F.col("_x") < z["hi"])),
+            F.lit(True),
+        )
+        draws = draws.withColumn("_heavy", F.when(hit > 0, F.element_at(h_key, hit.cast("int"))))
+    else:
+        draws = draws.withColumn("_heavy", F.lit(None).cast(rows.schema[key_col].dataType))
+    direct = draws.filter(F.col("_heavy").isNotNull()).select("j", F.col("_heavy").alias(key_col))
+    rest = draws.filter(F.col("_heavy").isNull())
+    merged = rows.select("_hb", F.col("_lo").alias("_pos"), F.lit(0).alias("_kind"), key_col, F.lit(None).cast("long").alias("j")).unionByName(
+        rest.select("_hb", F.col("_x").alias("_pos"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema[key_col].dataType).alias(key_col), "j")
+    )
+    upto = Window.partitionBy("_hb").orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = merged.withColumn("_pick", F.last(key_col, ignorenulls=True).over(upto))
+    found = merged.filter(F.col("_kind") == 1).select("j", F.col("_pick").alias(key_col))
+    return direct.unionByName(found)

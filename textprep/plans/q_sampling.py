@@ -210,3 +210,18 @@ def q_g5(spark, sf_dir):
         F.col("shard").cast("long"), F.col("size").cast("long"), F.col("n_classes").cast("long"),
         rounded("mean_prop", "mean_prop"), rounded("std_prop", "std_prop"),
     )
+
+
+@register("b5_weighted_rows_sample", f"""WITH r AS (
+      SELECT lkey, w, coalesce(sum(w) OVER (ORDER BY h, lkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
+        FROM (SELECT l_orderkey * 8 + l_linenumber AS lkey, CAST(l_quantity AS DOUBLE) AS w,
+                     {S.hash_hex(42, "'wrow'", 'l_orderkey * 8 + l_linenumber')} AS h FROM lineitem WHERE l_quantity > 0) a),
+    t AS (SELECT sum(w) AS total FROM r),
+    d AS (SELECT j, {S.uniform(42, "'wdraw'", 0, 'j - 1')} * t.total AS x FROM (SELECT unnest(generate_series(1, 2000)) AS j) g, t)
+    SELECT CAST(d.j AS BIGINT) AS j, CAST(r.lkey AS BIGINT) AS lkey FROM d ASOF JOIN r ON d.x >= r.lo""")
+def q_b5_rows(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("lkey"), F.col("l_quantity").alias("w")
+    )
+    s = B.weighted_rows_sample(li, 2000, "w", "lkey")
+    return s.select(F.col("j").cast("long"), F.col("lkey").cast("long"))
