@@ -67,3 +67,23 @@ def test_chunk_stream_equals_batch(spark, tmpdir_run):
     cols = ["doc_id", "subix", "data", "lang"]
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
+
+
+def test_workflows_end_to_end(spark, tmpdir_run):
+    from textprep.operators.tokens import build_vocab
+    from textprep.plans import workflows as W
+
+    rows = [(i, f"title {i}", f"goal words {i % 3}", "content line\nsecond line", "effect", "kw", "kw", 2019, "N", "m", i % 2) for i in range(30)]
+    rec = spark.createDataFrame(rows, IO.RECORD_SCHEMA)
+    vocab = build_vocab(rec.select(F.concat_ws(" ", "title", "goal", "content", "effect").alias("text")), "text")
+    enc = W.prep_classifier_inputs(rec, vocab, max_seq_len=4, k=3, max_tokens=6)
+    r = enc.collect()
+    assert {len(x["input_ids"]) for x in r} == {max(len(x["input_ids"]) for x in r)} and {x["cv"] for x in r} == {0, 1, 2}
+    assert IO.model_inputs(enc).columns == ["input_ids", "attention_mask", "label"]
+    mlm = W.prep_mlm_inputs(rec, vocab, k=3).collect()
+    assert len(mlm) == 30 and all(x["tot_len"] == sum(x["tok_lens"]) for x in mlm)
+    pred = enc.groupBy("index", "label", "cv").agg(F.lit(1).alias("pred"))
+    report, macro = W.evaluate_fold(pred, fold=0)
+    assert report.filter("row = 'accuracy'").first()["support"] == pred.filter("cv = 0").count()
+    W.submit(pred, os.path.join(tmpdir_run, "sub"))
+    assert spark.read.option("header", True).csv(os.path.join(tmpdir_run, "sub")).count() == 30

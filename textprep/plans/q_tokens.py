@@ -159,8 +159,18 @@ T2_SQL = f"""(SELECT d.doc_id, coalesce(t.toks, []::BIGINT[][]) AS toks FROM doc
 
 
 def sentence_tokens(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", sentences(["text"]).alias("sents"))
-    return TK.encode_sentences(d, corpus_vocab(spark, sf_dir), "doc_id", "sents")
+    """T2 over ``documents``, materialised once per input like the reference's cached
+    sentence-token table: the masked-LM queries (T11-T16) start from the stored copy."""
+    from textprep.sources.io import cache_key, cache_root, input_signature, with_cache
+
+    src = f"{sf_dir.rstrip('/')}/documents.parquet"
+    key = cache_key({"op": "sentence_tokens", "clean": "compat", "specials": TK.SPECIALS, **input_signature(spark, src)})
+
+    def compute():
+        d = read_table(spark, sf_dir, "documents").select("doc_id", sentences(["text"]).alias("sents"))
+        return TK.encode_sentences(d, corpus_vocab(spark, sf_dir), "doc_id", "sents")
+
+    return with_cache(spark, f"{cache_root(spark)}/sentence_tokens/{key}", compute)
 
 
 def _toks_str_sql(c: str) -> str:
