@@ -100,7 +100,13 @@ def mean_max(hs) -> Column:
 # --- T19: padding ---------------------------------------------------------------------------
 
 def pad_sequences(docs: DataFrame, dim: int, vec_col: str = "hs", seq_col: str = "seq_len", to_len: int | None = None) -> DataFrame:
-    """Pad every list of vectors with zero vectors to the longest sequence of the frame."""
+    """Pad every list of vectors with zero vectors to the longest sequence of the frame.
+    Without ``to_len`` the frame is materialised first, so finding the longest sequence does
+    not compute it twice."""
+    if to_len is None:
+        from textprep.session import checkpointed
+
+        docs = checkpointed(docs)
     n = to_len if to_len is not None else max_seq_len(docs, seq_col)
     zero = F.array_repeat(F.lit(0.0), dim)
     pad = F.array_repeat(zero, F.greatest(F.lit(n) - F.col(seq_col), F.lit(0)))
@@ -167,15 +173,17 @@ def hashed_bow(dim: int) -> Callable[[pd.Series], pd.Series]:
     """Built-in test encoder: counts of words per md5 bucket (``int(md5[:8], 16) % dim``)."""
 
     def enc(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(dim, dtype=np.float64)
-            if t:
-                for w in t.split(" "):
-                    if w:
-                        v[int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
-            out.append(v.tolist())
-        return pd.Series(out)
+        words = texts.fillna("").str.split(" ")
+        lens = words.str.len().to_numpy()
+        flat = np.concatenate(words.to_numpy()) if len(words) else np.array([], dtype=object)
+        codes, uniq = pd.factorize(flat)  # each distinct word of the batch is hashed once
+        ub = np.array([int(hashlib.md5(u.encode("utf-8")).hexdigest()[:8], 16) % dim if u else -1 for u in uniq], dtype=np.int64)
+        b = ub[codes] if len(codes) else np.array([], dtype=np.int64)
+        row = np.repeat(np.arange(len(texts)), lens)
+        keep = b >= 0
+        m = np.zeros((len(texts), dim), dtype=np.float64)
+        np.add.at(m, (row[keep], b[keep]), 1.0)
+        return pd.Series(list(m))
 
     return enc
 
