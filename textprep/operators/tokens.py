@@ -84,7 +84,7 @@ def vocab_gaps(vocab: DataFrame, id_col: str = "id") -> DataFrame:
 
 def write_vocab(vocab: DataFrame, path: str, id_col: str = "id") -> None:
     """One token per line, ordered by id (range partitions written in order)."""
-    n = max(1, vocab.sparkSession.sparkContext.defaultParallelism)
+    n = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     vocab.repartitionByRange(n, id_col).sortWithinPartitions(id_col).select("token").write.mode("overwrite").text(path)
 
 

@@ -57,8 +57,15 @@ def cache_key(params: dict) -> str:
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # remote session: a readable copy counts as complete
+        try:
+            spark.read.parquet(path).schema
+            return True
+        except Exception:
+            return False
     p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
     return p.getFileSystem(conf).exists(p)
 
@@ -93,7 +100,11 @@ def model_inputs(df: DataFrame, is_test: bool = False, label_col: str = "label")
 
 def input_signature(spark: SparkSession, path: str) -> dict:
     """Length and modification time of an input, so a cache key changes when the input does."""
-    jvm = spark.sparkContext._jvm
+    try:
+        jvm = spark.sparkContext._jvm
+    except Exception:  # remote session: key on the input's schema and row count instead
+        d = spark.read.parquet(path)
+        return {"path": path, "schema": d.schema.simpleString(), "rows": d.count()}
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
@@ -105,4 +116,5 @@ def cache_root(spark: SparkSession) -> str:
     """Cached tables live next to the checkpoints, in the shared folder the session names."""
     from textprep.session import ensure_checkpoint_dir
 
-    return ensure_checkpoint_dir(spark).rstrip("/") + "/textprep-cache"
+    root = ensure_checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
+    return root.rstrip("/") + "/textprep-cache"

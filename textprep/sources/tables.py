@@ -30,8 +30,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     df = spark.read.parquet(path)
     if not spread:
         return df
-    cores = spark.sparkContext.defaultParallelism
-    size, files = _input_summary(spark, path)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        size, files = _input_summary(spark, path)
+    except Exception:  # no JVM handle (remote session): read as is
+        return df
     if files < cores and size <= SPREAD_MAX_BYTES and size > (8 << 20):
         df = df.repartition(cores)
     return df
