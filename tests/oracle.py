@@ -11,6 +11,9 @@ import time
 import duckdb
 import pandas as pd
 
+import os
+
+STRICT = os.environ.get("ORACLE_STRICT") == "1"  # compare doubles bit for bit, as a value hash would
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -27,7 +30,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return _norm(v.item())
