@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from textprep.functions.text import clean_text_full, split_words
 from textprep.operators.ranking import global_offsets, global_rank
-from textprep.session import DEFAULT_BROADCAST_ROWS, checkpointed
+from textprep.session import DEFAULT_BROADCAST_ROWS, checkpointed, stored
 
 # ---------------------------------------------------------------------------------------------
 # Special tokens of our corpus vocabulary, in id order (ids 0..4).
@@ -101,7 +101,7 @@ def special_id(vocab: DataFrame, token: str = "[MASK]") -> int:
 def lookup_ids(tokens: DataFrame, vocab: DataFrame, token_col: str = "token", out_col: str = "id", unk_id: int = UNK_ID,
                max_broadcast: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """T5: token -> id, unknown -> ``unk_id`` (left equi-join)."""
-    v = checkpointed(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid")))
+    v = stored(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid")))
     n = v.count()
     if n <= max_broadcast:
         j = tokens.join(F.broadcast(v), tokens[token_col] == v["_tok"], "left")
@@ -119,7 +119,7 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, token_col: str = "token", ou
 def lookup_tokens(ids: DataFrame, vocab: DataFrame, id_col: str = "id", out_col: str = "token") -> DataFrame:
     """Id -> token; an id outside the vocabulary gives null (count them with
     ``filter(token is null)``)."""
-    v = checkpointed(vocab.select(F.col("id").alias("_vid"), F.col("token").alias(out_col)))
+    v = stored(vocab.select(F.col("id").alias("_vid"), F.col("token").alias(out_col)))
     n = v.count()
     v = F.broadcast(v) if n <= DEFAULT_BROADCAST_ROWS else v
     return ids.join(v, ids[id_col] == v["_vid"], "left").drop("_vid")

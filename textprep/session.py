@@ -68,6 +68,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_stored(df: DataFrame) -> bool:
+    """True when the plan is a plain read of stored data (a file relation or a checkpoint), so
+    materialising it again would only copy it."""
+    try:
+        node = df._jdf.queryExecution().analyzed()
+        while node.getClass().getSimpleName() in ("Project", "SubqueryAlias") and node.children().size() == 1:
+            node = node.children().head()
+        return node.getClass().getSimpleName() in ("LogicalRelation", "LogicalRDD", "HadoopFsRelation")
+    except Exception:
+        return False
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` itself if it already reads stored data, else a reliable checkpoint of it."""
+    return df if is_stored(df) else checkpointed(df)
+
+
 def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Materialise a derived side table once and broadcast it only if its row count is within
     ``max_rows``; beyond that it is returned as is and joins on it shuffle (AQE may still
