@@ -44,38 +44,35 @@ def hash_rank(
     ``hash_col`` must hold a hex digest (uniform); the result equals
     ``row_number() OVER (PARTITION BY by ORDER BY hash_col, tiebreak)``.  Optionally adds the
     group size (``size_col``) and the number of rows in groups that sort before this one
-    (``before_col``), both read off the same small side table."""
+    (``before_col``), both read off the same small side table.
+
+    The group is carried as one struct column: struct equality treats null fields as equal, so a
+    null label is a group of its own, and the side-table join and the window share one
+    partitioning - the data is shuffled once."""
     nb = buckets or max(8, shuffle_partitions(df.sparkSession))
     by = list(by)
-    d = df.withColumn("_hb", hex_bucket(F.col(hash_col), nb))
-    counts = d.groupBy(*by, "_hb").agg(F.count(F.lit(1)).alias("_hn"))
-    w_off = Window.partitionBy(*by).orderBy("_hb") if by else Window.orderBy("_hb")
-    w_grp = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    d = df.withColumn("_hb", hex_bucket(F.col(hash_col), nb)).withColumn("_gk", F.struct(*[F.col(c) for c in by]))
+    counts = d.groupBy("_gk", "_hb").agg(F.count(F.lit(1)).alias("_hn"))
     side = counts.select(
-        *by,
+        "_gk",
         "_hb",
-        (F.sum("_hn").over(w_off) - F.col("_hn")).alias("_hoff"),
-        F.sum("_hn").over(w_grp).alias("_gsize"),
+        (F.sum("_hn").over(Window.partitionBy("_gk").orderBy("_hb")) - F.col("_hn")).alias("_hoff"),
+        F.sum("_hn").over(Window.partitionBy("_gk")).alias("_gsize"),
     )
-    extra = []
     if before_col:
-        if by:
-            totals = counts.groupBy(*by).agg(F.sum("_hn").alias("_gt"))
-            totals = totals.select(*by, (F.sum("_gt").over(Window.orderBy(*by)) - F.col("_gt")).alias(before_col))
-            side = side.join(totals, by)
-        else:
-            side = side.withColumn(before_col, F.lit(0).cast("long"))
-        extra.append(before_col)
+        totals = counts.groupBy("_gk").agg(F.sum("_hn").alias("_gt"))
+        totals = totals.select("_gk", (F.sum("_gt").over(Window.orderBy("_gk")) - F.col("_gt")).alias(before_col))
+        side = side.join(totals, "_gk")
     # The side table has groups x buckets rows.  It is joined on the window's own partition key,
     # so the data is shuffled once whether AQE broadcasts the side (when it is small at run
     # time) or sort-merge joins it.
-    w = Window.partitionBy(*by, "_hb").orderBy(F.col(hash_col), *_cols(tiebreak))
-    out = d.join(side, [*by, "_hb"]).withColumn(rank_col, (F.col("_hoff") + F.row_number().over(w)).cast("long"))
+    w = Window.partitionBy("_gk", "_hb").orderBy(F.col(hash_col), *_cols(tiebreak))
+    out = d.join(side, ["_gk", "_hb"]).withColumn(rank_col, (F.col("_hoff") + F.row_number().over(w)).cast("long"))
     if size_col:
         out = out.withColumnRenamed("_gsize", size_col)
     else:
         out = out.drop("_gsize")
-    return out.drop("_hb", "_hoff")
+    return out.drop("_hb", "_hoff", "_gk")
 
 
 def global_rank(

@@ -167,3 +167,18 @@ def q_e8(spark, sf_dir):
     model = E.fit_linear_head(d, "x", "label", "w", max_iter=20)
     out = E.predict_linear_head(model, d, "x")
     return out.select(F.col("index").cast("long"), F.col("label").cast("long"), F.col("pred").cast("long"))
+
+
+@register("j2_doc_features_join", f"""SELECT CAST("index" AS BIGINT) AS "index", CAST(arg_min(label, subix) FILTER (WHERE label IS NOT NULL) AS BIGINT) AS label,
+      CAST(count(*) AS BIGINT) AS seq_len, CAST(max(len(hs)) AS BIGINT) AS dim FROM {CV} a GROUP BY "index\"""")
+def q_j2(spark, sf_dir):
+    """J2 in the reference's form: per-document first values joined (inner, on the document key)
+    to the collected vectors; equal to ``e5_doc_features``' single aggregation."""
+    c = chunk_vectors(spark, sf_dir)
+    firsts = c.groupBy("index").agg(E.first_non_null("label", "subix").alias("label"))
+    vecs = E.collect_chunks(c, "index", "subix", "hs", first_cols=())
+    d = firsts.join(vecs, "index")
+    return d.select(
+        F.col("index").cast("long"), F.col("label").cast("long"), F.col("seq_len").cast("long"),
+        F.size(F.element_at("hs", 1)).cast("long").alias("dim"),
+    )

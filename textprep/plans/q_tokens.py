@@ -338,3 +338,39 @@ def q_t16(spark, sf_dir):
     r = LM.mlm_rows(t, "doc_id", "toks", "label", max_len=64)
     return r.select("doc_id", F.col("cls_labels").cast("long"), F.md5(TK.ids_string("input_ids")).alias("input_ids_md5"),
                     F.md5(TK.ids_string("attention_mask")).alias("attention_md5"), F.md5(TK.ids_string("labels")).alias("labels_md5"))
+
+
+@register("t6_id_to_token", f"""SELECT item_id, array_to_string(list(coalesce(v2.token, '') ORDER BY pos), ' ') AS decoded,
+      CAST(count(*) FILTER (WHERE v2.token IS NULL) AS BIGINT) AS n_unknown FROM
+    (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM
+       (SELECT item_id, {S.split_words(S.clean_full('text'))} AS w FROM benchmark) a) t
+    LEFT JOIN {VOCAB_SQL} v ON v.token = t.token
+    LEFT JOIN {VOCAB_SQL} v2 ON v2.id = coalesce(v.id, 1)
+    GROUP BY item_id""")
+def q_t6(spark, sf_dir):
+    """T5 then T6 on the benchmark passages: ids back to tokens (an id outside the vocabulary
+    would decode to null and be counted)."""
+    b = read_table(spark, sf_dir, "benchmark")
+    toks = b.select("item_id", F.posexplode(F.split(clean_text_full("text"), " ")).alias("pos", "token")).filter(F.col("token") != "")
+    vocab = corpus_vocab(spark, sf_dir)
+    ids = TK.lookup_ids(toks, vocab).select("item_id", "pos", "id")
+    back = TK.lookup_tokens(ids, vocab, "id", "tok")
+    g = back.groupBy("item_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("tok", F.lit("")).alias("t")))).alias("_t"),
+        F.count(F.when(F.col("tok").isNull(), 1)).alias("n_unknown"),
+    )
+    return g.select("item_id", F.array_join(F.transform("_t", lambda x: x["t"]), " ").alias("decoded"), F.col("n_unknown").cast("long"))
+
+
+@register("t13_pad_right", f"""SELECT doc_id,
+      md5(array_to_string(list_concat(t, list_transform(range(64 - len(t)), lambda x: 0)), ' ')) AS ids_md5,
+      md5(array_to_string(list_concat(t, list_transform(range(64 - len(t)), lambda x: -100)), ' ')) AS labels_md5,
+      md5(array_to_string(list_concat(list_transform(range(len(t)), lambda x: 1), list_transform(range(64 - len(t)), lambda x: 0)), ' ')) AS mask_md5
+    FROM {_TRUNC_SQL} q""")
+def q_t13(spark, sf_dir):
+    """T13 alone: right-pad the truncated ids to 64 (pad id 0), labels with -100, mask 1s then 0s."""
+    t = sentence_tokens(spark, sf_dir)
+    t = t.select("doc_id", LM.truncate_head_or_tail(LM.shuffle_sentences("toks", "doc_id"), "doc_id", 64).alias("ids"))
+    p = TK.pad_right(t.withColumn("labels", F.col("ids")), "ids", 64, TK.PAD_ID, "mask", "labels", TK.IGNORE_LABEL)
+    return p.select("doc_id", F.md5(TK.ids_string("ids")).alias("ids_md5"), F.md5(TK.ids_string("labels")).alias("labels_md5"),
+                    F.md5(TK.ids_string("mask")).alias("mask_md5"))
