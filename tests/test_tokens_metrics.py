@@ -159,3 +159,15 @@ def test_decode_out_of_range_is_null(spark):
     ids = spark.createDataFrame([(0, 5), (1, 999)], "p int, id int")
     got = {r["p"]: r["token"] for r in TK.lookup_tokens(ids, v).collect()}
     assert got == {0: "the", 1: None}
+
+
+def test_external_tokenizer_plugs_in(spark):
+    """T1 with a user-supplied tokenizer (here a tiny word-level one built in the test)."""
+    ids = {"the": 5, "cat": 6, "sat": 8}
+
+    def tokenize(texts):
+        return [[ids.get(w, TK.UNK_ID) for w in t.split()] for t in texts]
+
+    enc = TK.encode_with(tokenize)
+    out = {r["doc_id"]: r["ids"] for r in corpus(spark).select("doc_id", enc("text").alias("ids")).collect()}
+    assert out[0] == [5, 6, 8] and out[3] == [] and out[1] == [5, TK.UNK_ID, 8, TK.UNK_ID]
