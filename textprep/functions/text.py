@@ -32,8 +32,8 @@ STRICT_ENTITY = "&[^;\\s]+;"
 # Sentence-piece word-start marker used by the piece-level helpers.
 PIECE_MARK = "▁"
 
-# Whitespace that Python's str.split()/strip() remove and that appears in practice.
-WS_CLASS = "[ \\t\\n\\r\\f]"
+# The characters Python's str.split() / str.strip() treat as whitespace.
+WS_CLASS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
 def _c(x) -> Column:

@@ -197,7 +197,7 @@ def q_t2(spark, sf_dir):
 # --- T3 / T4: normalisation and pieces --------------------------------------------------------------
 
 def _norm_sql(c: str, accents: bool) -> str:
-    s = S.py_strip(f"regexp_replace({c}, '[ \\t\\n\\r\\f]+', ' ', 'g')")
+    s = S.py_strip(f"regexp_replace({c}, '{S.WS}+', ' ', 'g')")
     s = f"replace(replace({s}, '``', '\"'), '''''', '\"')"
     return s if accents else f"strip_accents({s})"
 

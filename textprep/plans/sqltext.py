@@ -15,12 +15,16 @@ def clean_basic(c: str) -> str:
     return f"trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
 
+# Python's whitespace set in RE2 syntax (the Spark side spells the same set for Java).
+WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
 def py_strip(c: str) -> str:
-    return f"regexp_replace({c}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def split_words(c: str) -> str:
-    s = py_strip(f"regexp_replace({c}, '[ \\t\\n\\r\\f]+', ' ', 'g')")
+    s = py_strip(f"regexp_replace({c}, '{WS}+', ' ', 'g')")
     return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE string_split({s}, ' ') END)"
 
 
