@@ -87,3 +87,21 @@ def test_workflows_end_to_end(spark, tmpdir_run):
     assert report.filter("row = 'accuracy'").first()["support"] == pred.filter("cv = 0").count()
     W.submit(pred, os.path.join(tmpdir_run, "sub"))
     assert spark.read.option("header", True).csv(os.path.join(tmpdir_run, "sub")).count() == 30
+
+
+def test_write_vocab_ordered_and_weight_list(spark, tmpdir_run):
+    from textprep.operators.labels import class_weight_list
+    from textprep.operators.tokens import vocab_gaps, write_vocab
+
+    v = spark.createDataFrame([("c", 2), ("a", 0), ("d", 5), ("b", 1)], "token string, id int")
+    out = os.path.join(tmpdir_run, "vocab")
+    write_vocab(v, out)
+    lines = []
+    for name in sorted(os.listdir(out)):
+        if name.startswith("part-"):
+            with open(os.path.join(out, name), encoding="utf-8") as f:
+                lines += f.read().splitlines()
+    assert lines == ["a", "b", "c", "d"]
+    assert [(r["id"], r["prev_id"], r["expected"]) for r in vocab_gaps(v).collect()] == [(5, 2, 3)]
+    d = spark.createDataFrame([(0,), (0,), (0,), (1,), (None,)], "label int")
+    assert class_weight_list(d) == [4 / 3, 4.0]

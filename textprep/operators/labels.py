@@ -41,6 +41,15 @@ def class_weights(df: DataFrame, label_col: str = "label", scheme: str = "total_
     return c.select(label_col, "n", w.cast("double").alias("w"))
 
 
+def class_weight_list(df: DataFrame, label_col: str = "label", scheme: str = "total_over_count", max_classes: int = 100_000) -> list[float]:
+    """G1 at the edge: the weights as a list positional by sorted label (what a weighted loss
+    takes); one row per class comes back to the driver, after a size check."""
+    rows = class_weights(df, label_col, scheme).orderBy(label_col).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError("too many classes for a weight list")
+    return [float(r["w"]) for r in rows]
+
+
 def class_proportions(df: DataFrame, label_col: str = "label") -> DataFrame:
     """``(label, n, prop = n / N)``."""
     c = class_counts(df, label_col)
