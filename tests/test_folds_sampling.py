@@ -131,3 +131,13 @@ def test_weighted_rows_sample_matches_brute_force(spark):
     assert got == want
     share = sum(1 for v in got.values() if v == 17) / 3000
     assert abs(share - 1000 / acc) < 0.03
+
+
+def test_unshuffled_shard_and_ungrouped_batches(spark):
+    s = B.balanced_sample(labelled(spark), "label", "index", "downsampling")
+    sh = B.shard(s, 7, shuffle=False).collect()
+    assert len(sh) == 301 and sorted(r["pos"] for r in sh) == list(range(301))
+    first = min(sh, key=lambda r: r["pos"])
+    assert (first["label"], first["j"]) == (0, 1)  # unshuffled: ordered by (label, j)
+    b = B.batches(s.withColumn("p", F.col("j") - 1).filter("label = 0"), 30, drop_last=True, group_col=None, pos_col="p").collect()
+    assert len(b) == 90 and max(r["batch_id"] for r in b) == 2

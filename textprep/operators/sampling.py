@@ -171,8 +171,7 @@ def shard(
         s = hash_rank(s, [], "_ph", ids, rank_col="_pr", size_col="_L").drop("_ph")
     else:
         s = global_rank(sample, ids, rank_col="_pr")
-        total = s.agg(F.count(F.lit(1)).alias("_L")).withColumn("_one", F.lit(0))
-        s = s.withColumn("_one", F.lit(0)).join(F.broadcast(total), "_one").drop("_one")
+        s = s.withColumn("_L", F.lit(s.count()))  # one scalar (the ranked rows are checkpointed)
     pos = F.col("_pr") - 1
     total = F.ceil(F.col("_L") / replicas) * replicas
     pad = total - F.col("_L")
@@ -202,8 +201,7 @@ def batches(
             sizes = small_side(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn")))
             d = df.join(sizes, by)
         else:
-            total = df.agg(F.count(F.lit(1)).alias("_gn")).withColumn("_one", F.lit(0))
-            d = df.withColumn("_one", F.lit(0)).join(F.broadcast(total), "_one").drop("_one")
+            d = df.withColumn("_gn", F.lit(df.count()))  # one scalar
         place = F.col(pos_col)
     d = d.withColumn("batch_id", (place / batch_size).cast("long")).withColumn("in_batch", (place % batch_size).cast("int"))
     if drop_last:
