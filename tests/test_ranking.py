@@ -52,3 +52,21 @@ def test_expand_counts(spark):
     assert 1 not in agg
     assert agg[2] == (5, 1, 5, 5)
     assert agg[3] == (250_001, 1, 250_001, 250_001)
+
+
+def test_global_rank_default_partitions_with_coalescing(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")  # AQE merges adjacent ranges of this small input
+    try:
+        d = _data(spark).withColumn("v", F.col("k") % 13)
+        got = global_rank(d, [F.col("v"), F.col("k").desc()], rank_col="rn")
+        want = d.withColumn("rn2", F.row_number().over(Window.orderBy("v", F.col("k").desc())))
+        assert got.join(want.select("k", "rn2"), "k").filter(F.col("rn") != F.col("rn2")).count() == 0
+        off = global_offsets(d, ["k"], "v", "off")
+        rows = sorted(off.select("k", "v", "off").collect())
+        acc = 0
+        for r in rows:
+            assert r["off"] == acc
+            acc += r["v"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -82,9 +82,11 @@ def global_rank(
 
     The input is materialised first: range partitioning samples it in a job of its own, and
     without the copy that job and the ranking job would both recompute the upstream plan."""
-    n = partitions or shuffle_partitions(df.sparkSession)
     order = _cols(order)
-    d = checkpointed(df).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count AQE may merge adjacent ranges of a small input; merged ranges
+    # stay in order, so partition index + row position still give the global order.
+    base = checkpointed(df)
+    d = (base.repartitionByRange(partitions, *order) if partitions else base.repartitionByRange(*order)).sortWithinPartitions(*order)
     d = checkpointed(d.withColumn("_mid", F.monotonically_increasing_id()))
     d = d.withColumn("_pid", F.shiftright("_mid", POSITION_BITS))
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
@@ -102,9 +104,8 @@ def global_offsets(
     df: DataFrame, order: Sequence, weight_col: str, out_col: str = "offset", partitions: int | None = None
 ) -> DataFrame:
     """``out_col`` = sum of ``weight_col`` over all rows strictly before this one in ``order``."""
-    n = partitions or shuffle_partitions(df.sparkSession)
     order = _cols(order)
-    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    d = (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     schema = T.StructType(d.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_loc", T.LongType())])
 
     def running(batches):
