@@ -48,7 +48,9 @@ def hash_rank(
 
     The group is carried as one struct column: struct equality treats null fields as equal, so a
     null label is a group of its own, and the side-table join and the window share one
-    partitioning - the data is shuffled once."""
+    partitioning - the data is shuffled once.  The side table holds one row per non-empty
+    (group, bucket): tiny for class labels; with very many small groups it approaches the row
+    count, and the join then sort-merges on the same partitioning instead of broadcasting."""
     nb = buckets or max(8, shuffle_partitions(df.sparkSession))
     by = list(by)
     d = df.withColumn("_hb", hex_bucket(F.col(hash_col), nb)).withColumn("_gk", F.struct(*[F.col(c) for c in by]))
