@@ -36,24 +36,30 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the session.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    ``spark.checkpoint.dir`` names it on a cluster and is used as is, else the folder already set on the
+    context.  Where neither is set, a local session (tests, the bench) gets a fresh folder of its
+    own; any other master falls back to the warehouse folder, never to a machine-local path."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    named = named or sc.getCheckpointDir()
+    if named:
+        return named
+    if sc.master.startswith("local[") or sc.master == "local":
+        return tempfile.mkdtemp(prefix="textprep-shared-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_textprep"
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.  Only when it
-    is unset (local tests) do we create a fresh folder of our own.
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # a remote (Connect) session: the server owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-    else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="textprep-ckpt-", dir="/tmp"))
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point reliable checkpoints at :func:`shared_dir` unless the context has a folder already."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(spark))
     return sc.getCheckpointDir()
 
 
