@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import embed_dedup, minhash_dedup, mixing, substring_dedup
+from textprep.llm import decontam, embed_dedup, minhash_dedup, mixing, substring_dedup
 from textprep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,34 @@ FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
 @_query("op3_embedding_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.cosine_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# words of a text as the contract has them: A-Z lower-cased, all non-ASCII characters kept
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS_SQL.format("text")} AS words FROM documents),
+items AS (SELECT item_id, words, least(len(words), 10) AS size FROM (SELECT item_id, {_WORDS_SQL.format("text")} AS words FROM benchmark)),
+starts AS (SELECT item_id, words, size, unnest(range(1, len(words) - size + 2)) AS start FROM items WHERE size > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(words[start:start + size - 1], ' ') AS gram FROM starts),
+places AS (
+    SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS start
+    FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size
+), grams AS (SELECT doc_id, start, size, array_to_string(words[start:start + size - 1], ' ') AS gram FROM places),
+found AS (SELECT g.doc_id, g.start, g.size, w.item_id FROM grams g JOIN windows w ON g.gram = w.gram AND g.size = w.size),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + size)) AS place FROM found) GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+"""
+
+
+@_query("op1_decontamination", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
