@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import decontam, embed_dedup, langid, minhash_dedup, mixing, substring_dedup
+from textprep.llm import decontam, embed_dedup, langid, licenses, minhash_dedup, mixing, substring_dedup
 from textprep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@_query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
