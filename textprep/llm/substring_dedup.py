@@ -4,8 +4,8 @@ Every window of ``width`` consecutive words gets a Rabin-Karp hash (64 bits over
 A task first settles the repeats among the documents it has read itself, then sends one entry per
 distinct window, packed into one binary row per bucket of the hash range; so a passage that a third
 of all documents share reaches its bucket once per task, not once per document.  A bucket compares
-its entries, and the repeats return to their documents as packed word positions, which merge into
-maximal intervals.
+its entries, and sends the repeats on, packed by groups of documents; each group merges the positions
+of a document into maximal intervals, one row per document.
 
 Entry order is (doc_id, first word).  Defined cases: a null text has no words; null ids count as one
 id after all others; rows that repeat a doc_id are told apart by a hash of their text, and of two
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import blank_words, null_safe, rolling, text_chunks, word_hashes
+from textprep.llm.common import blank_words, mix, null_safe, rolling, text_chunks, word_hashes
 from textprep.session import shuffle_partitions
 
 WIDTH = 20
@@ -29,7 +29,9 @@ BUCKET_BYTES = 24 << 20  # text per bucket of the hash range
 _NULL_ID = np.iinfo(np.int64).max
 
 MADE = ("n_words", "n_removed", "kept_sha256", "removed")
-_ENTRIES = "bucket int, hashes binary, places binary, ids binary, marks binary, firsts binary, repeats binary"
+_ENTRIES = "bucket int, hashes binary, places binary, ids binary, marks binary, counts binary, repeats binary"
+_REPEATS = "target int, ids binary, marks binary, n binary, starts binary"
+_REMOVED = "array<struct<first: long, end: long>>"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -73,7 +75,7 @@ def _slices(width: int, buckets: int):
         cut = np.searchsorted(hashes[first], np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
         parts_h, parts_p = np.split(hashes[first], cut), np.split(place[first].astype(np.uint32), cut)
         share = np.searchsorted(again, firsts[(np.arange(1, buckets) * len(ids)) // buckets])
-        tables = _planes(ids), _planes(marks), _planes(firsts.astype(np.uint32))
+        tables = _planes(np.diff(ids, prepend=0)), _planes(marks), _planes(counts.astype(np.uint32))
         for b, (h, p, r) in enumerate(zip(parts_h, parts_p, np.split(again.astype(np.uint32), share))):
             if len(h) or len(r):
                 rows.append((b, _planes(np.diff(h, prepend=np.uint64(0))), _planes(p), *tables, _planes(r)))
@@ -110,14 +112,64 @@ def _slices(width: int, buckets: int):
     return run
 
 
-def _compare(table):
-    """One bucket: of equal hashes all entries but the earliest are repeats.  Per document a row."""
-    import pyarrow as pa
+def _compare(groups: int):
+    """One bucket: of equal hashes all entries but the earliest are repeats.  They leave in one row for
+    each group of documents."""
 
+    def run(table):
+        import pyarrow as pa
+
+        ids, marks, doc, at = _repeats(table)
+        to = (mix(ids.view(np.uint64), 3) % np.uint64(groups)).astype(np.int64)[doc]
+        order = np.lexsort((at, doc, to))
+        to, doc, at = to[order], doc[order], at[order]
+        rows = []
+        for part in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1):
+            if len(part):
+                own, n = np.unique(doc[part], return_counts=True)
+                rows.append((int(to[part[0]]), _planes(ids[own]), _planes(marks[own]), _planes(n.astype(np.int32)), _planes(at[part])))
+        kinds = [pa.int32()] + [pa.binary()] * 4
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _REPEATS.split(", ")])
+
+    return run
+
+
+def _merge(width: int):
+    """One group of documents: a row per document with the maximal intervals of its repeated windows."""
+
+    def run(table):
+        import pyarrow as pa
+
+        ids, marks, at = [], [], []
+        for row in table.to_pylist():
+            n = _unplane(row["n"], np.int32)
+            ids.append(np.repeat(_unplane(row["ids"], np.int64), n))
+            marks.append(np.repeat(_unplane(row["marks"], np.int32), n))
+            at.append(_unplane(row["starts"], np.int32))
+        ids, marks, at = map(np.concatenate, (ids, marks, at))
+        order = np.lexsort((at, marks, ids))
+        ids, marks, at = ids[order], marks[order], at[order]
+        other = np.ones(len(ids), bool)
+        other[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
+        new = other.copy()
+        new[1:] |= at[1:] > at[:-1] + width
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        doc = np.flatnonzero(other)
+        cut = np.append(np.searchsorted(first, doc), len(first)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(at[first], pa.int64()), pa.array(at[last] + width, pa.int64())], ["first", "end"])
+        found = pa.array(ids[doc], pa.int64(), mask=ids[doc] == _NULL_ID)
+        return pa.table({"_id": found, "_mark": pa.array(marks[doc], pa.int32()), "removed": pa.ListArray.from_arrays(pa.array(cut), pairs)})
+
+    return run
+
+
+def _repeats(table):
     hashes, docs, starts, ids, marks, again_doc, again_at, base = [], [], [], [], [], [], [], 0
     for row in table.to_pylist():
-        firsts = _unplane(row["firsts"], np.uint32).astype(np.int64)
-        own = _unplane(row["ids"], np.int64)
+        firsts = np.concatenate([[0], np.cumsum(_unplane(row["counts"], np.uint32), dtype=np.int64)])
+        own = np.cumsum(_unplane(row["ids"], np.int64))
         ids.append(own)
         marks.append(_unplane(row["marks"], np.int32))
         for blob, to_doc, to_at in ((row["places"], docs, starts), (row["repeats"], again_doc, again_at)):
@@ -138,78 +190,59 @@ def _compare(table):
     new[1:] = h[1:] != h[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     repeat = (ids[d] != ids[d[head]]) | (s != s[head])
-    doc, at = np.concatenate([d[repeat], *again_doc]), np.concatenate([s[repeat], *again_at])
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    each = doc[np.concatenate([[0], cut])] if len(doc) else doc
-    blobs = [x.tobytes() for x in np.split(at, cut)] if len(doc) else []
-    found = pa.array(ids[each], pa.int64(), mask=ids[each] == _NULL_ID)
-    return pa.table({"_id": found, "_mark": pa.array(marks[each], pa.int32()), "places": pa.array(blobs, pa.binary())})
+    return ids, marks, np.concatenate([d[repeat], *again_doc]), np.concatenate([s[repeat], *again_at])
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(_id, _mark, places)``: for each document with repeats, the packed first words (int32) of its
-    windows whose word sequence also starts earlier, in several rows."""
+    """``(_id, _mark, removed)``: for each document with repeats the maximal intervals of words covered by
+    windows whose word sequence also starts earlier."""
     # a bucket is compared by one task: their number follows the size of the text
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES)
+    buckets = int(max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash("text").alias("mark"), "text")
-    entries = rows.mapInArrow(_slices(width, int(buckets)), _ENTRIES)
-    return entries.groupBy("bucket").applyInArrow(_compare, "_id long, _mark int, places binary")
+    entries = rows.mapInArrow(_slices(width, buckets), _ENTRIES)
+    repeats = entries.groupBy("bucket").applyInArrow(_compare(buckets), _REPEATS)
+    return repeats.groupBy("target").applyInArrow(_merge(width), f"_id long, _mark int, removed {_REMOVED}")
 
 
-def _apply(width: int, kept_text: bool):
+def _apply(kept_text: bool):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rest, text, places = batch.columns
+            rest, text, removed = batch.columns
             total, gone, digests, kept, spans = [], [], [], [], []
-            for t, p in zip(text.cast(pa.binary()), places):
+            for t, cuts in zip(text.cast(pa.binary()), removed.to_pylist()):
                 raw = t.as_py()
                 words = raw.split() if raw is not None else []
+                left, n = [], 0
+                for c in cuts or ():
+                    left += words[n : c["first"]]
+                    n = c["end"]
+                left += words[n:]
                 total.append(len(words))
-                if not p.is_valid:
-                    gone.append(0)
-                    spans.append([])
-                    digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    kept.append(raw)
-                    continue
-                starts = np.concatenate([np.frombuffer(x, np.int32) for x in p.as_py()])
-                cover = np.zeros(len(words) + 1, np.int32)
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, starts + width, -1)
-                hit = np.cumsum(cover[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                left, right = edges[::2], edges[1::2]
-                spans.append([{"first": int(a), "end": int(b)} for a, b in zip(left, right)])
-                gone.append(int(hit.sum()))
-                some, at = [], 0
-                for a, b in zip(left, right):
-                    some += words[at:a]
-                    at = b
-                some += words[at:]
-                digests.append(hashlib.sha256(b" ".join(some)).hexdigest())
+                gone.append(len(words) - len(left))
+                digests.append(hashlib.sha256(b" ".join(left)).hexdigest())
+                spans.append(cuts or [])
                 if kept_text:
-                    kept.append(_cut(raw, left, right))
+                    kept.append(_cut(raw, cuts) if cuts else raw)
             out = [rest, pa.array(kept, pa.binary()).cast(text.type)] if kept_text else [rest]
             out += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
-            out.append(pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))))
+            out.append(pa.array(spans, removed.type))
             yield pa.RecordBatch.from_arrays(out, ["rest", *["text"] * kept_text, *MADE])
 
     return run
 
 
-def _cut(raw: bytes, left: np.ndarray, right: np.ndarray) -> bytes:
-    """``raw`` without the words of the intervals [left, right); the blanks after a removed word go
-    with it, all other characters stay."""
+def _cut(raw: bytes, cuts: list[dict]) -> bytes:
+    """``raw`` without the words of the intervals; the blanks after a removed word go with it, all
+    other characters stay."""
     begin, _, _ = blank_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     begin = np.append(begin, len(raw))
     parts, at = [], 0
-    for a, b in zip(begin[left], begin[right]):
-        parts.append(raw[at:a])
-        at = b
+    for c in cuts:
+        parts.append(raw[at : begin[c["first"]]])
+        at = begin[c["end"]]
     return b"".join([*parts, raw[at:]])
 
 
@@ -218,12 +251,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kept_text: bool = True)
     removed (the maximal word intervals); with ``kept_text`` the text is what remains, else there is
     no text.  Columns of ``docs`` with these names are replaced."""
     names = [c for c in docs.columns if c not in MADE and c != "text"]
-    found = repeated_windows(docs, width).groupBy("_id", "_mark").agg(F.collect_list("places").alias("places"))
+    found = repeated_windows(docs, width)
     # all other columns travel as one, so none of their names can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("rest"), "text", F.col("doc_id").alias("_own"), F.hash("text").alias("_own_mark"))
-    joined = null_safe(rows, found, {"_own": "_id", "_own_mark": "_mark"}, "left").select("rest", "text", "places")
-    made = "n_words long, n_removed long, kept_sha256 string, removed array<struct<first: long, end: long>>"
+    joined = null_safe(rows, found, {"_own": "_id", "_own_mark": "_mark"}, "left").select("rest", "text", "removed")
+    made = f"n_words long, n_removed long, kept_sha256 string, removed {_REMOVED}"
     schema = f"rest {rows.schema['rest'].dataType.simpleString()}, {'text string, ' if kept_text else ''}{made}"
-    done = joined.mapInArrow(_apply(width, kept_text), schema)
+    done = joined.mapInArrow(_apply(kept_text), schema)
     order = [F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns if c in names or c == "text" and kept_text]
     return done.select(*order, *MADE)
