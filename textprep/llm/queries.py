@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import decontam, embed_dedup, langid, licenses, minhash_dedup, mixing, substring_dedup
+from textprep.llm import decontam, embed_dedup, langid, licenses, minhash_dedup, mixing, substring_dedup, warc
 from textprep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
+@_query("op2_warc_revisits", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload")))
+    # a response's digest and length are those of the block as read, a revisit's those of its original
+    whole = F.col("record_type") == "response"
+    return back.select(
+        "page_id",
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
