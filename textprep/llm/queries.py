@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import decontam, embed_dedup, langid, licenses, minhash_dedup, mixing, quality, substring_dedup, warc
+from textprep.llm import chat, decontam, embed_dedup, langid, licenses, minhash_dedup, mixing, quality, substring_dedup, warc
 from textprep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +91,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_minhash_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash_dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return minhash_dedup.near_duplicates(docs, size=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP3_SQL = r"""
@@ -185,3 +185,35 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.array_join("votes", ",").alias("votes"), "p_good", "score", "kept")
+
+
+OP8_SQL = """
+WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+chosen AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
+rejected AS (
+    SELECT c.pair_id, c.turn, c.role, c.text FROM chosen c LEFT JOIN last l ON c.pair_id = l.conv_id WHERE l.last IS NULL OR c.turn < l.last
+    UNION ALL
+    SELECT mine.conv_id, mine.last, t.role, t.text
+    FROM conversations t JOIN last other ON t.conv_id = other.conv_id AND t.turn = other.last AND t.role = 'assistant'
+    JOIN last mine ON mine.conv_id = xor(t.conv_id, 1)
+), turns AS (
+    SELECT pair_id, turn, role, text, sum(c)::BIGINT AS c, sum(r)::BIGINT AS r
+    FROM (SELECT *, 1 AS c, 0 AS r FROM chosen UNION ALL SELECT *, 0, 1 FROM rejected) GROUP BY ALL
+), differ AS (SELECT pair_id, min(turn) AS start FROM turns WHERE c <> r GROUP BY pair_id),
+placed AS (SELECT t.*, d.start IS NULL OR t.turn < d.start AS shared FROM turns t LEFT JOIN differ d ON t.pair_id = d.pair_id),
+parts AS (
+    SELECT *, 'prompt' AS part, c AS copies FROM placed WHERE shared
+    UNION ALL SELECT *, 'chosen', c FROM placed WHERE NOT shared AND c > 0
+    UNION ALL SELECT *, 'rejected', r FROM placed WHERE NOT shared AND r > 0
+)
+SELECT pair_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS mask, copies
+FROM parts
+"""
+
+
+@_query("op8_chat_preferences", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = chat.format_pairs(*chat.with_negatives(turns))
+    return found.select("pair_id", "part", "turn", "role", "rendered", "mask", "copies")

@@ -260,3 +260,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kept_text: bool = True)
     done = joined.mapInArrow(_apply(kept_text), schema)
     order = [F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns if c in names or c == "text" and kept_text]
     return done.select(*order, *MADE)
+
+
+def strip_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with repeated windows cut out of the text and n_chars, where there is one, set to what is
+    left; documents that had words and keep none go.  All columns stay, names that
+    :func:`remove_repeats` makes included."""
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    # what the caller has under those names would be replaced: it travels under others
+    hidden = {c: f"{c}_own" for c in docs.columns if c in MADE}
+    for old, new in hidden.items():
+        docs = docs.withColumnRenamed(old, new)
+    done = remove_repeats(docs, width).where("n_removed = 0 OR n_removed < n_words")
+    if "n_chars" in done.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(done.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    done = done.drop(*MADE)
+    for old, new in hidden.items():
+        done = done.withColumnRenamed(new, old)
+    return done.select(*kept)
