@@ -55,6 +55,7 @@ def with_negatives(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     same with the closing assistant turns of its neighbour (conv_id with the last bit flipped) in the
     place of its own; without a neighbour, or without an assistant turn there, it has none."""
     key = ["conv_id", "turn"]
+    turns = turns.select(*key, "role", "text")
     last = turns.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max("turn").alias("last"))
     chosen = turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     closing = turns.join(last, "conv_id").where((F.col("turn") == F.col("last")) & (F.col("role") == TRAINED)).select(*key, "role", "text")
