@@ -28,10 +28,17 @@ def test_scan_reads_only_needed_columns(spark, static_plans):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-def test_dedup_is_one_shuffle(spark, static_plans):
+def test_dedup_moves_hashes_not_text(spark, static_plans):
     plan = plan_of(E.queries()["p10_dedup_near"](spark, SF_CHECK))
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
-    assert "SortMergeJoin" not in plan and "Union" not in plan
+    assert "SortAggregate" not in plan
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and not any(c in line.split("ENSURE")[0] for line in keys for c in ("title", "goal", "content", "effect"))
+    assert any("_h1" in line for line in keys)
+
+
+def test_pooling_is_one_shuffle_without_explode(spark, static_plans):
+    plan = plan_of(E.queries()["e4_mean_max_concat"](spark, SF_CHECK))
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "Generate" not in plan
 
 
 def test_fold_rank_window_is_bucketed(spark, static_plans):

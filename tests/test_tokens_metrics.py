@@ -27,12 +27,7 @@ def test_lookup_unknown_and_hybrid_path(spark):
     v = TK.build_vocab(corpus(spark), "text")
     toks = spark.createDataFrame([(0, "the"), (1, "zebra"), (2, "down")], "p int, token string")
     small = {r["p"]: r["id"] for r in TK.lookup_ids(toks, v).collect()}
-    old = TK.HEAD_ROWS
-    TK.HEAD_ROWS = 8
-    try:
-        hybrid = {r["p"]: r["id"] for r in TK.lookup_ids(toks, v, max_broadcast=3).collect()}
-    finally:
-        TK.HEAD_ROWS = old
+    hybrid = {r["p"]: r["id"] for r in TK.lookup_ids(toks, v, max_bytes=0).collect()}
     assert small == hybrid == {0: 5, 1: TK.UNK_ID, 2: 11}
 
 

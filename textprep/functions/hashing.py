@@ -6,7 +6,8 @@ come out of DuckDB with ``md5(concat_ws('|', ...))``.
 
 * ``hash_hex(seed, *parts)``    32-char hex digest; ordering rows by it (then by a unique key)
                                  gives a seeded shuffle (H2).
-* ``uniform(seed, *parts)``     a double in [0, 1) from the first 32 bits of the digest (H1).
+* ``uniform(seed, *parts)``     a double in [0, 1) from the first 52 bits of the digest (H1): every
+                                 multiple of 2**-52, so ranges of up to 2**52 rows are hit evenly.
 * ``hex_bucket(hex, n)``         ``floor(u * n)`` of a digest: monotone in the digest order, used
                                  to split one hot group into ``n`` ranges without changing order.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_POW_32 = 4294967296.0
+TWO_POW_52 = 4503599627370496.0
 
 
 def _as_col(x) -> Column:
@@ -32,12 +33,12 @@ def hash_hex(seed, *parts) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_as_col(p) for p in parts]))
 
 
-def hex_u32(hex_col: Column) -> Column:
-    return F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("long")
+def hex_u52(hex_col: Column) -> Column:
+    return F.conv(F.substring(hex_col, 1, 13), 16, 10).cast("long")
 
 
 def uniform_from_hex(hex_col: Column) -> Column:
-    return hex_u32(hex_col) / F.lit(TWO_POW_32)
+    return hex_u52(hex_col) / F.lit(TWO_POW_52)
 
 
 def uniform(seed, *parts) -> Column:
@@ -46,12 +47,3 @@ def uniform(seed, *parts) -> Column:
 
 def hex_bucket(hex_col: Column, n: int) -> Column:
     return F.floor(uniform_from_hex(hex_col) * F.lit(n)).cast("int")
-
-
-# DuckDB spellings of the same primitives, used by the oracle SQL.
-def sql_hash_hex(seed, *parts: str) -> str:
-    return "md5(concat_ws('|', '" + str(seed) + "', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "))"
-
-
-def sql_uniform(seed, *parts: str) -> str:
-    return f"(('0x' || substr({sql_hash_hex(seed, *parts)}, 1, 8))::BIGINT / 4294967296.0)"

@@ -16,14 +16,12 @@ def explode_chunks(
     carry: tuple[str, ...] = ("label", "cv"),
     overlap: float = 0.25,
     out_col: str = "data",
-    cleaned: bool | None = None,
+    cleaned: bool = False,
 ) -> DataFrame:
     """One row per chunk: ``key, subix, data`` plus the carried columns that exist
     (``label, cv`` for training data, nothing for test data).  A narrow ``posexplode``; no shuffle.
-    ``cleaned`` (default: the column name ends in ``_cleaned``) splits on single spaces only."""
+    ``cleaned`` text (P12) holds single spaces only and is split on them."""
     keep = [c for c in carry if c in df.columns]
-    if cleaned is None:
-        cleaned = text_col.endswith("_cleaned")
     words = df.select(key_col, *keep, split_words(F.col(text_col), cleaned).alias("_words"))
     return words.select(
         key_col, *keep, F.posexplode(word_windows(F.col("_words"), size, overlap)).alias("subix", out_col)

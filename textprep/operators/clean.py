@@ -1,11 +1,10 @@
 """Record cleaning (P1-P11, P18, P19): column choice, null fill, text joining, drop lists,
 placeholder nulling, duplicate removal and the survivor filter.
 
-Duplicate removal keeps the first row (smallest key) of every group of equal rows.  It is an
-aggregation, not a window: ``min_by(row, key)`` per group with map-side partial aggregation, so a
-group of copies holding a third of all rows is reduced inside each map task before the shuffle.
-Rows with a null in the key are never duplicates (pandas drops null group keys): they form
-groups of their own inside the same aggregation, so the input is computed once.
+Duplicate removal keeps the first row (smallest key) of every group of equal rows.  It works on
+128-bit hashes of the key columns: an aggregation finds the first row of each group, a join the
+rows to drop, and the data is anti-joined with their ids.  Rows with a null in the key are never
+duplicates (pandas drops null group keys).
 """
 
 from __future__ import annotations
@@ -102,37 +101,32 @@ def null_placeholders(
 
 # --- P9-P11: keep-first dedup ----------------------------------------------------------------
 
+def duplicate_ids(
+    df: DataFrame, key_cols: Sequence[str], order_col: str = "index", exempt_col: str | None = None
+) -> DataFrame:
+    """``(_id)``: rows to drop, those that are not the first of their group of equal keys.  The key
+    columns are reduced to 128 bits before any shuffle, so the text itself never moves: one hash
+    aggregation (combined in each task first) finds the first row per key, and one equi-join of
+    (hash, id) pairs finds the others; AQE splits the partition of a hot key."""
+    keys = [F.col(c) for c in key_cols]
+    exempt = F.coalesce(F.col(exempt_col), F.lit(False)) if exempt_col else F.lit(False)
+    hashed = df.filter(~_any([c.isNull() for c in keys])).select(
+        F.col(order_col).alias("_id"), exempt.alias("_exempt"), F.xxhash64(*keys).alias("_h1"), F.xxhash64(F.lit("second"), *keys).alias("_h2")
+    )
+    first = hashed.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return hashed.join(first, ["_h1", "_h2"]).filter("_id > _first AND NOT _exempt").select("_id")
+
+
 def dedup_keep_first(
     df: DataFrame, key_cols: Sequence[str], order_col: str = "index", exempt_col: str | None = None
 ) -> DataFrame:
     """Of every group of rows equal on ``key_cols`` keep the one with the
     smallest ``order_col`` (a unique key).  Rows with a null key column are kept.  Rows flagged
     by ``exempt_col`` are always kept, yet still count as group members, so a flagged first row
-    removes the rest of its group.
-
-    One aggregation, one shuffle, whatever the flags: a null-key row forms a group of its own
-    (extra group column = its key); a flagged row forms a group of its own *and* enters its key
-    group as a non-emitted blocker.  ``min_by`` aggregates partially before the shuffle, so a
-    group of copies holding a third of all rows is reduced inside every map task first."""
-    key_cols = list(key_cols)
-    any_null = _any([F.col(c).isNull() for c in key_cols])
-    rest = [c for c in df.columns if c not in key_cols]
-    own = F.col(order_col)
-    if exempt_col:
-        ex = F.coalesce(F.col(exempt_col), F.lit(False))
-        alone = F.struct(own.alias("g"), F.lit(False).alias("b"))
-        member = F.struct(F.lit(None).cast(df.schema[order_col].dataType).alias("g"), F.lit(False).alias("b"))
-        blocker = F.struct(F.lit(None).cast(df.schema[order_col].dataType).alias("g"), F.lit(True).alias("b"))
-        variants = F.when(any_null, F.array(alone)).when(ex, F.array(alone, blocker)).otherwise(F.array(member))
-        d = df.withColumn("_v", F.explode(variants)).withColumn("_gk", F.col("_v.g")).withColumn("_blk", F.col("_v.b")).drop("_v")
-    else:
-        d = df.withColumn("_gk", F.when(any_null, own)).withColumn("_blk", F.lit(False))
-    firsts = (
-        d.groupBy(*key_cols, "_gk")
-        .agg(F.min_by(F.struct(*rest, "_blk"), own).alias("_first"))
-        .select(*key_cols, "_first.*")
-    )
-    return firsts.filter(~F.col("_blk")).select(*df.columns)
+    removes the rest of its group.  The rows are only anti-joined with the ids to drop, which are
+    broadcast at run time when they are few."""
+    dropped = duplicate_ids(df, key_cols, order_col, exempt_col)
+    return df.join(dropped, F.col(order_col) == F.col("_id"), "left_anti")
 
 
 # --- P18: the composition ----------------------------------------------------------------
@@ -155,7 +149,7 @@ def clean_records(
 
     P9 (full-row key) is subsumed by P10 (its key is a subset of P9's): the first row of a
     P10 group is also first in its P9 sub-group, so running P10 alone keeps the same rows and
-    saves a shuffle.  Two shuffles in total: P10 and P11."""
+    saves a step."""
     rules = rules or CleanRules()
     near_key = [c for c in df.columns if c not in (key_col, year_col, continuing_col)]
     d = dedup_keep_first(df, near_key, key_col)

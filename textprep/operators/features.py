@@ -1,11 +1,10 @@
 """Features (E1-E8, G7-G9, T19): encoding chunks, collecting chunk vectors per document,
 pooling, padding, a linear head and fitting one.
 
-Per-document vector lists (E5) are one ``groupBy`` on the document key; pooling (E2/E3/E6) is an
-aggregation per (document, dimension) that combines partially before the shuffle, so it never
-gathers one document's chunks in one task.
-Class-level models (C x dim numbers) are small, size-checked and held as literals, the way
-Spark ML models keep their coefficients on the driver."""
+Per-document vector lists (E5) are one ``groupBy`` on the document key; pooling (E2/E3/E6) and
+class means are ``Summarizer`` aggregates of whole vectors, combined partially before their one
+shuffle, so no key gathers its chunks in one task.  A class-level model (one vector per class) is
+a matrix that every task holds, with its class ids: predictions are classes, not positions."""
 
 from __future__ import annotations
 
@@ -18,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_MODEL_CELLS = 50_000_000  # classes x dim held as a literal model
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -46,10 +43,15 @@ def collect_chunks(
 
 
 def max_seq_len(docs: DataFrame, seq_col: str = "seq_len") -> int:
-    """The longest sequence (a one-row aggregate)."""
+    """G9 of collected documents: the longest sequence (a one-row aggregate)."""
     return docs.agg(F.max(seq_col)).first()[0] or 0
 
 
+def longest_sequence(chunks: DataFrame, key_col: str = "index") -> DataFrame:
+    """G9 of a chunk table, ``(max_seq_len)``: rows are counted per document, no vector moves."""
+    return chunks.groupBy(key_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("max_seq_len"))
+
+
 # --- E2 / E3 / E4 / E6: pooling -------------------------------------------------------------
 
 def _dims(hs: Column) -> Column:
@@ -77,24 +79,19 @@ def masked_mean(hs, mask) -> Column:
     return pool(F.transform(kept, lambda z: z["v"]), "mean")
 
 
-def pool_by_key(chunks: DataFrame, key_col: str = "index", vec_col: str = "hs", hows=("mean",)) -> DataFrame:
-    """E2 / E3 / E6 as aggregations: per key and dimension ``avg`` / ``max`` / ``sum`` over the
-    chunk vectors, then one array per pooling.  Unlike pooling a collected list, this never
-    gathers a key's chunks in one place: the per-dimension partial aggregates combine before the
-    shuffle, so a key holding a third of all chunks costs no more than any other."""
-    fns = {"mean": F.avg, "max": F.max, "sum": F.sum}
-    e = chunks.select(key_col, F.posexplode(vec_col).alias("_pos", "_x"))
-    per_dim = e.groupBy(key_col, "_pos").agg(*[fns[h](F.col("_x").cast("double")).alias(h) for h in hows])
-    g = per_dim.groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct("_pos", *hows))).alias("_d"))
-    def field(h):
-        return F.transform("_d", lambda x: x[h]).alias(h)
+def _summary(how: str, vec_col: str) -> Column:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    return g.select(key_col, *[field(h) for h in hows])
+    x = array_to_vector(F.transform(vec_col, lambda v: v.cast("double")))
+    return vector_to_array({"mean": Summarizer.mean, "max": Summarizer.max, "sum": Summarizer.sum}[how](x)).alias(how)
 
 
-def mean_max(hs) -> Column:
-    """Mean and max vectors concatenated."""
-    return F.concat(pool(hs, "mean"), pool(hs, "max"))
+def pool_by_key(chunks: DataFrame, key_col: str = "index", vec_col: str = "hs", hows=("mean",), also=()) -> DataFrame:
+    """Per key the mean / max / sum vector of its chunk vectors.  The aggregate's
+    buffer is one vector per pooling, merged in each task before the shuffle, so a key holding a third of all
+    chunks costs no more than any other.  ``also``: further aggregates of the same grouping."""
+    return chunks.groupBy(key_col).agg(*[_summary(h, vec_col) for h in hows], *also)
 
 
 # --- T19: padding ---------------------------------------------------------------------------
@@ -116,55 +113,54 @@ def pad_sequences(docs: DataFrame, dim: int, vec_col: str = "hs", seq_col: str =
 # --- class centroids, linear head (E7) and M1 --------------------------------------------
 
 def class_means(df: DataFrame, vec_col: str = "hs", label_col: str = "label") -> DataFrame:
-    """Per class the mean vector (``posexplode`` + per-dimension ``avg``; partial aggregation
-    keeps the shuffle at classes x dims rows per task)."""
-    e = df.select(F.col(label_col).alias("cls"), F.posexplode(vec_col).alias("pos", "x"))
-    m = e.groupBy("cls", "pos").agg(F.avg(F.col("x").cast("double")).alias("mu"))
-    return m.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("pos", "mu"))).alias("_m")).select(
-        "cls", F.transform("_m", lambda s: s["mu"]).alias("mean")
-    )
+    """Per class the mean vector ``(cls, mean)``."""
+    m = df.filter(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("cls")).agg(_summary("mean", vec_col))
+    return m.select("cls", "mean")
 
 
-def collect_model(model: DataFrame, vec_col: str = "mean", cls_col: str = "cls", max_classes: int = 100_000) -> list[tuple]:
-    """Bring a per-class model table to the driver after checking its size."""
-    rows = model.orderBy(cls_col).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError("model has too many classes to hold as a literal")
-    cells = sum(len(r[vec_col]) for r in rows)
-    if cells > MAX_MODEL_CELLS:
-        raise ValueError("model too large to hold as a literal")
-    return [(r[cls_col], list(r[vec_col])) for r in rows]
+def collect_model(model: DataFrame, vec_col: str = "mean", cls_col: str = "cls") -> list[tuple]:
+    """A per-class model table as ``[(class, vector), ...]`` in class order: one vector per class, which
+    every task that scores holds too."""
+    return [(r[cls_col], list(r[vec_col])) for r in model.orderBy(cls_col).collect()]
 
 
-def _matrix_lit(rows: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
+def dot_scores(x, weights: list[list[float]], bias: list[float] | None = None, relu: bool = False, digits: int | None = 8) -> Column:
+    """Scores of a vector against each row of a matrix (E7 when ``relu``), optionally rounded:
+    ``[round(relu(x) . w_c + b_c, digits) for c]``; a matrix product per Arrow batch."""
+    w = np.asarray(weights, np.float64).reshape(len(weights), -1)
+    b = np.asarray(bias, np.float64) if bias is not None else np.zeros(len(weights))
 
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        v = np.array(vectors.tolist(), np.float64)
+        return pd.Series(list((np.maximum(v, 0) if relu else v) @ w.T + b))
 
-def dot_scores(x, weights: list[list[float]], bias: list[float] | None = None, relu: bool = False, digits: int | None = 8) -> Column:
-    """Scores of a vector against each row of a literal matrix (E7 when ``relu``), optionally
-    rounded: ``[round(relu(x) . w_c + b_c, digits) for c]``."""
-    v = _c(x)
-    if relu:
-        v = F.transform(v, lambda a: F.greatest(a, F.lit(0.0)))
-    W = _matrix_lit(weights)
-    b = F.array(*[F.lit(float(x)) for x in (bias or [0.0] * len(weights))])
-    s = F.transform(
-        F.arrays_zip(W.alias("w"), b.alias("b")),
-        lambda wb: F.aggregate(F.zip_with(v, wb["w"], lambda p, q: p * q), F.lit(0.0), lambda a, t: a + t) + wb["b"],
-    )
-    if digits is not None:
-        s = F.transform(s, lambda t: F.round(t, digits))
-    return s
+    s = score(_c(x))
+    return F.transform(s, lambda t: F.round(t, digits)) if digits is not None else s
 
 
-def centroid_predictions(df: DataFrame, model_rows: list[tuple], vec_col: str = "hs", key_col: str = "key", label_col: str = "label") -> DataFrame:
-    """Nearest-centroid scoring: logits = dot product with each class mean (8-digit rounding),
-    ``pred`` = first arg-max (M1)."""
+def centroid_predictions(
+    df: DataFrame, model_rows: list[tuple], vec_col: str = "hs", key_col: str = "key", label_col: str = "label", num_classes: int | None = None
+) -> DataFrame:
+    """Nearest-centroid scoring: ``logits`` are the dot products with the class means (8-digit
+    rounding) in class order, ``pred`` is the class of the first arg-max (M1).  Logits are read by class
+    in M6-M8: with ``num_classes`` they are laid out by class 0..C-1, a class without a mean at minus infinity."""
     from textprep.operators.metrics import argmax
 
-    W = [v for _, v in model_rows]
-    d = df.select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("label"), dot_scores(F.col(vec_col), W).alias("logits"))
-    return d.withColumn("pred", argmax("logits"))
+    classes = [c for c, _ in model_rows]
+    logits = dot_scores(F.col(vec_col), [v for _, v in model_rows])
+    if num_classes is not None:
+        place = {c: i for i, c in enumerate(classes)}
+        d = df.withColumn("_z", logits)
+        none = F.lit(float("-inf"))
+        logits = F.array(*[F.col("_z")[place[c]] if c in place else none for c in range(num_classes)])
+        classes = list(range(num_classes))
+    else:
+        d = df
+    d = d.select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("label"), logits.alias("logits"))
+    return d.withColumn("pred", F.element_at(F.array(*[F.lit(c) for c in classes]), argmax("logits") + 1).cast("int"))
 
 
 # --- E1: encoders ----------------------------------------------------------------------------
@@ -199,6 +195,12 @@ def extract_features(
 
 # --- E8: fitting a weighted linear head -------------------------------------------------------
 
+def as_features(vec) -> Column:
+    from pyspark.ml.functions import array_to_vector
+
+    return array_to_vector(_c(vec))
+
+
 def fit_linear_head(docs: DataFrame, vec_col: str = "x", label_col: str = "label", weight_col: str | None = "w", max_iter: int = 50):
     """Multinomial logistic regression on document vectors with per-row class weights
     (``pyspark.ml``); returns the fitted model."""
@@ -206,7 +208,7 @@ def fit_linear_head(docs: DataFrame, vec_col: str = "x", label_col: str = "label
     from pyspark.ml.functions import array_to_vector
 
     d = docs.withColumn("_features", array_to_vector(vec_col)).withColumn("_label", F.col(label_col).cast("double"))
-    lr = LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", maxIter=max_iter, regParam=0.01)
+    lr = LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", maxIter=max_iter, regParam=0.01, tol=1e-9)
     if weight_col:
         lr = lr.setWeightCol(weight_col)
     return lr.fit(d)

@@ -41,13 +41,10 @@ def class_weights(df: DataFrame, label_col: str = "label", scheme: str = "total_
     return c.select(label_col, "n", w.cast("double").alias("w"))
 
 
-def class_weight_list(df: DataFrame, label_col: str = "label", scheme: str = "total_over_count", max_classes: int = 100_000) -> list[float]:
+def class_weight_list(df: DataFrame, label_col: str = "label", scheme: str = "total_over_count") -> list[float]:
     """G1 at the edge: the weights as a list positional by sorted label (what a weighted loss
-    takes); one row per class comes back to the driver, after a size check."""
-    rows = class_weights(df, label_col, scheme).orderBy(label_col).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError("too many classes for a weight list")
-    return [float(r["w"]) for r in rows]
+    takes), one number per class."""
+    return [float(r["w"]) for r in class_weights(df, label_col, scheme).orderBy(label_col).collect()]
 
 
 def class_proportions(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -82,16 +79,33 @@ def class_size_range(df: DataFrame, label_col: str = "label") -> DataFrame:
     return c.agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.count(F.lit(1)).alias("n_classes"))
 
 
-def label_domain_report(df: DataFrame, num_classes: int, split_col: str, label_col: str = "label", n_weights: int | None = None) -> DataFrame:
+def label_domain_report(
+    df: DataFrame, num_classes: int, split_col: str, label_col: str = "label", n_weights: int | None = None, raise_on_violation: bool = False
+) -> DataFrame:
     """Per split, the distinct labels must be exactly ``0..C-1`` (and the weight list
-    must have C entries).  One row per split with the facts and an ``ok`` flag."""
-    r = df.groupBy(split_col).agg(
+    must have C entries).  One row per split with the facts and an ``ok`` flag; on request a violation raises.
+    The distinct labels of a wrong column may be many: they are counted, not collected
+    (:func:`label_violations` lists the wrong ones as a table)."""
+    labels = df.select(split_col, label_col).distinct()
+    wrong = F.col(label_col).isNull() | (F.col(label_col) < 0) | (F.col(label_col) >= num_classes)
+    r = labels.groupBy(split_col).agg(
         F.min(label_col).alias("min_label"),
         F.max(label_col).alias("max_label"),
-        F.size(F.collect_set(label_col)).alias("n_distinct"),
-        F.array_join(F.transform(F.array_sort(F.collect_set(label_col)), lambda x: x.cast("string")), ",").alias("labels"),
+        F.count(label_col).alias("n_distinct"),
+        F.sum(wrong.cast("long")).alias("n_wrong"),
     )
-    ok = (F.col("min_label") == 0) & (F.col("max_label") == num_classes - 1) & (F.col("n_distinct") == num_classes)
+    ok = (F.col("n_wrong") == 0) & (F.col("n_distinct") == num_classes)
     if n_weights is not None:
         ok = ok & F.lit(n_weights == num_classes)
-    return r.withColumn("ok", ok)
+    r = r.withColumn("ok", ok)
+    if raise_on_violation:
+        bad = [x[split_col] for x in r.filter(~F.col("ok")).select(split_col).limit(10).collect()]
+        if bad:
+            raise ValueError(f"labels are not 0..{num_classes - 1}, or weights don't match, in {bad}")
+    return r
+
+
+def label_violations(df: DataFrame, num_classes: int, split_col: str, label_col: str = "label") -> DataFrame:
+    """``(split, label, n)``: labels outside ``0..C-1``, with their rows."""
+    wrong = F.col(label_col).isNull() | (F.col(label_col) < 0) | (F.col(label_col) >= num_classes)
+    return df.filter(wrong).groupBy(split_col, label_col).agg(F.count(F.lit(1)).alias("n"))

@@ -26,17 +26,14 @@ def confusion(pred: DataFrame, label_col: str = "label", pred_col: str = "pred")
 def per_class(conf: DataFrame) -> DataFrame:
     """Per class over the union of true and predicted classes: support, predicted, hits,
     precision, recall, f1 (0 where undefined, as scikit-learn's report with zero division 0).
-    The confusion table (at most C x C rows) is materialised once, so the three reductions
-    below and the report rows built on them never re-read the predictions."""
-    conf = checkpointed(conf)
-    true_n = conf.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    pred_n = conf.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    hits = conf.filter(F.col("label") == F.col("pred")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
-    t = true_n.join(pred_n, "cls", "full_outer").join(hits, "cls", "left")
-    t = t.select(
-        "cls",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("support", "predicted", "tp")],
+    Each confusion row counts for its label and for its prediction, in one grouping."""
+    hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("support"), zero.alias("predicted"), hit.cast("long").alias("tp")),
+        F.struct(F.col("pred").alias("cls"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp")),
     )
+    t = conf.select(F.explode(sides).alias("s")).select("s.*").groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     prec = F.coalesce(F.try_divide(F.col("tp"), F.nullif(F.col("predicted"), F.lit(0))), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.nullif(F.col("support"), F.lit(0))), F.lit(0.0))
     f1 = F.coalesce(

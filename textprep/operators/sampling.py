@@ -7,16 +7,16 @@ Draws are exact in size (not Bernoulli like ``sample``/``sampleBy``):
   rank ``j`` in seeded hash order (rank from :func:`hash_rank`, hot classes split by ranges);
 * with replacement (more draws than rows): draw ``j`` takes rank ``floor(u(seed, label, j) * n_c) + 1``.
 
-The draw list is generated in parallel blocks (:func:`expand_counts`) and equi-joined to the
-ranked rows on ``(label, rank)`` - a uniform key - after the ranked rows are cut to the ranks a
-draw can ask for, so the join shuffles about as many rows as the sample holds.
+Classes drawn without replacement are a filter on the rank.  Only the others get a draw list,
+generated in parallel blocks (:func:`expand_counts`) and equi-joined to their ranked rows on
+``(label, rank)`` - a uniform key.
 
 Every hash includes the seed and the epoch, so each epoch redraws and any run reproduces.
 """
 
 from __future__ import annotations
 
-import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,10 @@ from textprep.operators.ranking import expand_counts, global_rank, hash_rank
 from textprep.session import checkpointed, shuffle_partitions, small_side
 
 
+SMALL_CLASS = 100  # rows below which a dynamic schedule warns
+RANGES = 4096  # equal cuts of [0, 1) in which a weighted draw looks for its class
+
+
 def _ranked(df: DataFrame, label_col: str, key_col: str, seed: int, epoch: int) -> DataFrame:
     d = df.withColumn("_sh", hash_hex(seed, F.lit("row"), epoch, key_col))
     return hash_rank(d, [label_col], "_sh", [key_col], rank_col="_rn", size_col="_n").drop("_sh")
@@ -56,13 +60,20 @@ def dynamic_targets(
     start_epoch: int = 0,
     max_d: float | None = None,
     mode="downsampling",
+    ignore_warning: bool = False,
 ) -> DataFrame:
     """B4 schedule: per ``(epoch, label)``: ``D_c = n_c / n_min``;
     ``target = int(min(D_c ** (lambda ** epoch), max_d) * base)``, ``base = n_min`` or the given
     int.  Pass ``e`` of the sampler uses epoch ``start_epoch + e``."""
     if not 0 < exp_lambda < 1:
         raise ValueError("exp_lambda must be in (0, 1)")
+    if mode != "downsampling" and (isinstance(mode, bool) or not isinstance(mode, int)):
+        raise ValueError(f"mode must be 'downsampling' or an int, not {mode!r}")
     c = class_counts(df, label_col)
+    if not ignore_warning:
+        least = c.agg(F.min("n")).first()[0]
+        if least is not None and least < SMALL_CLASS:
+            warnings.warn(f"the smallest class has {least} rows; draws repeat few rows", stacklevel=2)
     n_min = F.min("n").over(Window.partitionBy(F.lit(0)))
     base = n_min if mode == "downsampling" else F.lit(int(mode))
     c = c.select(label_col, "n", (F.col("n") / n_min).alias("_d"), base.cast("double").alias("_base"))
@@ -90,16 +101,15 @@ def draw(
     if "n" not in targets.columns:
         targets = targets.join(class_counts(df, label_col), label_col)
     t = small_side(targets.select(label_col, F.col("n").cast("long").alias("n"), F.col("target").cast("long").alias("target")))
-    # Ranked rows, computed once; only ranks a draw can ask for survive: the first `target`
-    # rows of a class drawn without replacement, every row of a class drawn with replacement.
-    r = _ranked(df.select(label_col, key_col), label_col, key_col, seed, epoch).join(t.drop("n"), label_col)
-    r = r.filter(F.col("_rn") <= F.least(F.col("target"), F.col("_n"))).select(label_col, "_rn", key_col)
-    # One draw row per (class, j); draw j takes rank j, or a uniform rank with replacement.
+    ranked = _ranked(df.select(label_col, key_col), label_col, key_col, seed, epoch).join(t.drop("n"), label_col)
+    taken = ranked.filter((F.col("target") <= F.col("_n")) & (F.col("_rn") <= F.col("target")))
+    taken = taken.select(label_col, F.col("_rn").alias("j"), key_col)
+    # classes with more draws than rows: one draw row per (class, j), a uniform rank for each
+    repeated = t.filter(F.col("target") > F.col("n"))
     u = uniform(seed, F.lit("draw"), epoch, label_col, "j")
-    picks = expand_counts(t, "target", "j").withColumn(
-        "_rn", F.when(F.col("target") <= F.col("n"), F.col("j")).otherwise(F.floor(u * F.col("n")) + 1).cast("long")
-    )
-    return picks.join(r, [label_col, "_rn"]).select(label_col, "j", key_col)
+    picks = expand_counts(repeated, "target", "j").withColumn("_rn", (F.floor(u * F.col("n")) + 1).cast("long"))
+    rows = ranked.filter(F.col("target") > F.col("_n")).select(label_col, "_rn", key_col)
+    return taken.unionByName(picks.join(rows, [label_col, "_rn"]).select(label_col, "j", key_col))
 
 
 def balanced_sample(df, label_col="label", key_col="index", mode="downsampling", seed=42, epoch=0) -> DataFrame:
@@ -123,37 +133,28 @@ def weighted_sample(
     key_col: str = "index",
     seed: int = 42,
     epoch: int = 0,
-    max_classes: int = 100_000,
 ) -> DataFrame:
     """B5 with class-constant weights: ``n`` draws with replacement, row ``i`` with probability
-    proportional to ``w[label_i]``.  A draw picks the class by its mass ``w_c * n_c`` (the
-    bounded per-class table becomes a literal), then a row uniformly inside the class.
-    The draw ids come from ``spark.range`` (generated in parallel)."""
-    spark = df.sparkSession
+    proportional to ``w[label_i]``.  A draw picks the class by its mass ``w_c * n_c``, then a row
+    uniformly inside the class.  Classes tile [0, 1) with intervals; both sides are cut into
+    ``RANGES`` equal ranges, so a draw finds its interval by an equi-join on the range.  The draw
+    ids come from ``spark.range`` (generated in parallel)."""
     c = class_counts(df, label_col).join(weights.select(label_col, "w"), label_col)
-    rows = c.orderBy(label_col).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError("too many classes for a class-constant weighted draw")
-    labels = [r[label_col] for r in rows]
-    sizes = [int(r["n"]) for r in rows]
-    mass = [float(r["w"]) * r["n"] for r in rows]
-    total = sum(mass)
-    bounds, acc = [], 0.0
-    for m in mass[:-1]:
-        acc += m
-        bounds.append(acc / total)
-    lab_arr = F.array(*[F.lit(x) for x in labels])
-    size_arr = F.array(*[F.lit(x) for x in sizes])
-    bnd_arr = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<double>")
-    d = spark.range(n)
-    u = uniform(seed, F.lit("class"), epoch, "id")
-    idx = F.size(F.filter(bnd_arr, lambda b: b <= u)) + 1
-    d = d.select(
-        (F.col("id") + 1).alias("j"),
-        F.element_at(lab_arr, idx).alias(label_col),
-        F.element_at(size_arr, idx).alias("_n"),
-        uniform(seed, F.lit("row"), epoch, "id").alias("_u2"),
+    c = c.select(label_col, "n", (F.col("w") * F.col("n")).cast("double").alias("_m"))
+    # one row per class; running sums in label order
+    upto = Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(F.lit(0))
+    c = c.withColumn("_sum", F.sum("_m").over(upto)).withColumn("_total", F.sum("_m").over(every)).withColumn("_last", F.max(label_col).over(every))
+    lo = F.coalesce(F.lag("_sum").over(Window.orderBy(label_col)), F.lit(0.0)) / F.col("_total")
+    hi = F.when(F.col(label_col) == F.col("_last"), F.lit(2.0)).otherwise(F.col("_sum") / F.col("_total"))
+    c = c.select(label_col, F.col("n").alias("_n"), lo.alias("_lo"), hi.alias("_hi"))
+    ranges = F.sequence(F.floor(F.col("_lo") * RANGES).cast("int"), F.least(F.floor(F.col("_hi") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    intervals = small_side(c.filter(F.col("_lo") < 1).withColumn("_range", F.explode(ranges)))
+    d = df.sparkSession.range(n).select(
+        (F.col("id") + 1).alias("j"), uniform(seed, F.lit("class"), epoch, "id").alias("_u"), uniform(seed, F.lit("row"), epoch, "id").alias("_u2")
     )
+    d = d.withColumn("_range", F.floor(F.col("_u") * RANGES).cast("int")).join(intervals, "_range")
+    d = d.filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
     d = d.withColumn("_rn", (F.floor(F.col("_u2") * F.col("_n")) + 1).cast("long"))
     r = _ranked(df.select(label_col, key_col), label_col, key_col, seed, epoch)
     return d.join(r.select(label_col, "_rn", key_col), [label_col, "_rn"]).select(label_col, "j", key_col)
@@ -166,6 +167,7 @@ def shard(
     repeating its head, position ``p`` goes to shard ``p % replicas`` at place ``p // replicas``.
     Adds ``pos``, ``shard``, ``local_pos``; shards are disjoint and equally long."""
     ids = list(id_cols)
+    sample = checkpointed(sample)  # the order and its sizes both read the draw: it is drawn once
     if shuffle:
         s = sample.withColumn("_ph", hash_hex(seed, F.lit("perm"), epoch, *ids))
         s = hash_rank(s, [], "_ph", ids, rank_col="_pr", size_col="_L").drop("_ph")
@@ -173,15 +175,15 @@ def shard(
         s = global_rank(sample, ids, rank_col="_pr")
         s = s.withColumn("_L", F.lit(s.count()))  # one scalar (the ranked rows are checkpointed)
     pos = F.col("_pr") - 1
-    total = F.ceil(F.col("_L") / replicas) * replicas
+    total = F.call_function("div", F.col("_L") + (replicas - 1), F.lit(replicas)) * replicas
     pad = total - F.col("_L")
     # position p >= L repeats position (p - L) % L
-    copies = F.when(pos < pad, F.sequence(F.lit(0), F.ceil((pad - pos) / F.col("_L")).cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+    copies = F.when(pos < pad, F.sequence(F.lit(0).cast("long"), F.call_function("div", pad - pos + F.col("_L") - 1, F.col("_L")) - 1)).otherwise(F.array().cast("array<long>"))
     s = s.select("*", F.explode(F.concat(F.array(F.lit(-1).cast("long")), copies)).alias("_copy"))
     p = F.when(F.col("_copy") < 0, pos).otherwise(F.col("_L") + pos + F.col("_copy") * F.col("_L"))
     s = s.withColumn("pos", p.cast("long"))
     return s.withColumn("shard", (F.col("pos") % replicas).cast("int")).withColumn(
-        "local_pos", (F.col("pos") / replicas).cast("long")
+        "local_pos", F.call_function("div", F.col("pos"), F.lit(replicas))
     ).drop("_pr", "_L", "_copy")
 
 
@@ -203,16 +205,12 @@ def batches(
         else:
             d = df.withColumn("_gn", F.lit(df.count()))  # one scalar
         place = F.col(pos_col)
-    d = d.withColumn("batch_id", (place / batch_size).cast("long")).withColumn("in_batch", (place % batch_size).cast("int"))
+    d = d.withColumn("batch_id", F.call_function("div", place, F.lit(batch_size))).withColumn("in_batch", (place % batch_size).cast("int"))
     if drop_last:
-        d = d.filter(F.col("batch_id") < (F.col("_gn") / batch_size).cast("long"))
+        d = d.filter(F.col("batch_id") < F.call_function("div", F.col("_gn"), F.lit(batch_size)))
     return d.drop("_gn", *(["_place"] if shuffle else []))
 
 
-def n_batches(n: int, batch_size: int, drop_last: bool) -> int:
-    return n // batch_size if drop_last else math.ceil(n / batch_size)
-
-
 def weighted_rows_sample(
     df: DataFrame,
     n: int,

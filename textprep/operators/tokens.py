@@ -1,25 +1,27 @@
 """Vocabulary and token operators.
 
-The reference's per-string tokenizer is re-aimed as corpus jobs: words are exploded into a token
-table, looked up in a vocabulary table by an equi-join, and regrouped into id arrays.  The
-vocabulary join broadcasts when the vocabulary is small enough (checked); a large vocabulary
-built here is ordered by frequency, so its head (the words that can be hot join keys) is
-broadcast and only the tail is shuffled - a word holding a third of all tokens never lands in
-one shuffle task.  An external tokenizer plugs in through ``pandas_udf`` (:func:`encode_with`).
+The reference's per-string tokenizer is re-aimed as corpus jobs.  Where the vocabulary is small in
+bytes (checked), every task gets a copy and maps whole word arrays through it in Arrow batches, so
+no token is shuffled.  A larger one is joined: each row asks once per distinct word, the join key
+is salted, so a frequent or unknown word is spread over several tasks, and the answers return to their
+row as a map.  An external tokenizer plugs in through ``pandas_udf`` (:func:`encode_with`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textprep.functions.text import clean_text_full, split_words
 from textprep.operators.ranking import global_offsets, global_rank
-from textprep.session import DEFAULT_BROADCAST_ROWS, checkpointed, stored
+
+VOCAB_BYTES = 64 << 20  # of a vocabulary that every task may hold a copy of
+SALTS = 16  # copies of a larger vocabulary in a join
 
 # ---------------------------------------------------------------------------------------------
 # Special tokens of our corpus vocabulary, in id order (ids 0..4).
@@ -28,9 +30,6 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 IGNORE_LABEL = -100  # masked-LM label of positions that are not predicted
 # ---------------------------------------------------------------------------------------------
 
-HEAD_ROWS = 1_000_000  # most frequent words broadcast when the vocabulary is larger than the limit
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -47,8 +46,8 @@ def build_vocab(texts: DataFrame, text_col: str = "text", clean: bool = True, sp
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_count)
     ranked = global_rank(counts, [F.col("count").desc(), F.col("token")], rank_col="_r")
     spark = texts.sparkSession
-    sp = spark.createDataFrame([(s, i) for i, s in enumerate(specials)], "token string, id int").withColumn("count", F.lit(None).cast("long"))
-    words_v = ranked.select("token", (F.col("_r") - 1 + len(specials)).cast("int").alias("id"), F.col("count").cast("long"))
+    sp = spark.createDataFrame([(s, i) for i, s in enumerate(specials)], "token string, id long").withColumn("count", F.lit(None).cast("long"))
+    words_v = ranked.select("token", (F.col("_r") - 1 + len(specials)).cast("long").alias("id"), F.col("count").cast("long"))
     return sp.unionByName(words_v)
 
 
@@ -61,15 +60,25 @@ def load_vocab_lines(lines: DataFrame, line_no_col: str = "line_no", line_col: s
     return d.groupBy("token").agg(F.max("id").cast("long").alias("id"))
 
 
-def doc_lines(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """Lines of documents with their file-wide line number (documents in key order), computed
-    from per-document line counts (a narrow table) and a distributed running sum."""
-    n = docs.select(key_col, text_col, F.size(F.split(text_col, "\n")).alias("_nl"))
-    off = global_offsets(n.select(key_col, "_nl"), [key_col], "_nl", "_off")
-    lines = docs.join(off.select(key_col, "_off"), key_col).select(
-        key_col, "_off", F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
-    )
-    return lines.select(key_col, "pos", "line", (F.col("_off") + F.col("pos")).cast("long").alias("line_no"))
+def doc_line_vocab(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """S5 over documents in key order, as if they were one file: ``(token, id)``.  A token's last line
+    is its largest (key, line in the document); only these winners meet the documents' line offsets,
+    so the text is never shuffled."""
+    from textprep.functions.text import py_strip
+
+    lines = docs.select(key_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    last = lines.groupBy(py_strip(F.col("line")).alias("token")).agg(F.max(F.struct(key_col, "pos")).alias("last"))
+    counts = docs.select(F.col(key_col).alias("_key"), F.size(F.split(text_col, "\n")).alias("_nl"))
+    offsets = global_offsets(counts, ["_key"], "_nl", "_off").select("_key", "_off")
+    found = last.join(offsets, F.col(f"last.{key_col}") == F.col("_key"))
+    return found.select("token", (F.col("_off") + F.col("last.pos")).cast("long").alias("id"))
+
+
+def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """A vocabulary file, or the folder that :func:`write_vocab` makes, one token per line; files count
+    in the order of their names, a file's last newline starts no line."""
+    files = spark.read.text(path, wholetext=True).filter("value <> ''")
+    return doc_line_vocab(files.select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"\n\z", "").alias("text")), "file", "text")
 
 
 def vocab_gaps(vocab: DataFrame, id_col: str = "id") -> DataFrame:
@@ -98,31 +107,68 @@ def special_id(vocab: DataFrame, token: str = "[MASK]") -> int:
 
 # --- T5 / T6: lookups ---------------------------------------------------------------------------
 
+def _bytes(side: DataFrame, token: str) -> int:
+    return side.agg(F.sum(F.octet_length(token) + F.lit(24))).first()[0] or 0
+
+
+def _salted_join(rows: DataFrame, side: DataFrame, row_key: str, side_key: str, small: bool) -> DataFrame:
+    """Left equi-join with a vocabulary: broadcast if it is small; else on (key, salt), with the
+    vocabulary copied once per salt, so the rows of one hot key go to several tasks."""
+    if small:
+        return rows.join(F.broadcast(side), rows[row_key] == side[side_key], "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = side.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = (salted[row_key] == copies[side_key]) & (F.col("_salt") == F.col("_copy"))
+    return salted.join(copies, on, "left").drop("_salt", "_copy")
+
+
 def lookup_ids(tokens: DataFrame, vocab: DataFrame, token_col: str = "token", out_col: str = "id", unk_id: int = UNK_ID,
-               max_broadcast: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+               max_bytes: int = VOCAB_BYTES) -> DataFrame:
     """T5: token -> id, unknown -> ``unk_id`` (left equi-join)."""
-    v = stored(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid")))
-    n = v.count()
-    if n <= max_broadcast:
-        j = tokens.join(F.broadcast(v), tokens[token_col] == v["_tok"], "left")
-        return j.withColumn(out_col, F.coalesce(F.col("_vid"), F.lit(unk_id)).cast("int")).drop("_tok", "_vid")
-    head = F.broadcast(v.filter(F.col("_vid") < HEAD_ROWS))
-    tail = v.filter(F.col("_vid") >= HEAD_ROWS)
-    h = tokens.join(head, tokens[token_col] == head["_tok"], "left")
-    hit = h.filter(F.col("_vid").isNotNull()).withColumn(out_col, F.col("_vid").cast("int")).drop("_tok", "_vid")
-    miss = h.filter(F.col("_vid").isNull()).drop("_tok", "_vid")
-    t = miss.join(tail, miss[token_col] == tail["_tok"], "left")
-    t = t.withColumn(out_col, F.coalesce(F.col("_vid"), F.lit(unk_id)).cast("int")).drop("_tok", "_vid")
-    return hit.unionByName(t)
-
-
-def lookup_tokens(ids: DataFrame, vocab: DataFrame, id_col: str = "id", out_col: str = "token") -> DataFrame:
+    side = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
+    joined = _salted_join(tokens, side, token_col, "_tok", _bytes(side, "_tok") <= max_bytes)
+    return joined.withColumn(out_col, F.coalesce(F.col("_vid"), F.lit(unk_id)).cast("int")).drop("_tok", "_vid")
+
+
+def lookup_tokens(ids: DataFrame, vocab: DataFrame, id_col: str = "id", out_col: str = "token", max_bytes: int = VOCAB_BYTES) -> DataFrame:
     """Id -> token; an id outside the vocabulary gives null (count them with
     ``filter(token is null)``)."""
-    v = stored(vocab.select(F.col("id").alias("_vid"), F.col("token").alias(out_col)))
-    n = v.count()
-    v = F.broadcast(v) if n <= DEFAULT_BROADCAST_ROWS else v
-    return ids.join(v, ids[id_col] == v["_vid"], "left").drop("_vid")
+    side = vocab.select(F.col("id").alias("_vid"), F.col("token").alias(out_col))
+    return _salted_join(ids, side, id_col, "_vid", _bytes(side, out_col) <= max_bytes).drop("_vid")
+
+
+def _mapper(vocab: DataFrame, depth: int, unk_id: int) -> Callable[[Column], Column]:
+    """Arrays of words (depth 1), or of arrays of words (depth 2), to ids, by a copy of the vocabulary."""
+    import pyarrow as pa
+
+    rows = vocab.select("token", F.col("id").cast("int").alias("id")).toPandas()
+    tokens, ids = pa.array(rows["token"], pa.string()), np.append(rows["id"].to_numpy(np.int32), np.int32(unk_id))
+
+    def find(words):
+        import pyarrow.compute as pc
+
+        offsets = []
+        for _ in range(depth):
+            n = np.asarray(pc.fill_null(pc.list_value_length(words), 0))
+            offsets.append(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()))
+            words = words.flatten()
+        at = np.asarray(pc.fill_null(pc.index_in(words.cast(pa.string()), value_set=tokens), len(ids) - 1))
+        out = pa.array(ids[at])
+        for o in reversed(offsets):
+            out = pa.ListArray.from_arrays(o, out)
+        return out
+
+    find.__annotations__ = {"words": pa.Array, "return": pa.Array}  # as objects: this module's own are strings
+    return F.arrow_udf(find, T.ArrayType(T.IntegerType()) if depth == 1 else T.ArrayType(T.ArrayType(T.IntegerType())))
+
+
+def _ids_by_join(df: DataFrame, vocab: DataFrame, keys: Sequence[str], words: Column, max_bytes: int) -> DataFrame:
+    """``df`` with ``_ids``, the ids of its words, through one join of distinct (row, word) pairs."""
+    d = df.withColumn("_words", words)
+    pairs = lookup_ids(d.select(*keys, F.explode(F.array_distinct("_words")).alias("token")), vocab, max_bytes=max_bytes)
+    maps = pairs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_map"))
+    d = d.join(maps, list(keys), "left")
+    return d.withColumn("_ids", F.transform("_words", lambda w: F.element_at(F.col("_map"), w))).drop("_words", "_map")
 
 
 # --- T1: corpus encoding ------------------------------------------------------------------------
@@ -135,28 +181,24 @@ def encode_corpus(
     max_len: int = 512,
     padding: bool = True,
     add_special_tokens: bool = False,
+    max_bytes: int = VOCAB_BYTES,
 ) -> DataFrame:
-    """Text -> ``input_ids``, ``attention_mask``.  Truncated to ``max_len`` (specials
-    included), padded to the longest row of the whole frame (a one-row aggregate)."""
+    """Text -> ``input_ids``, ``attention_mask``.  Truncated to ``max_len`` (specials included),
+    padded to the longest row of the whole frame, which follows from the word counts alone."""
     keys = list(key_cols)
-    toks = df.select(*keys, F.posexplode_outer(split_words(F.col(text_col))).alias("pos", "token"))
-    toks = lookup_ids(toks, vocab)
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
-    enc = toks.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_t"))
-    ids = F.transform("_t", lambda x: x["id"])
     body = max_len - (2 if add_special_tokens else 0)
-    ids = F.slice(ids, 1, body)
-    if add_special_tokens:
-        ids = with_specials(ids)
-    enc = enc.select(*keys, ids.alias("input_ids"))
+    words = F.slice(split_words(F.coalesce(F.col(text_col), F.lit(""))), 1, body)
+    if _bytes(vocab, "token") <= max_bytes:
+        enc = df.withColumn("_ids", _mapper(vocab, 1, UNK_ID)(words))
+    else:
+        enc = _ids_by_join(df, vocab, keys, words, max_bytes)
     other = [c for c in df.columns if c not in keys and c != text_col]
-    if other:
-        enc = df.select(*keys, *other).join(enc, keys)
+    ids = with_specials("_ids") if add_special_tokens else F.col("_ids")
+    enc = enc.select(*keys, *other, ids.alias("input_ids"))
     if not padding:
         return enc.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
-    enc = checkpointed(enc)
-    longest = enc.agg(F.max(F.size("input_ids"))).first()[0] or 0
-    return pad_right(enc, "input_ids", longest, PAD_ID)
+    longest = df.agg(F.max(F.size(words))).first()[0]
+    return pad_right(enc, "input_ids", (longest or 0) + (max_len - body), PAD_ID)
 
 
 def pad_right(df: DataFrame, col: str, length: int, pad_value: int = PAD_ID, mask_col: str = "attention_mask",
@@ -183,25 +225,24 @@ def encode_with(tokenize: Callable[[list[str]], list[list[int]]]) -> Callable:
 
 # --- T2: per-sentence encoding -------------------------------------------------------------------
 
-def encode_sentences(df: DataFrame, vocab: DataFrame, key_col: str, sentences_col: str = "sents") -> DataFrame:
+def encode_sentences(df: DataFrame, vocab: DataFrame, key_col: str, sentences_col: str = "sents", max_bytes: int = VOCAB_BYTES) -> DataFrame:
     """A list of sentences per row -> ``toks`` (ids per sentence), ``tok_lens``, ``tot_len``
-    and ``ixs = 0..n-1``; no padding, truncation or specials.  Two regroupings: words into
-    sentences, sentences into rows."""
-    s = df.select(key_col, F.posexplode_outer(sentences_col).alias("si", "sent"))
-    w = s.select(key_col, "si", F.posexplode_outer(split_words(F.col("sent"))).alias("wi", "token"))
-    w = lookup_ids(w, vocab)
-    per_sent = w.groupBy(key_col, "si").agg(F.sort_array(F.collect_list(F.when(F.col("wi").isNotNull(), F.struct("wi", "id")))).alias("_w"))
-    per_sent = per_sent.select(key_col, "si", F.transform("_w", lambda x: x["id"]).alias("ids"))
-    per_row = per_sent.groupBy(key_col).agg(
-        F.sort_array(F.collect_list(F.when(F.col("si").isNotNull(), F.struct("si", "ids")))).alias("_s")
-    )
-    toks = F.transform("_s", lambda x: x["ids"])
-    out = per_row.select(key_col, toks.alias("toks"))
+    and ``ixs = 0..n-1``; no padding, truncation or specials."""
+    sents = F.coalesce(F.col(sentences_col), F.array().cast("array<string>"))
+    other = [c for c in df.columns if c not in (key_col, sentences_col)]
+    if _bytes(vocab, "token") <= max_bytes:
+        out = df.select(key_col, *other, _mapper(vocab, 2, UNK_ID)(F.transform(sents, lambda s: split_words(s))).alias("toks"))
+    else:
+        each = df.select(key_col, F.posexplode(sents).alias("_si", "_sent"))
+        each = _ids_by_join(each, vocab, [key_col, "_si"], split_words(F.col("_sent")), max_bytes)
+        rows = each.groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct("_si", "_ids"))).alias("_s"))
+        out = df.select(key_col, *other).join(rows, key_col, "left")
+        none = F.array().cast("array<array<int>>")
+        out = out.select(key_col, *other, F.coalesce(F.transform("_s", lambda x: x["_ids"]), none).alias("toks"))
     out = out.withColumn("tok_lens", F.transform("toks", lambda t: F.size(t)))
     out = out.withColumn("tot_len", F.aggregate("tok_lens", F.lit(0), lambda a, x: a + x))
     out = out.withColumn("ixs", F.when(F.size("toks") > 0, F.sequence(F.lit(0), F.size("toks") - 1)).otherwise(F.array().cast("array<int>")))
-    other = [c for c in df.columns if c not in (key_col, sentences_col)]
-    return df.select(key_col, *other).join(out, key_col) if other else out
+    return out
 
 
 # --- T7-T10: special tokens and strings -----------------------------------------------------------

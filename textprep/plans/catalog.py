@@ -27,15 +27,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def as_long(*cols: str):
-    return [F.col(c).cast("long").alias(c) for c in cols]
-
-
 def rounded(c, name: str, digits: int = 6):
     col = F.col(c) if isinstance(c, str) else c
     return F.round(col.cast("double"), digits).alias(name)
 
 
+def vector_md5(c, name: str):
+    """Digest of a vector's numbers, each rounded to 6 digits and written as an integer of millionths."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.md5(F.array_join(F.transform(col, lambda x: F.round(x * 1000000).cast("long").cast("string")), ",")).alias(name)
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     import importlib

@@ -18,13 +18,27 @@ from textprep.sources.tables import PROJECTS_SQL, labelled_corpus, projects, rea
 # Drop lists and placeholder of the fixture (FIXTURES.md §3), in place of the
 # reference's Korean lists.
 FIXTURE_RULES = C.CleanRules(
-    drop_ministries=["de"],
-    drop_titles=["And therhean is the is esndha reedes ha."],
+    drop_ministries=["de", "es"],
+    drop_titles=["And therhean is the is esndha reedes ha.", "In in oredble ea."],
     drop_title_pattern="En laleen",
-    placeholders={"goal": ["Of."], "content": [], "effect": []},
+    placeholders={
+        "goal": ["Of.", "The and attion to thanedble the, anea. Eriner thanea."],
+        "content": ["The and attion to thanedble the, anea. Eriner thanea.", "Ascirr para osóciónta cióngañ no.", "Atble."],
+        "effect": ["The and attion to thanedble the, anea. Eriner thanea."],
+    },
 )
 # ---------------------------------------------------------------------------------------------
 
+
+
+def _in(col: str, values: list[str]) -> str:
+    return f"coalesce({col} IN ({', '.join(chr(39) + v + chr(39) for v in values)}), false)"
+
+
+_MINISTRY_SQL = _in("ministry", FIXTURE_RULES.drop_ministries)
+_TITLE_SQL = _in("title", FIXTURE_RULES.drop_titles)
+_FIELD_SQL = {c: _in(c, v) for c, v in FIXTURE_RULES.placeholders.items()}
+
 ALL_COLS = ["title", "goal", "content", "effect", "keywords_ko", "keywords_en", "year", "continuing", "ministry"]
 NEAR_COLS = ["title", "goal", "content", "effect", "keywords_ko", "keywords_en", "ministry"]
 TXT = C.TEXT_COLS
@@ -73,13 +87,13 @@ def q_p3(spark, sf_dir):
     return d.select(F.col("index").cast("long"), *TXT)
 
 
-@register("p4_drop_ministries", f"SELECT {_out_cols()} FROM {PROJECTS_SQL} p WHERE NOT coalesce(ministry IN ('de'), false)")
+@register("p4_drop_ministries", f"SELECT {_out_cols()} FROM {PROJECTS_SQL} p WHERE NOT {_MINISTRY_SQL}")
 def q_p4(spark, sf_dir):
     return _spark_out(C.drop_values(projects(spark, sf_dir), "ministry", FIXTURE_RULES.drop_ministries))
 
 
 @register("p5_drop_titles", f"""SELECT {_out_cols()} FROM {PROJECTS_SQL} p
-    WHERE NOT coalesce(title IN ('And therhean is the is esndha reedes ha.'), false)""")
+    WHERE NOT {_TITLE_SQL}""")
 def q_p5(spark, sf_dir):
     return _spark_out(C.drop_values(projects(spark, sf_dir), "title", FIXTURE_RULES.drop_titles))
 
@@ -97,14 +111,14 @@ def q_p7(spark, sf_dir):
 
 
 @register("p8_placeholders_field", f"""SELECT CAST("index" AS BIGINT) AS "index", title,
-    CASE WHEN coalesce(goal IN ('Of.'), false) THEN NULL ELSE goal END AS goal, content, effect
+    {', '.join(f"CASE WHEN {cond} THEN NULL ELSE {c} END AS {c}" for c, cond in _FIELD_SQL.items())}
     FROM {PROJECTS_SQL} p""")
 def q_p8_field(spark, sf_dir):
     d = C.null_placeholders(projects(spark, sf_dir), FIXTURE_RULES.placeholders, mode="field")
     return d.select(F.col("index").cast("long"), "title", "goal", "content", "effect")
 
 
-_PH = "coalesce(goal IN ('Of.'), false)"
+_PH = "(" + " OR ".join(_FIELD_SQL.values()) + ")"
 _P8_COMPAT_SQL = f"""(SELECT "index", {_PH} AS is_placeholder,
     {', '.join(f"CASE WHEN {_PH} THEN NULL ELSE {c} END AS {c}" for c in ALL_COLS)} FROM {PROJECTS_SQL} p)"""
 
@@ -142,9 +156,9 @@ def q_p11(spark, sf_dir):
 def _p18_sql() -> str:
     p9_then_p10 = _keep_first_sql(_keep_first_sql(PROJECTS_SQL, ALL_COLS), NEAR_COLS)
     filt = f"""(SELECT * FROM {p9_then_p10} a
-        WHERE NOT coalesce(ministry IN ('de'), false)
+        WHERE NOT {_MINISTRY_SQL}
           AND NOT (goal IS NULL AND content IS NULL AND effect IS NULL)
-          AND NOT coalesce(title IN ('And therhean is the is esndha reedes ha.'), false)
+          AND NOT {_TITLE_SQL}
           AND NOT coalesce(regexp_matches(title, 'En laleen'), false))"""
     ph = f"""(SELECT "index", {_PH} AS is_placeholder,
         {', '.join(f"CASE WHEN {_PH} THEN NULL ELSE {c} END AS {c}" for c in ALL_COLS)} FROM {filt} b)"""
@@ -206,14 +220,11 @@ def q_p16(spark, sf_dir):
 
 @register("p17_label_domain", f"""SELECT split, CAST(min(label) AS BIGINT) AS min_label, CAST(max(label) AS BIGINT) AS max_label,
       CAST(count(DISTINCT label) AS BIGINT) AS n_distinct,
-      array_to_string(list_transform(list_sort(list_distinct(list(label))), lambda x: CAST(x AS VARCHAR)), ',') AS labels,
+      CAST(count(DISTINCT label) FILTER (WHERE label < 0 OR label >= 4) AS BIGINT) AS n_wrong,
       (min(label) = 0 AND max(label) = 3 AND count(DISTINCT label) = 4) AS ok
     FROM (SELECT label, CASE WHEN cv = 0 THEN 'valid' ELSE 'train' END AS split FROM ({_folds_sql()})) GROUP BY split""")
 def q_p17(spark, sf_dir):
     f = stratified_folds(labelled_corpus(spark, sf_dir), "label", "doc_id", k=5, seed=42)
     f = f.withColumn("split", F.when(F.col("cv") == 0, "valid").otherwise("train"))
-    r = L.label_domain_report(f, 4, "split")
-    return r.select(
-        "split", F.col("min_label").cast("long"), F.col("max_label").cast("long"),
-        F.col("n_distinct").cast("long"), "labels", "ok",
-    )
+    r = L.label_domain_report(f, 4, "split", n_weights=len(L.class_weight_list(f)))
+    return r.select("split", *[F.col(c).cast("long") for c in ("min_label", "max_label", "n_distinct", "n_wrong")], "ok")

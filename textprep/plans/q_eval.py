@@ -12,7 +12,8 @@ from textprep.operators import features as E
 from textprep.operators import labels as L
 from textprep.operators import metrics as M
 from textprep.plans.catalog import register, rounded
-from textprep.plans.q_features import MEANS_SQL, centroid_model, docs
+from textprep.plans.q_features import MEANS_SQL, _bow_sql, centroid_model, docs
+from textprep.plans.q_prep import _chunks_sql
 from textprep.sources.tables import CHUNK_VECTORS_SQL, chunk_vectors
 
 CV = CHUNK_VECTORS_SQL
@@ -119,8 +120,9 @@ DOC_PRED_SQL = f"""(SELECT key, label, logits, CAST(list_position(logits, list_m
 
 
 def doc_predictions(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("x", E.pool("hs", "mean"))
-    return E.centroid_predictions(d, centroid_model(spark, sf_dir), "x", "index", "label")
+    label = E.first_non_null("label", "subix").alias("label")
+    d = E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("mean",), [label])
+    return E.centroid_predictions(d, centroid_model(spark, sf_dir), "mean", "index", "label")
 
 
 @register("m5_macro_metrics_documents", _macro_sql(DOC_PRED_SQL))
@@ -197,11 +199,20 @@ def q_u1(spark, sf_dir):
     return a.unionByName(b)
 
 
-@register("m11_evaluate_fold")
+def _fold_pred_sql() -> str:
+    v = f"""(SELECT c.doc_id, c.subix, c.label, c.cv, CAST(string_split(b.vec, ',') AS DOUBLE[]) AS hs
+               FROM ({_chunks_sql(250)}) c JOIN {_bow_sql()} b ON b.doc_id = c.doc_id AND b.subix = c.subix)"""
+    means = f"""(SELECT cls, list(mu ORDER BY pos) AS w FROM (SELECT label AS cls, pos, avg(x) AS mu FROM
+                  (SELECT label, unnest(hs) AS x, generate_subscripts(hs, 1) AS pos FROM {v} t WHERE cv <> 0) u GROUP BY label, pos) m GROUP BY cls)"""
+    scores = f"(SELECT e.doc_id, e.subix, e.label, m.cls, round(list_dot_product(e.hs, m.w), 8) AS s FROM {v} e, {means} m WHERE e.cv = 0)"
+    return f"""(SELECT label, classes[list_position(logits, list_max(logits))] AS pred FROM
+                 (SELECT doc_id, subix, label, list(s ORDER BY cls) AS logits, list(cls ORDER BY cls) AS classes FROM {scores} a GROUP BY doc_id, subix, label) b)"""
+
+
+@register("m11_evaluate_fold", _report_out_sql(_fold_pred_sql()))
 def q_m11(spark, sf_dir):
-    """M11 (rows-only check): one fold end to end on real text: clean -> folds -> chunks ->
-    hashed chunk features -> class centroids of the training folds -> score the validation
-    fold -> per-class report."""
+    """One fold end to end on real text: clean -> folds -> chunks -> hashed chunk features -> class
+    centroids of the training folds -> score the validation fold -> per-class report."""
     from textprep.operators.folds import cv_split
     from textprep.plans.q_features import text_chunk_vectors
 

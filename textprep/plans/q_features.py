@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from textprep.operators import features as E
 from textprep.operators import labels as L
-from textprep.plans.catalog import register, rounded
+from textprep.plans import sqltext as S
+from textprep.plans.catalog import register, rounded, vector_md5
 from textprep.plans.q_prep import _chunks_sql, prepared_corpus
 from textprep.operators.chunks import explode_chunks
 from textprep.sources.tables import CHUNK_VECTORS_SQL, chunk_vectors
@@ -44,37 +45,45 @@ def q_g7(spark, sf_dir):
     return docs(spark, sf_dir).select(F.col("index").cast("long"), F.col("label").cast("long"))
 
 
+_HS_MD5 = S.vector_md5("flatten(list(hs ORDER BY subix))")
+
+
 @register("g8_collect_vectors", f"""SELECT CAST("index" AS BIGINT) AS "index", CAST(count(*) AS BIGINT) AS seq_len,
-      string_agg(CAST(subix AS VARCHAR), ',' ORDER BY subix) AS chunk_order,
-      round(arg_min(hs[1], subix), 6) AS first_x, round(arg_max(hs[64], subix), 6) AS last_x
+      string_agg(CAST(subix AS VARCHAR), ',' ORDER BY subix) AS chunk_order, {_HS_MD5} AS hs_md5
     FROM {CV} a GROUP BY "index\"""")
 def q_g8(spark, sf_dir):
     c = chunk_vectors(spark, sf_dir)
+    # the chunk number rides along as the first component, to show the order of the list
     d = E.collect_chunks(c.withColumn("hs", F.concat(F.array(F.col("subix").cast("double")), "hs")), "index", "subix", "hs", first_cols=())
     return d.select(
         F.col("index").cast("long"),
         F.col("seq_len").cast("long"),
         F.array_join(F.transform("hs", lambda v: v[0].cast("int").cast("string")), ",").alias("chunk_order"),
-        rounded(F.col("hs")[0][1], "first_x"),
-        rounded(F.element_at(F.element_at("hs", -1), -1), "last_x"),
+        vector_md5(F.flatten(F.transform("hs", lambda v: F.slice(v, F.lit(2), F.size(v)))), "hs_md5"),
     )
 
 
 @register("g9_max_seq_len", """SELECT CAST(max(n) AS BIGINT) AS max_seq_len FROM (SELECT vec_id // 5 AS d, count(*) AS n FROM embeddings GROUP BY 1)""")
 def q_g9(spark, sf_dir):
-    return docs(spark, sf_dir).agg(F.max("seq_len").cast("long").alias("max_seq_len"))
+    return E.longest_sequence(chunk_vectors(spark, sf_dir)).select(F.col("max_seq_len").cast("long"))
 
 
-@register("e5_doc_features", f"""SELECT CAST("index" AS BIGINT) AS "index", CAST(arg_min(label, subix) FILTER (WHERE label IS NOT NULL) AS BIGINT) AS label,
-      CAST(count(*) AS BIGINT) AS seq_len, CAST(max(len(hs)) AS BIGINT) AS dim FROM {CV} a GROUP BY "index\"""")
-def q_e5(spark, sf_dir):
-    d = docs(spark, sf_dir)
+_DOC_FEATURES_SQL = f"""SELECT CAST("index" AS BIGINT) AS "index", CAST(arg_min(label, subix) FILTER (WHERE label IS NOT NULL) AS BIGINT) AS label,
+      CAST(count(*) AS BIGINT) AS seq_len, CAST(max(len(hs)) AS BIGINT) AS dim, {_HS_MD5} AS hs_md5 FROM {CV} a GROUP BY "index\""""
+
+
+def _doc_features(d):
     return d.select(
         F.col("index").cast("long"), F.col("label").cast("long"), F.col("seq_len").cast("long"),
-        F.size(F.element_at("hs", 1)).cast("long").alias("dim"),
+        F.size(F.element_at("hs", 1)).cast("long").alias("dim"), vector_md5(F.flatten("hs"), "hs_md5"),
     )
 
 
+@register("e5_doc_features", _DOC_FEATURES_SQL)
+def q_e5(spark, sf_dir):
+    return _doc_features(docs(spark, sf_dir))
+
+
 @register("e2_mean_pool", _pool_sql("avg"))
 def q_e2(spark, sf_dir):
     return _exploded(E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("mean",)), "mean")
@@ -96,16 +105,14 @@ def q_e2_collected(spark, sf_dir):
     return _exploded(docs(spark, sf_dir).withColumn("v", E.pool("hs", "mean")), "v")
 
 
-@register("e4_mean_max_concat", f"""SELECT CAST("index" AS BIGINT) AS "index", CAST(128 AS BIGINT) AS dim,
-      round(avg(hs[1]), 6) AS mean_0, round(max(hs[1]), 6) AS max_0, round(avg(hs[64]), 6) AS mean_63, round(max(hs[64]), 6) AS max_63
-    FROM {CV} a GROUP BY "index\"""")
+@register("e4_mean_max_concat", f"""SELECT CAST("index" AS BIGINT) AS "index", CAST(2 * count(*) AS BIGINT) AS dim,
+      {S.vector_md5("list_concat(list(mean ORDER BY pos), list(most ORDER BY pos))")} AS v_md5
+    FROM (SELECT "index", pos, avg(x) AS mean, max(x) AS most
+            FROM (SELECT "index", unnest(hs) AS x, generate_subscripts(hs, 1) AS pos FROM {CV} a) b GROUP BY "index", pos) c
+    GROUP BY "index\"""")
 def q_e4(spark, sf_dir):
     d = E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("mean", "max")).withColumn("v", F.concat("mean", "max"))
-    return d.select(
-        F.col("index").cast("long"), F.size("v").cast("long").alias("dim"),
-        rounded(F.col("v")[0], "mean_0"), rounded(F.col("v")[64], "max_0"),
-        rounded(F.col("v")[63], "mean_63"), rounded(F.col("v")[127], "max_63"),
-    )
+    return d.select(F.col("index").cast("long"), F.size("v").cast("long").alias("dim"), vector_md5("v", "v_md5"))
 
 
 @register("e7_linear_head", f"""SELECT CAST(d."index" AS BIGINT) AS "index", CAST(m.cls AS BIGINT) AS cls,
@@ -115,17 +122,18 @@ def q_e4(spark, sf_dir):
               GROUP BY "index", pos) c GROUP BY "index") d, {MEANS_SQL} m""")
 def q_e7(spark, sf_dir):
     model = centroid_model(spark, sf_dir)
-    d = docs(spark, sf_dir).withColumn("x", E.pool("hs", "mean"))
-    s = E.dot_scores("x", [w for _, w in model], relu=True)
-    return d.select(F.col("index").cast("long"), F.posexplode(s).alias("cls", "logit")).select(
-        "index", F.col("cls").cast("long"), rounded("logit", "logit")
+    d = E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("mean",))
+    d = d.select(F.col("index").cast("long"), E.dot_scores("mean", [w for _, w in model], relu=True).alias("z"))
+    classes = F.array(*[F.lit(c) for c, _ in model])
+    return d.select("index", F.explode(F.arrays_zip(classes.alias("cls"), F.col("z").alias("logit"))).alias("s")).select(
+        "index", F.col("s.cls").cast("long").alias("cls"), rounded("s.logit", "logit")
     )
 
 
 # --- E1 and T19 over real text chunks ---------------------------------------------------------
 
 def text_chunk_vectors(spark, sf_dir, dim: int = 16, size: int = 250):
-    ch = explode_chunks(prepared_corpus(spark, sf_dir), size, key_col="doc_id")
+    ch = explode_chunks(prepared_corpus(spark, sf_dir), size, key_col="doc_id", cleaned=True)
     return E.extract_features(ch, E.hashed_bow(dim), "data", "hs")
 
 
@@ -146,39 +154,41 @@ def q_e1(spark, sf_dir):
     return v.select("doc_id", F.col("subix").cast("long"), F.array_join(F.transform("hs", lambda x: x.cast("long").cast("string")), ",").alias("vec"))
 
 
-@register("t19_pad_sequences", f"""SELECT doc_id, CAST(n AS BIGINT) AS seq_len, CAST(max(n) OVER () AS BIGINT) AS padded_len,
-      CAST(max(n) OVER () - n AS BIGINT) AS n_pad
-    FROM (SELECT doc_id, count(*) AS n FROM ({_chunks_sql(250)}) z GROUP BY doc_id) q""")
+@register("t19_pad_sequences", f"""SELECT doc_id, CAST(n AS BIGINT) AS seq_len, CAST(longest AS BIGINT) AS padded_len,
+      md5(vecs || repeat(',' || array_to_string(list_transform(range(16), lambda x: 0), ','), longest - n)) AS hs_md5
+    FROM (SELECT doc_id, count(*) AS n, max(count(*)) OVER () AS longest, string_agg(vec, ',' ORDER BY subix) AS vecs
+            FROM {_bow_sql()} z GROUP BY doc_id) q""")
 def q_t19(spark, sf_dir):
     d = E.collect_chunks(text_chunk_vectors(spark, sf_dir), "doc_id", "subix", "hs", first_cols=("label", "cv"))
     p = E.pad_sequences(d, 16)
-    return p.select(
-        "doc_id", F.col("seq_len").cast("long"), F.size("hs").cast("long").alias("padded_len"),
-        (F.size("hs") - F.col("seq_len")).cast("long").alias("n_pad"),
-    )
+    flat = F.array_join(F.transform(F.flatten("hs"), lambda x: x.cast("long").cast("string")), ",")
+    return p.select("doc_id", F.col("seq_len").cast("long"), F.size("hs").cast("long").alias("padded_len"), F.md5(flat).alias("hs_md5"))
 
 
-@register("e8_fit_weighted_head")
+@register("e8_fit_weighted_head", f"""SELECT CAST(cls AS BIGINT) AS cls, CAST(total AS DOUBLE) AS mass FROM
+    (SELECT label AS cls, sum(count(*)) OVER () AS total FROM
+       (SELECT arg_min(label, subix) FILTER (WHERE label IS NOT NULL) AS label FROM {CV} a GROUP BY "index") b
+      WHERE label IS NOT NULL GROUP BY label) c""")
 def q_e8(spark, sf_dir):
-    """E8 (rows-only check): weighted multinomial logistic regression on mean-pooled document
-    vectors, class weights from G1, predictions for every document."""
-    d = docs(spark, sf_dir).withColumn("x", E.pool("hs", "mean"))
-    d = L.sample_weights(d, "label")
-    model = E.fit_linear_head(d, "x", "label", "w", max_iter=20)
-    out = E.predict_linear_head(model, d, "x")
-    return out.select(F.col("index").cast("long"), F.col("label").cast("long"), F.col("pred").cast("long"))
+    """Weighted multinomial logistic regression on mean-pooled document vectors, class weights N / n_c from
+    G1.  At the optimum the unpenalised intercept of a class makes the weighted sum of its fitted
+    probabilities equal to the weight of its documents, which is N for every class: that sum is returned."""
+    from pyspark.ml.functions import vector_to_array
 
+    label = E.first_non_null("label", "subix").alias("label")
+    d = E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("mean",), [label]).withColumnRenamed("mean", "x")
+    d = L.sample_weights(d.filter("label IS NOT NULL"), "label")
+    model = E.fit_linear_head(d, "x", "label", "w", max_iter=300)
+    fitted = model.transform(d.select("w", E.as_features("x").alias("_features")))
+    p = fitted.select("w", F.posexplode(vector_to_array("probability")).alias("cls", "p"))
+    return p.groupBy("cls").agg(F.round(F.sum(F.col("w") * F.col("p")), 1).alias("mass")).select(F.col("cls").cast("long"), "mass").filter("mass > 0")
 
-@register("j2_doc_features_join", f"""SELECT CAST("index" AS BIGINT) AS "index", CAST(arg_min(label, subix) FILTER (WHERE label IS NOT NULL) AS BIGINT) AS label,
-      CAST(count(*) AS BIGINT) AS seq_len, CAST(max(len(hs)) AS BIGINT) AS dim FROM {CV} a GROUP BY "index\"""")
+
+@register("j2_doc_features_join", _DOC_FEATURES_SQL)
 def q_j2(spark, sf_dir):
     """J2 in the reference's form: per-document first values joined (inner, on the document key)
     to the collected vectors; equal to ``e5_doc_features``' single aggregation."""
     c = chunk_vectors(spark, sf_dir)
     firsts = c.groupBy("index").agg(E.first_non_null("label", "subix").alias("label"))
     vecs = E.collect_chunks(c, "index", "subix", "hs", first_cols=())
-    d = firsts.join(vecs, "index")
-    return d.select(
-        F.col("index").cast("long"), F.col("label").cast("long"), F.col("seq_len").cast("long"),
-        F.size(F.element_at("hs", 1)).cast("long").alias("dim"),
-    )
+    return _doc_features(firsts.join(vecs, "index"))

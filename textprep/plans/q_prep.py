@@ -13,9 +13,11 @@ from textprep.sources.tables import LABELLED_SQL, labelled_corpus, read_table
 
 
 def prepared_corpus(spark, sf_dir, k: int = 5, seed: int = 42):
-    """Labelled corpus, cleaned (P12) and given stratified folds (F1)."""
-    c = labelled_corpus(spark, sf_dir).withColumn("data_cleaned", clean_text_full("text"))
-    return stratified_folds(c, "label", "doc_id", k=k, seed=seed)
+    """Labelled corpus, cleaned (P12) and given stratified folds (F1): folds come from ids and labels,
+    and the text meets them in one join."""
+    folds = stratified_folds(labelled_corpus(spark, sf_dir).select("doc_id", "label"), "label", "doc_id", k=k, seed=seed)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(folds, "doc_id").withColumn("data_cleaned", clean_text_full("text"))
 
 
 def _folds_sql(src: str = LABELLED_SQL, k: int = 5, seed: int = 42) -> str:
@@ -32,7 +34,7 @@ FOLDED_SQL = f"""(SELECT * EXCLUDE (rn), {S.clean_full('text')} AS data_cleaned
 
 def fold_chunk_summary(spark, sf_dir, size: int = 50):
     """Flagship: documents ⨝ labels -> clean -> stratified folds -> chunks -> counts by (label, cv)."""
-    ch = explode_chunks(prepared_corpus(spark, sf_dir), size, key_col="doc_id")
+    ch = explode_chunks(prepared_corpus(spark, sf_dir), size, key_col="doc_id", cleaned=True)
     words = F.when(F.col("data") == "", 0).otherwise(F.size(F.split("data", " ")))
     return ch.groupBy("label", "cv").agg(
         F.sum((F.col("subix") == 0).cast("long")).alias("n_docs"),
@@ -101,7 +103,7 @@ def q_c1(spark, sf_dir):
                CAST(label AS BIGINT) AS label, CAST(cv AS BIGINT) AS cv FROM ({_chunks_sql(250)})""",
 )
 def q_c2(spark, sf_dir):
-    ch = explode_chunks(prepared_corpus(spark, sf_dir), 250, key_col="doc_id")
+    ch = explode_chunks(prepared_corpus(spark, sf_dir), 250, key_col="doc_id", cleaned=True)
     return ch.select("doc_id", F.col("subix").cast("long"), "data", F.col("label").cast("long"), F.col("cv").cast("long"))
 
 

@@ -78,15 +78,12 @@ def q_g6(spark, sf_dir):
     return r.select(*[F.col(c).cast("long") for c in ("min_n", "max_n", "n_classes")])
 
 
-@register("g10_distinct_labels", """SELECT CAST(count(DISTINCT label) AS BIGINT) AS n_distinct,
-    array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
-    FROM (SELECT l_returnflag || l_linestatus AS label FROM lineitem)""")
+@register("g10_distinct_labels", """SELECT DISTINCT l_returnflag || l_linestatus AS label,
+    CAST((SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem) AS BIGINT) AS n_distinct FROM lineitem""")
 def q_g10(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("label"))
-    return li.agg(
-        F.size(F.collect_set("label")).cast("long").alias("n_distinct"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-    )
+    labels = li.distinct()
+    return labels.select("label", F.lit(labels.count()).cast("long").alias("n_distinct"))
 
 
 # --- sampling -------------------------------------------------------------------------------

@@ -52,8 +52,7 @@ LINE_VOCAB_SQL = f"(SELECT {S.py_strip('line')} AS token, max(line_no) AS id FRO
 
 
 def line_vocab(spark, sf_dir):
-    lines = TK.doc_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    return TK.load_vocab_lines(lines, "line_no", "line")
+    return TK.doc_line_vocab(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @register("s5_vocab_from_lines", f"SELECT token, CAST(id AS BIGINT) AS id FROM {LINE_VOCAB_SQL} v")
@@ -105,14 +104,20 @@ def _encode_sql(size: int, max_len: int, specials: bool) -> str:
 
 
 def _encode_spark(spark, sf_dir, size: int, max_len: int, specials: bool):
-    ch = explode_chunks(prepared_corpus(spark, sf_dir), size, key_col="doc_id").select("doc_id", "subix", "data")
+    ch = explode_chunks(prepared_corpus(spark, sf_dir), size, key_col="doc_id", cleaned=True).select("doc_id", "subix", "data")
     enc = TK.encode_corpus(ch, corpus_vocab(spark, sf_dir), ["doc_id", "subix"], "data", max_len=max_len, add_special_tokens=specials)
     return enc.select("doc_id", F.col("subix").cast("long"), TK.ids_string("input_ids").alias("input_ids"),
                       TK.ids_string("attention_mask").alias("attention_mask"))
 
 
-@register("t1_encode_chunks", _encode_sql(250, 128, False))
+@register("t1_encode_chunks", _encode_sql(250, 512, False))
 def q_t1(spark, sf_dir):
+    return _encode_spark(spark, sf_dir, 250, 512, False)
+
+
+@register("t1_encode_chunks_truncated", _encode_sql(250, 128, False))
+def q_t1_cut(spark, sf_dir):
+    """T1's own truncation, at 128 ids."""
     return _encode_spark(spark, sf_dir, 250, 128, False)
 
 
@@ -130,7 +135,7 @@ def q_t1s(spark, sf_dir):
        LEFT JOIN {VOCAB_SQL} v2 ON v2.id = coalesce(v.id, 1)) q
     GROUP BY doc_id, subix""")
 def q_t7(spark, sf_dir):
-    ch = explode_chunks(prepared_corpus(spark, sf_dir), 250, key_col="doc_id").select("doc_id", "subix", "data").filter(F.col("data") != "")
+    ch = explode_chunks(prepared_corpus(spark, sf_dir), 250, key_col="doc_id", cleaned=True).select("doc_id", "subix", "data").filter(F.col("data") != "")
     vocab = corpus_vocab(spark, sf_dir)
     enc = TK.encode_corpus(ch, vocab, ["doc_id", "subix"], "data", max_len=1 << 30, padding=False)
     ids = enc.select("doc_id", "subix", F.posexplode("input_ids").alias("pos", "id"))
@@ -234,20 +239,27 @@ def q_t4(spark, sf_dir):
 
 # --- T8-T10: pairs with special tokens ----------------------------------------------------------------
 
-@register("t9_t10_pair_inputs", f"""SELECT doc_id,
+_PAIRS_SQL = f"""(SELECT doc_id, i, coalesce(toks[i], []::BIGINT[]) AS a, coalesce(toks[i + 1], []::BIGINT[]) AS b
+    FROM (SELECT doc_id, toks, unnest(range(1, greatest(len(toks), 2))) AS i FROM {T2_SQL} t) u)"""
+
+
+@register("t9_t10_pair_inputs", f"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS pair,
       array_to_string(list_concat([2], a, [3], b, [3]), ' ') AS pair_ids,
       array_to_string(list_concat([1], list_transform(a, lambda x: 0), [1], list_transform(b, lambda x: 0), [1]), ' ') AS pair_special_mask,
       array_to_string(list_transform(list_concat([2], a, [3], b, [3]), lambda x: CASE WHEN x IN (3, 2) THEN 1 ELSE 0 END), ' ') AS scanned_mask,
       array_to_string(list_concat(list_transform(range(len(a) + 2), lambda x: 0), list_transform(range(len(b) + 1), lambda x: 1)), ' ') AS token_types,
       array_to_string(list_concat([2], a, [3]), ' ') AS single_ids
-    FROM (SELECT doc_id, coalesce(toks[1], []::BIGINT[]) AS a, coalesce(toks[2], []::BIGINT[]) AS b FROM {T2_SQL} t) q""")
+    FROM {_PAIRS_SQL} q""")
 def q_t9(spark, sf_dir):
+    """All pairs of adjacent sentences of each document (one pair with an empty second, or two empty, sentences
+    where there are fewer than two)."""
     t = sentence_tokens(spark, sf_dir)
     empty = F.array().cast("array<int>")
-    t = t.select("doc_id", F.coalesce(F.try_element_at("toks", F.lit(1)), empty).alias("a"), F.coalesce(F.try_element_at("toks", F.lit(2)), empty).alias("b"))
+    t = t.select("doc_id", "toks", F.explode(F.sequence(F.lit(0), F.greatest(F.size("toks"), F.lit(2)) - 2)).alias("pair"))
+    t = t.select("doc_id", "pair", *[F.coalesce(F.get("toks", F.col("pair") + k), empty).alias(c) for k, c in enumerate("ab")])
     pair = TK.with_specials("a", "b")
     return t.select(
-        "doc_id",
+        "doc_id", F.col("pair").cast("long"),
         TK.ids_string(pair).alias("pair_ids"),
         TK.ids_string(TK.special_tokens_mask("a", "b")).alias("pair_special_mask"),
         TK.ids_string(TK.special_tokens_mask(pair, already_has_special_tokens=True)).alias("scanned_mask"),
@@ -264,6 +276,7 @@ def _u(tag: str, *parts: str, seed: int = 42, epoch: int = 0) -> str:
 
 _FLAT_SQL = f"""(SELECT doc_id, flatten(list_transform(list_sort(list_transform(toks, lambda s, i: {{'h': {S.hash_hex(42, "'shuf'", 0, 'doc_id', 'i - 1')}, 'i': i - 1, 's': s}})), lambda x: x.s)) AS flat
     FROM {T2_SQL} t)"""
+_FLAT_T_SQL = f"(SELECT doc_id, flat AS t FROM {_FLAT_SQL} f)"
 _TRUNC_SQL = f"""(SELECT doc_id, CASE WHEN len(flat) <= 64 THEN flat WHEN {_u('trunc', 'doc_id')} < 0.5 THEN flat[1:64] ELSE flat[-64:] END AS t
     FROM {_FLAT_SQL} f)"""
 
@@ -285,10 +298,10 @@ def q_t12(spark, sf_dir):
 @register("t14_uniform_mask", f"""SELECT doc_id, md5(array_to_string(m, ' ')) AS ids_md5, md5(array_to_string(l, ' ')) AS labels_md5,
       CAST(len(list_filter(l, lambda x: x <> -100)) AS BIGINT) AS n_masked FROM
     (SELECT doc_id, list_transform(t, lambda x, i: CASE WHEN {_u('mask', 'doc_id', 'i - 1')} < 0.15 THEN 4 ELSE x END) AS m,
-            list_transform(t, lambda x, i: CASE WHEN {_u('mask', 'doc_id', 'i - 1')} < 0.15 THEN x ELSE -100 END) AS l FROM {_TRUNC_SQL} q) z""")
+            list_transform(t, lambda x, i: CASE WHEN {_u('mask', 'doc_id', 'i - 1')} < 0.15 THEN x ELSE -100 END) AS l FROM {_FLAT_T_SQL} q) z""")
 def q_t14(spark, sf_dir):
     t = sentence_tokens(spark, sf_dir)
-    t = t.select("doc_id", LM.truncate_head_or_tail(LM.shuffle_sentences("toks", "doc_id"), "doc_id", 64).alias("t"))
+    t = t.select("doc_id", LM.shuffle_sentences("toks", "doc_id").alias("t"))
     ids, labels = LM.uniform_mask("t", "doc_id")
     z = t.select("doc_id", ids.alias("m"), labels.alias("l"))
     return z.select("doc_id", F.md5(TK.ids_string("m")).alias("ids_md5"), F.md5(TK.ids_string("l")).alias("labels_md5"),
@@ -305,7 +318,7 @@ def _bert_sql(vsize: str) -> str:
     one = f"""CASE WHEN {u} >= 0.15 THEN x WHEN {u} / 0.15 < 0.8 THEN 4 WHEN {u} / 0.15 < 0.9 THEN {rand} ELSE x END"""
     lab = f"CASE WHEN {u} < 0.15 THEN x ELSE -1 END"
     return f"""(SELECT doc_id, t, list_transform(t, lambda x, i: {one}) AS m, list_transform(t, lambda x, i: {lab}) AS l
-               FROM {_TRUNC_SQL} q, (SELECT count(*) AS vs FROM {VOCAB_SQL} v) vv)"""
+               FROM {_FLAT_T_SQL} q, (SELECT count(*) AS vs FROM {VOCAB_SQL} v) vv)"""
 
 
 @register("t15_bert_mask", f"""SELECT doc_id, md5(array_to_string(m, ' ')) AS ids_md5, md5(array_to_string(l, ' ')) AS labels_md5,
@@ -315,7 +328,7 @@ def q_t15(spark, sf_dir):
     vocab = corpus_vocab(spark, sf_dir)
     vsize = vocab.count()
     t = sentence_tokens(spark, sf_dir)
-    t = t.select("doc_id", LM.truncate_head_or_tail(LM.shuffle_sentences("toks", "doc_id"), "doc_id", 64).alias("t"))
+    t = t.select("doc_id", LM.shuffle_sentences("toks", "doc_id").alias("t"))
     ids, labels = LM.bert_mask("t", "doc_id", vsize)
     z = t.select("doc_id", ids.alias("m"), labels.alias("l"))
     return z.select("doc_id", F.md5(TK.ids_string("m")).alias("ids_md5"), F.md5(TK.ids_string("l")).alias("labels_md5"),
@@ -362,15 +375,70 @@ def q_t6(spark, sf_dir):
     return g.select("item_id", F.array_join(F.transform("_t", lambda x: x["t"]), " ").alias("decoded"), F.col("n_unknown").cast("long"))
 
 
-@register("t13_pad_right", f"""SELECT doc_id,
-      md5(array_to_string(list_concat(t, list_transform(range(64 - len(t)), lambda x: 0)), ' ')) AS ids_md5,
-      md5(array_to_string(list_concat(t, list_transform(range(64 - len(t)), lambda x: -100)), ' ')) AS labels_md5,
-      md5(array_to_string(list_concat(list_transform(range(len(t)), lambda x: 1), list_transform(range(64 - len(t)), lambda x: 0)), ' ')) AS mask_md5
-    FROM {_TRUNC_SQL} q""")
+def _padded_sql(value: str, pad: str) -> str:
+    return f"md5(array_to_string(list_concat({value}, list_transform(range(longest - len(t)), lambda x: {pad})), ' '))"
+
+
+@register("t13_pad_right", f"""SELECT doc_id, CAST(longest AS BIGINT) AS padded_len, {_padded_sql('t', '0')} AS ids_md5, {_padded_sql('t', '-100')} AS labels_md5,
+      {_padded_sql('list_transform(t, lambda x: 1)', '0')} AS mask_md5
+    FROM (SELECT doc_id, t, max(len(t)) OVER () AS longest FROM {_FLAT_T_SQL} q) z""")
 def q_t13(spark, sf_dir):
-    """T13 alone: right-pad the truncated ids to 64 (pad id 0), labels with -100, mask 1s then 0s."""
+    """T13 alone: right-pad all ids of a document to the longest list of the frame (pad id 0), labels with -100,
+    mask 1s then 0s."""
     t = sentence_tokens(spark, sf_dir)
-    t = t.select("doc_id", LM.truncate_head_or_tail(LM.shuffle_sentences("toks", "doc_id"), "doc_id", 64).alias("ids"))
-    p = TK.pad_right(t.withColumn("labels", F.col("ids")), "ids", 64, TK.PAD_ID, "mask", "labels", TK.IGNORE_LABEL)
-    return p.select("doc_id", F.md5(TK.ids_string("ids")).alias("ids_md5"), F.md5(TK.ids_string("labels")).alias("labels_md5"),
-                    F.md5(TK.ids_string("mask")).alias("mask_md5"))
+    longest = t.agg(F.max("tot_len")).first()[0] or 0
+    t = t.select("doc_id", LM.shuffle_sentences("toks", "doc_id").alias("ids"))
+    p = TK.pad_right(t.withColumn("labels", F.col("ids")), "ids", longest, TK.PAD_ID, "mask", "labels", TK.IGNORE_LABEL)
+    return p.select("doc_id", F.size("ids").cast("long").alias("padded_len"), F.md5(TK.ids_string("ids")).alias("ids_md5"),
+                    F.md5(TK.ids_string("labels")).alias("labels_md5"), F.md5(TK.ids_string("mask")).alias("mask_md5"))
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder below the shared one."""
+    import uuid
+
+    from textprep.session import shared_dir
+
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("s6_vocab_file", f"SELECT token, CAST(id AS BIGINT) AS id FROM {VOCAB_SQL} v")
+def q_s6_file(spark, sf_dir):
+    """S6 then S5 through files: the corpus vocabulary written in id order and read back by line number."""
+    path = _scratch(spark, "vocab")
+    TK.write_vocab(corpus_vocab(spark, sf_dir), path)
+    return TK.read_vocab(spark, path).select("token", F.col("id").cast("long"))
+
+
+@register("s7_model_inputs", f"""SELECT md5(input_ids) AS ids_md5, md5(attention_mask) AS mask_md5, CAST(label AS BIGINT) AS label
+    FROM ({_encode_sql(250, 512, False)}) e JOIN (SELECT doc_id AS d, label FROM {LABELLED_SQL} l) l ON e.doc_id = l.d""")
+def q_s7(spark, sf_dir):
+    from textprep.sources.io import model_inputs
+
+    ch = explode_chunks(prepared_corpus(spark, sf_dir), 250, key_col="doc_id", cleaned=True)
+    rows = model_inputs(TK.encode_corpus(ch, corpus_vocab(spark, sf_dir), ["doc_id", "subix"], "data"))
+    return rows.select(F.md5(TK.ids_string("input_ids")).alias("ids_md5"), F.md5(TK.ids_string("attention_mask")).alias("mask_md5"),
+                       F.col("label").cast("long"))
+
+
+@register("s1_read_csv", "SELECT doc_id AS \"index\", text AS title, CAST(length(text) AS BIGINT) AS n FROM documents")
+def q_s1(spark, sf_dir):
+    """Documents written as CSV (cells with newlines and quotes) and read back by the record reader."""
+    from textprep.sources.io import read_records
+
+    path = _scratch(spark, "records")
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.col("text").alias("title"), F.lit("").alias("goal"))
+    d.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    r = read_records(spark, path, schema="index long, title string, goal string")
+    return r.select("index", "title", F.length("title").cast("long").alias("n"))
+
+
+@register("s4_submission_file", f"SELECT CAST(doc_id AS BIGINT) AS \"index\", CAST(label AS BIGINT) AS label FROM {LABELLED_SQL} l")
+def q_s4(spark, sf_dir):
+    """A prediction file written and read back."""
+    from textprep.sources.io import write_submission
+    from textprep.sources.tables import labelled_corpus
+
+    path = _scratch(spark, "submission")
+    write_submission(labelled_corpus(spark, sf_dir), path, "doc_id", "label")
+    return spark.read.schema("index long, label long").option("header", True).csv(path)

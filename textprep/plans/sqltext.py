@@ -36,6 +36,10 @@ def word_windows(w: str, size: int, overlap: float = 0.25) -> str:
     )
 
 
+def vector_md5(c: str) -> str:
+    return f"md5(array_to_string(list_transform({c}, lambda x: CAST(round(x * 1000000) AS BIGINT)), ','))"
+
+
 def words_in(c: str) -> str:
     return f"(CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, ' ')) END)"
 
@@ -45,8 +49,8 @@ def hash_hex(seed, *parts: str) -> str:
 
 
 def uniform(seed, *parts: str) -> str:
-    return f"(('0x' || substr({hash_hex(seed, *parts)}, 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr({hash_hex(seed, *parts)}, 1, 13))::BIGINT / 4503599627370496.0)"
 
 
 def uniform_hex(h: str) -> str:
-    return f"(('0x' || substr({h}, 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr({h}, 1, 13))::BIGINT / 4503599627370496.0)"

@@ -31,7 +31,7 @@ def prep_classifier_inputs(
     d = C.prep_text(records, include_keywords=include_keywords, is_test=is_test)
     if not is_test:
         d = stratified_folds(d, "label", "index", k=k, seed=seed)
-    ch = explode_chunks(d, max_seq_len, "data_cleaned", "index")
+    ch = explode_chunks(d, max_seq_len, "data_cleaned", "index", cleaned=True)
     return encode_corpus(ch, vocab, ["index", "subix"], "data", max_len=max_tokens)
 
 

@@ -9,8 +9,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a derived side table may hold before we stop broadcasting it and let the planner shuffle.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Bytes a derived side table may hold to be broadcast; beyond that joins on it shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "textprep") -> SparkSession:
@@ -28,6 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("textprep.read.partitions", str(shuffle_partitions))  # the local tables are single files
         .config("spark.driver.memory", os.environ.get("TEXTPREP_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -74,27 +75,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_stored(df: DataFrame) -> bool:
-    """True when the plan is a plain read of stored data (a file relation or a checkpoint), so
-    materialising it again would only copy it."""
-    try:
-        node = df._jdf.queryExecution().analyzed()
-        while node.getClass().getSimpleName() in ("Project", "SubqueryAlias") and node.children().size() == 1:
-            node = node.children().head()
-        return node.getClass().getSimpleName() in ("LogicalRelation", "LogicalRDD", "HadoopFsRelation")
-    except Exception:
-        return False
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a small table's values: strings and arrays by their length, other types 16 each."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        own = F.octet_length(c) if kind in ("string", "binary") else 16 * F.size(c) if kind == "array" else F.lit(16)
+        size = size + F.coalesce(own, F.lit(0)) + 8
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` itself if it already reads stored data, else a reliable checkpoint of it."""
-    return df if is_stored(df) else checkpointed(df)
-
-
-def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Materialise a derived side table once and broadcast it only if its row count is within
-    ``max_rows``; beyond that it is returned as is and joins on it shuffle (AQE may still
-    switch to a broadcast at run time if it turns out small in bytes)."""
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a derived side table once and broadcast it only if its bytes are within
+    ``max_bytes``; beyond that it is returned as is and joins on it shuffle."""
     df = checkpointed(df)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if table_bytes(df) <= max_bytes else df

@@ -30,10 +30,10 @@ RECORD_SCHEMA = T.StructType(
 )
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None, is_test: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, is_test: bool = False) -> DataFrame:
     """Read a labelled (or, with ``is_test``, unlabelled) record CSV.  Cells may hold
     newlines, so the reader runs in multi-line mode; the schema is declared, never inferred."""
-    s = schema or RECORD_SCHEMA
+    s = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema or RECORD_SCHEMA
     if is_test and "label" in s.fieldNames():
         s = T.StructType([f for f in s.fields if f.name != "label"])
     return (
@@ -57,17 +57,10 @@ def cache_key(params: dict) -> str:
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception:  # remote session: a readable copy counts as complete
-        try:
-            spark.read.parquet(path).schema
-            return True
-        except Exception:
-            return False
-    p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return p.getFileSystem(conf).exists(p)
+    """Whether the folder holds a finished write: the ``_SUCCESS`` file that Spark leaves last."""
+    sc = spark.sparkContext
+    done = sc._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done)
 
 
 def with_cache(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
@@ -99,22 +92,17 @@ def model_inputs(df: DataFrame, is_test: bool = False, label_col: str = "label")
 
 
 def input_signature(spark: SparkSession, path: str) -> dict:
-    """Length and modification time of an input, so a cache key changes when the input does."""
-    try:
-        jvm = spark.sparkContext._jvm
-    except Exception:  # remote session: key on the input's schema and row count instead
-        d = spark.read.parquet(path)
-        return {"path": path, "schema": d.schema.simpleString(), "rows": d.count()}
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    st = fs.getFileStatus(p)
-    return {"path": path, "len": int(fs.getContentSummary(p).getLength()), "mtime": int(st.getModificationTime())}
-
-
-def cache_root(spark: SparkSession) -> str:
-    """Cached tables live next to the checkpoints, in the shared folder the session names."""
+    """Names, lengths and times of the files of an input, as one digest, so a cache key changes when any file does."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    n, total = files.agg(F.count(F.lit(1)), F.sum(one)).first()
+    return {"path": path, "files": n, "digest": str(total)}
+
+
+def cache_root(spark: SparkSession, root: str | None = None) -> str:
+    """The folder of cached tables: ``root`` if given, else ``textprep.cache.dir`` of the session, which
+    outlive an application; else a folder next to the checkpoints, which lasts as long as this session."""
     from textprep.session import ensure_checkpoint_dir
 
-    root = ensure_checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-    return root.rstrip("/") + "/textprep-cache"
+    named = root or spark.conf.get("textprep.cache.dir", None)
+    return named.rstrip("/") if named else f"{ensure_checkpoint_dir(spark).rstrip('/')}/textprep-cache"

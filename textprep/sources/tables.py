@@ -8,36 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# Inputs smaller than this are spread over the cluster's cores after the scan when the scan
-# itself cannot split them (a Parquet file with one row group is read by one task).
-SPREAD_MAX_BYTES = 2 << 30
-
-
-def _input_summary(spark: SparkSession, path: str) -> tuple[int, int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    cs = p.getFileSystem(conf).getContentSummary(p)
-    return int(cs.getLength()), int(cs.getFileCount())
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one of the given tables.  Large inputs (many files / row groups) are read as they
-    are; a small input held in fewer files than there are cores is round-robin spread over the
-    cores once, so the CPU-bound text expressions after the scan run in parallel (the shuffle
-    is bounded by ``SPREAD_MAX_BYTES``)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if not spread:
-        return df
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        size, files = _input_summary(spark, path)
-    except Exception:  # no JVM handle (remote session): read as is
-        return df
-    if files < cores and size <= SPREAD_MAX_BYTES and size > (8 << 20):
-        df = df.repartition(cores)
-    return df
+PARTITIONS_CONF = "textprep.read.partitions"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one of the given tables as its files and row groups are split.  A caller whose files are
+    too few for the cores asks for a round-robin spread by setting ``textprep.read.partitions``."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get(PARTITIONS_CONF, None)
+    return df.repartition(int(n)) if n else df
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +32,8 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record table of the cleaning path: ``title, goal, content, effect`` are lines 1..4 of
-    the text (null when missing), keywords and ministry come from ``lang``."""
+    """The record table of the cleaning path: ``title, goal, content`` are lines 1..3 of the text,
+    ``effect`` all lines from the fourth on (null when missing); keywords and ministry come from ``lang``."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     lines = F.split(F.col("text"), "\n")
     return d.select(
@@ -62,7 +41,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_element_at(lines, F.lit(1)).alias("title"),
         F.try_element_at(lines, F.lit(2)).alias("goal"),
         F.try_element_at(lines, F.lit(3)).alias("content"),
-        F.try_element_at(lines, F.lit(4)).alias("effect"),
+        F.when(F.size(lines) > 3, F.array_join(F.slice(lines, F.lit(4), F.size(lines)), "\n")).alias("effect"),
         F.col("lang").alias("keywords_ko"),
         F.col("lang").alias("keywords_en"),
         (F.lit(2019) + F.col("doc_id") % 3).cast("int").alias("year"),
@@ -75,7 +54,7 @@ PROJECTS_SQL = """(SELECT doc_id AS "index",
         string_split(text, chr(10))[1] AS title,
         string_split(text, chr(10))[2] AS goal,
         string_split(text, chr(10))[3] AS content,
-        string_split(text, chr(10))[4] AS effect,
+        CASE WHEN len(string_split(text, chr(10))) > 3 THEN array_to_string(string_split(text, chr(10))[4:], chr(10)) END AS effect,
         lang AS keywords_ko, lang AS keywords_en,
         CAST(2019 + doc_id % 3 AS INTEGER) AS year,
         CAST(doc_id % 2 AS INTEGER) AS continuing,
@@ -90,7 +69,7 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk-vector table: document ``vec_id div 5``, chunk ``vec_id % 5``, vector as doubles."""
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(
-        (F.col("vec_id") / 5).cast("long").alias("index"),
+        F.call_function("div", F.col("vec_id"), F.lit(5)).alias("index"),
         (F.col("vec_id") % 5).cast("int").alias("subix"),
         F.col("vec_id"),
         F.transform("embedding", lambda x: x.cast("double")).alias("hs"),

@@ -33,7 +33,7 @@ def document_stream(spark: SparkSession, path: str, schema: T.StructType = DOCUM
 def chunk_stream(docs: DataFrame, size: int = 250, overlap: float = 0.25, key_col: str = "doc_id") -> DataFrame:
     """Clean and cut every arriving document into overlapping chunks (append-only output)."""
     d = docs.withColumn("data_cleaned", clean_text_full("text"))
-    return explode_chunks(d, size, "data_cleaned", key_col, carry=("lang",), overlap=overlap)
+    return explode_chunks(d, size, "data_cleaned", key_col, carry=("lang",), overlap=overlap, cleaned=True)
 
 
 def start_chunk_sink(chunks: DataFrame, out_path: str, checkpoint_path: str, available_now: bool = True):
