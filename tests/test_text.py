@@ -62,6 +62,8 @@ def test_normalise_text(spark):
     assert one(spark, X.normalise_text, "  Café  ``quoted''  x² ﬁ ") == 'Cafe "quoted" x2 fi'
     assert one(spark, lambda c: X.normalise_text(c, keep_accents=True), "Café  ``q''") == 'Café "q"'
     assert one(spark, lambda c: X.normalise_text(c, lower=True), "ÀB") == "ab"
+    # Hangul falls apart into its letters, ligatures and wide letters into plain ones; Hebrew points go
+    assert one(spark, X.normalise_text, "가 ﬀ Ａ שָׁ") == "\u1100\u1161 ff A \u05e9"
 
 
 def test_digit_comma_repair(spark):

@@ -7,6 +7,7 @@ whole-stage code generation; only NFKD normalisation (no Spark built-in) needs a
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -108,16 +109,21 @@ def concat_text(cols, fill: str = " ") -> Column:
 
 # --- T3 text normalisation ------------------------------------------------------------------
 
+_MARKS: list[re.Pattern] = []
+
+
+def _combining() -> re.Pattern:
+    """All characters with a combining class, as one character class (made once per process)."""
+    if not _MARKS:
+        marks = (chr(i) for i in range(0x300, 0x1F000) if unicodedata.combining(chr(i)))
+        _MARKS.append(re.compile("[" + "".join(marks) + "]+"))
+    return _MARKS[0]
+
+
 @F.pandas_udf(T.StringType())
 def nfkd_strip_marks(s: pd.Series) -> pd.Series:
     """NFKD, then drop combining characters (Spark has no Unicode normaliser built in)."""
-
-    def one(x):
-        if x is None:
-            return None
-        return "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))
-
-    return s.map(one)
+    return s.str.normalize("NFKD").str.replace(_combining(), "", regex=True)
 
 
 def normalise_text(c, remove_space: bool = True, keep_accents: bool = False, lower: bool = False) -> Column:
@@ -127,8 +133,8 @@ def normalise_text(c, remove_space: bool = True, keep_accents: bool = False, low
     if remove_space:
         s = py_strip(F.regexp_replace(s, f"{WS_CLASS}+", " "))
     s = F.replace(F.replace(s, F.lit("``"), F.lit('"')), F.lit("''"), F.lit('"'))
-    if not keep_accents:
-        s = nfkd_strip_marks(s)
+    if not keep_accents:  # ASCII texts are what they become, and stay in the JVM's branch
+        s = F.when(F.octet_length(s) == F.length(s), s).otherwise(nfkd_strip_marks(s))
     if lower:
         s = F.lower(s)
     return s

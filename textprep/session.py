@@ -28,7 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("textprep.read.partitions", str(shuffle_partitions))  # the local tables are single files
+        .config("spark.textprep.read.partitions", str(shuffle_partitions))  # the local tables are single files
         .config("spark.driver.memory", os.environ.get("TEXTPREP_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )

@@ -100,9 +100,9 @@ def input_signature(spark: SparkSession, path: str) -> dict:
 
 
 def cache_root(spark: SparkSession, root: str | None = None) -> str:
-    """The folder of cached tables: ``root`` if given, else ``textprep.cache.dir`` of the session, which
+    """The folder of cached tables: ``root`` if given, else ``spark.textprep.cache.dir`` of the session, which
     outlive an application; else a folder next to the checkpoints, which lasts as long as this session."""
     from textprep.session import ensure_checkpoint_dir
 
-    named = root or spark.conf.get("textprep.cache.dir", None)
+    named = root or spark.conf.get("spark.textprep.cache.dir", None)
     return named.rstrip("/") if named else f"{ensure_checkpoint_dir(spark).rstrip('/')}/textprep-cache"

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-PARTITIONS_CONF = "textprep.read.partitions"
+PARTITIONS_CONF = "spark.textprep.read.partitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given tables as its files and row groups are split.  A caller whose files are
-    too few for the cores asks for a round-robin spread by setting ``textprep.read.partitions``."""
+    too few for the cores asks for a round-robin spread by setting ``spark.textprep.read.partitions``."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     n = spark.conf.get(PARTITIONS_CONF, None)
     return df.repartition(int(n)) if n else df
