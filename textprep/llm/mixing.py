@@ -63,24 +63,28 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights: int
     return per.select("source", "source_size", F.least("limit", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT, weights: int = WEIGHTS) -> DataFrame:
-    """``docs(doc_id, text, source)`` with size, source_size, target, copies and taken; all columns of
-    ``docs`` whose names don't clash with these stay.  The source table is broadcast where its size is
-    proven small; else the join shuffles, and AQE splits the partition of a hot source."""
-    made = ("size", "source_size", "target", "copies", "taken")
-    sized = docs.select(*[c for c in docs.columns if c not in made], word_count(F.col("text")).alias("size"))
-    plan = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), max_repeat, weights)
-    plan = stored(plan.withColumnRenamed("source", "_source"), "targets")
+def _decide(sized: DataFrame, seed: str, max_repeat: int, weights: int) -> DataFrame:
+    """``sized(doc_id, source, size, ...)`` with source_size, target, copies and taken.  The source table is
+    broadcast where its size is proven small; else the join shuffles, and AQE splits the partition of
+    a hot source."""
+    plan = stored(source_targets(sized.select("source", "size"), max_repeat, weights).withColumnRenamed("source", "_source"), "targets")
     plan = broadcast_if_small(plan, F.coalesce(F.octet_length("_source"), F.lit(0)) + 48)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
     extra = uniform(seed, F.col("doc_id")) < rate - F.floor(rate)
-    out = null_safe(sized, plan, {"source": "_source"}, "inner").drop("_source")
+    out = null_safe(sized, plan, {"source": "_source"}, "inner").drop(plan["_source"])
     out = out.withColumn("copies", F.floor(rate) + extra.cast("long"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document of ``docs`` as many times as it is taken, all columns kept."""
-    mixed = mix(docs, **options)
-    kept = [c for c in docs.columns if c in mixed.columns]
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*kept)
+def mix(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT, weights: int = WEIGHTS) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, taken)`` of each row of ``docs(doc_id, text, source)``."""
+    return _decide(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), seed, max_repeat, weights)
+
+
+def emit(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT, weights: int = WEIGHTS) -> DataFrame:
+    """The mix itself: every document of ``docs`` as many times as it is taken, all columns kept.  The
+    row travels as one column, so none of its names can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    sized = docs.select(row, "doc_id", "source", word_count(F.col("text")).alias("size"))
+    taken = _decide(sized, seed, max_repeat, weights).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
