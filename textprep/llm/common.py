@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 from textprep.session import shared_dir
 
+def _single(codes) -> str:
+    """Characters one by one: Java tests such a class by a bit set, but ranges one after the other."""
+    return "".join(f"\\x{c:02X}" for c in codes)
+
+
+_MARKS = _single(c for c in range(128) if not chr(c).isalnum())
 # Words between ASCII blanks, and words of letters and digits (all non-ASCII characters belong to words).
-BLANK_WORD = r"[^\x20\x09-\x0D]+"
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before A-Z are lower-cased
-NOT_ALNUM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BLANK_WORD = f"[^{_single([32, 9, 10, 11, 12, 13])}]+"
+CASED_WORD = f"[^{_MARKS}]+"  # before A-Z are lower-cased
+NOT_ALNUM = f"[{_MARKS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BROADCAST_BYTES = 8 << 20
@@ -58,7 +63,7 @@ def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str
 # --- numpy side -----------------------------------------------------------------------------------
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

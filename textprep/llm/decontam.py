@@ -6,7 +6,8 @@ windows of the items: for each window the two terms with the shortest posting li
 first, and their lists are intersected at the offset they have in the window.  What remains are
 alignments (document, item, shift), and only for these are the lists of the item's other terms
 intersected, again by shift.  Runs of matching item words of at least a window's length are exact
-matches; alignments that reach no such run but share many words are proximity matches.
+matches; alignments that reach no such run but share many words are proximity matches (of those passages
+that keep the two rarest terms of some window).
 
 DataFrame functions only.  Postings are joined on (document, position), which no frequent term or
 passage makes hot; the tables of benchmark terms and windows are broadcast only if their stored size is
@@ -147,4 +148,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     """``docs`` without the rows that hold an exact match, all columns kept."""
     matches, _ = find_matches(docs.select("doc_id", "text"), items, window)
     bad = matches.where("exact").select(F.col("doc").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_bad"), "left_anti")
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["_bad"], "left_anti")
