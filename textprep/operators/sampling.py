@@ -27,6 +27,7 @@ from textprep.operators.ranking import expand_counts, global_rank, hash_rank
 from textprep.session import checkpointed, shuffle_partitions, small_side
 
 
+BUCKET_ROWS = 2_000_000  # rows and draws of a bucket of a weighted draw, about
 SMALL_CLASS = 100  # rows below which a dynamic schedule warns
 RANGES = 4096  # equal cuts of [0, 1) in which a weighted draw looks for its class
 
@@ -233,9 +234,10 @@ def weighted_rows_sample(
     third of the mass never sends a third of the draws into one task.  Integer-valued weights
     give exact sums."""
     spark = df.sparkSession
-    nb = buckets or max(8, shuffle_partitions(spark))
     w = F.col(weight_col).cast("double")
     d = df.select(key_col, w.alias("_w")).filter(F.col("_w") > 0)
+    # a bucket's rows and draws are merged by one task
+    nb = buckets or max(8, shuffle_partitions(spark), (d.count() + n) // BUCKET_ROWS)
     d = d.withColumn("_h", hash_hex(seed, F.lit("wrow"), key_col)).withColumn("_hb", hex_bucket(F.col("_h"), nb))
     mass = d.groupBy("_hb").agg(F.sum("_w").alias("_m")).orderBy("_hb").collect()  # at most nb rows
     offsets, acc = {}, 0.0
