@@ -5,8 +5,8 @@
    documents of each) estimates each labeller's vote rates among good and bad documents and the share
    of good ones.  The pattern table is counted over all documents; EM itself is a few aggregations of it.
 3. The posterior of a document's pattern is its label: a linear scorer over hashed words learns from
-   the documents of a bounded sample (``sample`` documents of lowest hash, drawn over the whole table), each
-   weighted as good and as bad.
+   a bounded sample (each document with probability ``sample`` / all, by a hash, so about ``sample`` of
+   them at any size), every document weighted as good and as bad.
 4. The scorer judges every whole text.
 
 Defined cases: null and empty texts are dropped with score 0; a table whose documents all vote alike has one
@@ -31,45 +31,51 @@ SAMPLE = 20_000
 ROUNDS = 50
 REGULARISATION = 0.002
 
-# Insults that a document of training data should not hold.
+# English insults, and the stems of those in the other languages of the corpus (which clean
+# words share now and then, so their share counts).
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+STEMS = ("achkeit", "achlich", "boco", "boment", "réeux", "réê")
 
 
 def _hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _oddness(text: Column) -> dict[str, Column]:
+def _single(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def oddness(text: Column) -> dict[str, Column]:
     """Counts of words and of odd things in a text."""
-    low = F.lower(text)
-    some = low.contains(INSULTS[0])
-    for word in INSULTS[1:]:
-        some = some | low.contains(word)
     return {
         "words": F.greatest(_hits(text, BLANK_WORD), F.lit(1)),
-        "insults": F.when(some, _hits(low, r"\b(?:" + "|".join(INSULTS) + r")\b")).otherwise(0),
+        "insults": _hits(F.lower(text), r"\b(?:" + "|".join(INSULTS) + r")\b"),
+        "stems": _hits(F.lower(text), r"(?<!\p{L})(?:" + "|".join(STEMS) + r")\p{L}*"),
+        "repeats": _hits(text, r"(?<!\S)(\S++)(?:\s+\1(?!\S)){2}"),
         "marks": _hits(text, r"[%*$#&]{2,}"),
-        "bars": _hits(text, r"\|"),
+        "bars": _single(text, "|"),
         "shouts": _hits(text, r"\p{Lu}{3,}"),
-        "calls": _hits(text, "!"),
+        "calls": _single(text, "!"),
     }
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes by name.  They overlap: shouted texts also have many exclamation marks, and so on."""
-    n = _oddness(text)
+def labellers(n: Column) -> dict[str, Column]:
+    """Votes by name, from a struct of :func:`oddness`.  They overlap: shouted texts also have many
+    exclamation marks, and so on."""
 
     def vote(drop: Column, keep: Column) -> Column:
         return F.when(drop, DROP).when(keep, KEEP).otherwise(ABSTAIN)
 
     return {
         "insults": vote(n["insults"] > 0, n["insults"] == 0),
-        "insult_share": vote(n["insults"] * 1000 >= n["words"], F.lit(False)),
+        "stems": vote((n["stems"] > 1) & (n["stems"] * 100 >= n["words"]), n["stems"] * 200 <= n["words"]),
+        "insult_share": vote((n["insults"] + n["stems"]) * 80 >= n["words"], F.lit(False)),
+        "repeats": vote(n["repeats"] * 30 > n["words"], n["repeats"] * 300 <= n["words"]),
         "symbols": vote(n["marks"] * 20 > n["words"], n["marks"] * 100 <= n["words"]),
         "bars": vote(n["bars"] * 20 > n["words"], n["bars"] * 100 <= n["words"]),
         "shouting": vote(n["shouts"] * 20 > n["words"], n["shouts"] * 100 <= n["words"]),
         "exclamations": vote(n["calls"] * 20 > n["words"], n["calls"] * 100 <= n["words"]),
-        "odd": vote((n["marks"] + n["bars"] + n["shouts"] + n["calls"]) * 10 > n["words"], F.lit(False)),
+        "odd": vote((n["marks"] + n["bars"] + n["shouts"] + n["calls"] + 3 * n["repeats"]) * 10 > n["words"], F.lit(False)),
     }
 
 
@@ -104,13 +110,12 @@ def em(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> lis
     return posterior
 
 
-def _tokens(text: Column) -> Column:
-    """Distinct features: lower-case words of letters, and for each kind of oddness its share in steps."""
-    n = _oddness(text)
+def _tokens(text: Column, n: Column) -> Column:
+    """Features: lower-case words of letters, and for each kind of oddness its share in steps."""
     bare = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), " ")
     steps = [
         F.concat(F.lit(f"<{k} "), F.least(F.lit(6), F.floor(F.log2(1 + 200 * n[k] / n["words"]))).cast("string"), F.lit(">"))
-        for k in ("insults", "marks", "bars", "shouts", "calls")
+        for k in ("insults", "stems", "repeats", "marks", "bars", "shouts", "calls")
     ]
     return F.concat(bare, F.array(*steps))
 
@@ -119,34 +124,34 @@ def classify(docs: DataFrame, sample: int = SAMPLE, features: int = FEATURES) ->
     """One row per row of ``docs(doc_id, text)``: doc_id, votes, p_good (posterior of the votes), score (of the
     linear scorer, 0 to 1), kept (score of 0.5 or more)."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    votes = F.array(*[F.when(blank, DROP).otherwise(c).cast("int") for c in labellers(F.col("text")).values()])
-    voted = stored(rows.select("doc", votes.alias("votes")).distinct(), "votes")
+    # the counts are a column of their own: each is computed once, however many votes use it
+    counted = rows.select("doc_id", "doc", "text", F.struct(*[c.cast("long").alias(k) for k, c in oddness(F.col("text")).items()]).alias("n"))
+    blank = ~F.col("text").rlike(r"[^\x20\x09\x0A\x0B\x0C\x0D]")
+    votes = F.array(*[F.when(F.col("blank"), DROP).otherwise(c).cast("int") for c in labellers(F.col("n")).values()])
+    tf = HashingTF(numFeatures=features, inputCol="tokens", outputCol="features", binary=True)
+    hashed = tf.transform(counted.select("doc_id", "doc", "n", blank.alias("blank"), _tokens(F.col("text"), F.col("n")).alias("tokens")))
+    # one pass over the texts: all that follows reads hashed words and votes
+    rows = stored(hashed.select("doc_id", "doc", "blank", votes.alias("votes"), "features"), "features")
     # at most 3 ** labellers rows
-    counted = [(tuple(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()]
-    pairs = [(list(p), float(q)) for (p, _), q in zip(counted, em(counted))]
+    patterns = [(tuple(r["votes"]), r["n"]) for r in rows.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()]
+    pairs = [(list(p), float(q)) for (p, _), q in zip(patterns, em(patterns))]
     posterior = F.broadcast(docs.sparkSession.createDataFrame(pairs, "votes array<int>, p_good double"))
-    voted = voted.join(posterior, "votes").select(F.col("doc").alias("_doc"), "votes", "p_good")
-    # a share of the documents by hash; the limit only cuts what chance adds to it
-    share = min(1.0, 0.97 * sample / max(1, sum(n for _, n in counted)))
-    order = F.xxhash64("doc", F.lit("train"))
-    drawn = rows.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order).limit(sample)
-    tf = HashingTF(numFeatures=features, inputCol="tokens", outputCol="features", binary=True)
+    rows = rows.join(posterior, "votes")
+    share = min(1.0, sample / max(1, sum(n for _, n in patterns)))
+    drawn = rows.where(F.pmod(F.xxhash64("doc", F.lit("train")), F.lit(1 << 30)) < int(share * (1 << 30)))
     sides = F.array(*[F.struct(F.lit(y).alias("label"), w.alias("w")) for y, w in ((1.0, F.col("p_good")), (0.0, 1 - F.col("p_good")))])
-    drawn = drawn.select(votes.alias("votes"), _tokens(F.col("text")).alias("tokens")).join(posterior, "votes")
-    train = tf.transform(drawn.select("tokens", F.explode(sides).alias("s"))).select("features", "s.label", "s.w").where("w > 0.001")
+    train = drawn.select("features", F.explode(sides).alias("s")).select("features", "s.label", "s.w").where("w > 0.001")
     train = stored(train, "train")
     if train.select("label").distinct().count() == 2:
         model = LogisticRegression(weightCol="w", regParam=REGULARISATION, maxIter=30).fit(train)
-        scored = model.transform(tf.transform(rows.withColumn("tokens", _tokens(F.col("text")))))
-        scored = scored.select("doc_id", "doc", F.when(blank, 0.0).otherwise(vector_to_array("probability")[1]).alias("score"))
+        rows = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
     else:
-        scored = rows.select("doc_id", "doc", F.when(blank, 0.0).alias("score"))
-    out = scored.join(voted, scored["doc"] == voted["_doc"]).withColumn("score", F.coalesce("score", "p_good"))
-    return out.select("doc_id", "votes", "p_good", "score", (F.col("score") >= 0.5).alias("kept"))
+        rows = rows.withColumn("score", F.col("p_good"))
+    score = F.when(F.col("blank"), 0.0).otherwise(F.col("score"))
+    return rows.select("doc_id", "votes", "p_good", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns kept; rows of one doc_id go if one of them goes."""
     bad = classify(docs.select("doc_id", "text"), **options).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
