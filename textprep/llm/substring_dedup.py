@@ -24,7 +24,7 @@ from textprep.llm.common import blank_words, mix, null_safe, rolling, text_chunk
 from textprep.session import shuffle_partitions
 
 WIDTH = 20
-FLUSH_WINDOWS = 2_000_000  # windows a task holds before it sends them
+FLUSH_WINDOWS = 1_000_000  # windows a task holds before it sends them
 BUCKET_BYTES = 24 << 20  # text per bucket of the hash range
 _NULL_ID = np.iinfo(np.int64).max
 
