@@ -6,15 +6,18 @@
    ``matches`` such pairs: no partner.  Prefix: sorted by the length of their lists, the rarest
    (shared pairs - matches + 1) are enough to meet every partner with at least ``matches`` common pairs;
    the long lists are skipped.
-3. Within each list the classes are compared with its smallest class, then the components found so
-   far with each other: a component meets another only if some list holds both, and it is compared in
-   blocks inside a task, which return at most one link per class and block.  So a group of thousands
-   of near copies costs about as many rows as it has members, not their square.
-4. A comparison counts the collisions of two signatures, and from ``matches`` on confirms the link on
-   the full shingle sets: 100 * intersection >= percent * union.
-
-With 48 coordinates and 20 matches, a pair at the limit of 0.8 has 38.4 expected collisions; the
-chance of fewer than 20 is below 1e-8.
+3. A class is first compared with the two smallest classes of its lists that have most collisions with
+   it; confirmed links make teams.  Then a class is compared with the large teams of a list in which it has
+   enough collisions with a member of any, and, with the teams that this makes, once more, together
+   with the small teams among each other.  A team is compared in blocks inside a task, which return at
+   most one link per class and block.  So a group of thousands of near copies costs about as many rows
+   as it has members, not their square.
+4. Pairs count as candidates only with ``matches`` collisions; lists carry four bits of each coordinate for
+   that, so a pair with enough common coordinates always passes.  Links are confirmed on the full
+   shingle sets: 100 * intersection >= percent * union.
+
+With 32 coordinates and 13 matches, a pair at the limit of 0.8 has 25.6 expected collisions; the
+chance of fewer than 13 is 2e-7, and falls steeply above the limit.
 
 Defined cases: null and empty texts have empty sets, link with nothing and form their own
 components; a null doc_id counts only where its component has no other id; rows that repeat a doc_id
@@ -23,17 +26,20 @@ share its component; an empty table gives no rows; other columns are ignored or,
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import blank_words, mix, null_safe, stored, text_chunks, word_hashes
+from textprep.llm.common import blank_words, broadcast_if_small, mix, null_safe, stored, text_chunks, word_hashes
 from textprep.llm.graph import components
 
-COORDINATES = 48
-MATCHES = 20
+COORDINATES = 32
+MATCHES = 13
 PERCENT = 80
 BLOCK = 512  # classes of one component, and probes, that meet in one task
-_SIGNED = "doc_id long, class long, n_shingles long, signature array<long>"
+HEADS = 2  # list heads with most collisions that a class is compared with at first
+LARGE = 64  # classes of a team from which it is compared as a whole
+_SIGNED = "doc_id long, class long, n_shingles long, signature array<long>, sketch array<long>"
+_NIBBLES = 16  # coordinates in a 64-bit part of a sketch
 
 
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -71,7 +77,7 @@ def _signatures(size: int, coordinates: int):
         import pyarrow as pa
 
         for batch in batches:
-            classes, counts, signatures = [], [], []
+            classes, counts, signatures, sketches = [], [], [], []
             for _, _, data, offsets in text_chunks(batch.column(1)):
                 sets = list(_shingle_sets(data, offsets, size))
                 n = np.array([len(s) for s in sets])
@@ -90,30 +96,50 @@ def _signatures(size: int, coordinates: int):
                     own[full] = _class(grams, cut, n[full])
                 classes.append(own.view(np.int64))
                 signatures.append(sig.view(np.int64))
+                low = (sig & np.uint64(15)).reshape(len(sets), -1, _NIBBLES) << (4 * np.arange(_NIBBLES, dtype=np.uint64))
+                sketches.append(low.sum(axis=2, dtype=np.uint64).view(np.int64))
             if not counts:
                 continue
             n = np.concatenate(counts)
-            sig = pa.array(np.concatenate(signatures).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * coordinates), sig)
             own = pa.array(np.concatenate(classes), pa.int64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, pa.array(n, pa.int64()), lists], ["doc_id", "class", "n_shingles", "signature"])
+            columns = [batch.column(0), own, pa.array(n, pa.int64()), _lists(np.concatenate(signatures)), _lists(np.concatenate(sketches))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n_shingles", "signature", "sketch"])
 
     return run
 
 
+def _lists(rows: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def collisions(a: Column, b: Column, coordinates: int) -> Column:
+    """Coordinates whose four bits are equal in two sketches."""
+    differ = F.lit(0)
+    for i in range(coordinates // _NIBBLES):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(coordinates) - differ
+
+
 def signatures(docs: DataFrame, size: int = 2, coordinates: int = COORDINATES) -> DataFrame:
-    """``(doc_id, class, n_shingles, signature)``; class is a hash of the shingle set, null if it is empty."""
+    """``(doc_id, class, n_shingles, signature, sketch)``; class is a hash of the shingle set, null if it is empty;
+    ``coordinates`` is a multiple of 16."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(size, coordinates), _SIGNED)
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """``(pair, class)``: the rarest coordinate-value pairs of each class that can have partners."""
+    """``(pair, class, sketch)``: the rarest coordinate-value pairs of each class that can have partners."""
     pairs = classes.select("class", F.explode("signature").alias("pair"))
     lengths = pairs.groupBy("pair").agg(F.count("*").alias("length")).where("length > 1")
     shared = pairs.join(lengths, "pair").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("length", "pair"))).alias("pairs"))
     shared = shared.where(F.size("pairs") >= matches)
     prefix = F.slice("pairs", F.lit(1), F.size("pairs") - F.lit(matches - 1))
-    return shared.select("class", F.explode(F.transform(prefix, lambda p: p["pair"])).alias("pair"))
+    prefix = shared.select("class", F.transform(prefix, lambda p: p["pair"]).alias("pairs")).join(classes.select("class", "sketch"), "class")
+    return prefix.select("class", "sketch", F.explode("pairs").alias("pair"))
 
 
 def _sets(size: int):
@@ -178,43 +204,69 @@ def _meet(members: DataFrame, probes: DataFrame, texts: DataFrame, matches: int,
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_confirm(matches, percent), "a long, b long")
 
 
-def links(docs: DataFrame, signed: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Stored ``(class, signature, shingles)`` of the ``wanted(class)``, made again from one text of each."""
+    holder = signed.join(wanted, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    holder = stored(holder, "holders")
+    ids = broadcast_if_small(holder.select(F.col("doc_id").alias("_id")).distinct(), F.lit(16))
+    text = null_safe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, {"doc_id": "_id"}, "left_semi").select("text")
+    sets = text.mapInArrow(_sets(size), "class long, shingles binary")
+    # by class once more: of several rows with a holder's id, only those with its text count
+    return stored(sets.join(holder.select("class", "signature"), "class"), "sets")
+
+
+def links(docs: DataFrame, signed: DataFrame, size: int, coordinates: int, matches: int, percent: int) -> DataFrame:
     """Links between classes that connect all classes connected by any link."""
-    first = signed.where("class IS NOT NULL").groupBy("class").agg(F.first("signature").alias("signature"))
+    first = signed.where("class IS NOT NULL").groupBy("class").agg(F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     lists = stored(postings(first, matches), "postings")
-    heads = lists.groupBy("pair").agg(F.min("class").alias("team"), F.count("*").alias("n")).where("n > 1")
-    probes = lists.join(heads, "pair").where("class <> team").select("team", "class").distinct()
-    probes = stored(probes, "probes")
-    # full sets are made again from the texts of the classes that have candidates, once per class
-    wanted = probes.select(F.explode(F.array("team", "class")).alias("class")).distinct()
-    holder = signed.join(wanted, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
-    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text"))
-    texts = null_safe(holder, text, {"doc_id": "_id"}, "inner").select("text").mapInArrow(_sets(size), "class long, shingles binary")
-    # by class once more: of several rows with the holder's id, only those with its text count
-    texts = stored(texts.join(holder.select("class", "signature"), "class"), "sets")
-    near = stored(_meet(probes.select("team", F.col("team").alias("class")).distinct(), probes, texts, matches, percent), "near")
-    teams = components(near)
-    # lists whose classes are not in one component yet: the components meet, the larger as members
-    placed = lists.join(teams, lists["class"] == teams["node"], "left").select("pair", "class", F.coalesce("root", "class").alias("team"))
-    size_of = placed.select("class", "team").distinct().groupBy("team").agg(F.count("*").alias("n"))
-    present = stored(placed.select("pair", "team").distinct().join(size_of, "team"), "present")
-    mixed = present.groupBy("pair").agg(F.count("*").alias("teams")).where("teams > 1").select("pair")
-    present = present.join(mixed, "pair")
-    x, y = present.select("pair", F.struct("n", "team").alias("x")), present.select("pair", F.struct("n", "team").alias("y"))
-    meet = stored(x.join(y, "pair").where("x > y").select(F.col("x.team").alias("team"), F.col("y.team").alias("guest")).distinct(), "meet")
-    placed = placed.select("class", "team").distinct()
-    members = placed.join(meet.select("team").distinct(), "team")
-    guests = meet.join(placed.select("class", F.col("team").alias("guest")), "guest").select("team", "class")
-    return near.unionByName(_meet(members, guests, texts, matches, percent))
+    enough = lambda a, b: collisions(F.col(a), F.col(b), coordinates) >= matches
+
+    heads = lists.groupBy("pair").agg(F.min(F.struct("class", "sketch")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    lists = stored(lists.join(heads.drop("n"), "pair"), "lists")
+    near_heads = lists.where(F.col("class") != F.col("head.class")).withColumn("equal", collisions(F.col("sketch"), F.col("head.sketch"), coordinates))
+    near_heads = near_heads.where(F.col("equal") >= matches).select("class", F.struct((-F.col("equal")).alias("less"), F.col("head.class").alias("team")).alias("head"))
+    # a class has as many heads as prefix pairs at most; the most promising ones go first
+    best = near_heads.groupBy("class").agg(F.slice(F.sort_array(F.collect_set("head")), 1, HEADS).alias("heads"))
+    probes = stored(best.select("class", F.explode("heads.team").alias("team")), "probes")
+    texts = _texts(docs, signed, probes.select(F.explode(F.array("team", "class")).alias("class")).distinct(), size)
+    members = probes.select("team", F.col("team").alias("class")).distinct()
+    near = stored(_meet(members, probes, texts, matches, percent), "near")
+
+    def compare(found: DataFrame, small: bool) -> DataFrame:
+        """Links between the teams that ``found`` makes: of classes with large teams, and between small teams."""
+        teams = components(found)
+        sizes = teams.groupBy("root").agg(F.count("*").alias("n"))
+        teams = stored(teams.join(sizes, "root"), "teams")
+        placed = lists.join(teams, lists["class"] == teams["node"], "left")
+        placed = placed.select("pair", "class", "sketch", F.coalesce("root", "class").alias("team"), F.coalesce("n", F.lit(1)).alias("n"))
+        placed = stored(placed, "placed")
+        x, y = (placed.select(*[F.col(c).alias(f"{c}_{k}") for c in ("pair", "class", "sketch", "team", "n")]) for k in "xy")
+        meets = (F.col("pair_x") == F.col("pair_y")) & (F.struct("n_x", "team_x") < F.struct("n_y", "team_y"))
+        # a class that has enough collisions with any member of a large team in a list, once for each large team there
+        large = y.where(F.col("n_y") >= LARGE)
+        guests = x.join(large, meets & enough("sketch_x", "sketch_y"), "left_semi")
+        guests = guests.join(large.select("pair_y", "n_y", "team_y").distinct(), meets)
+        guests = guests.select(F.col("team_y").alias("team"), F.col("class_x").alias("class"))
+        if small:
+            pairs = x.where(F.col("n_x") < LARGE).join(y.where(F.col("n_y") < LARGE), meets & enough("sketch_x", "sketch_y"))
+            guests = guests.unionByName(pairs.select(F.col("team_y").alias("team"), F.col("class_x").alias("class")))
+        guests = stored(guests.distinct(), "guests")
+        members = placed.select("team", "class").distinct().join(guests.select("team").distinct(), "team")
+        members = stored(members, "members")
+        texts = _texts(docs, signed, members.select("class").union(guests.select("class")).distinct(), size)
+        return stored(found.unionByName(_meet(members, guests, texts, matches, percent)), "links")
+
+    # the large teams first: what joins them is no longer compared one by one
+    return compare(compare(near, small=False), small=True)
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 2, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES
+    docs: DataFrame, size: int = 5, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES
 ) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (smallest doc_id
     reachable by links, its own included), kept (doc_id = component_id)."""
     signed = stored(signatures(docs, size, coordinates), "signatures")
-    groups = components(links(docs, signed, size, matches, percent))
+    groups = components(links(docs, signed, size, coordinates, matches, percent))
     rows = signed.select("doc_id", "class", "n_shingles")
     low = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
     low = low.join(groups, low["class"] == groups["node"], "left").select("class", "low", F.coalesce("root", "class").alias("root"))
@@ -228,4 +280,4 @@ def near_duplicates(
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, all columns kept."""
     found = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept_id"]), "left_semi")
