@@ -1,4 +1,4 @@
-"""Write PLANS.md: for every registered query of the library its exchanges, joins, windows and Python nodes, as
+"""Write PLANS.md: for every query of the inventory its exchanges, joins, windows and Python nodes, as
 ``explain`` has them with adaptive execution off, on the given tables (default sf0.01).
 
     python tools/plan_report.py [SF_DIR]
@@ -31,10 +31,11 @@ COLUMNS = (
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session(app="plan-report")
-    import __spark_entry__ as E
+    from textprep.plans import catalog
 
+    catalog.load_all()
     rows = []
-    for name, query in sorted(E.queries().items()):
+    for name, query in sorted(catalog.QUERIES.items()):
         df = query(spark, sf_dir)  # side tables are built with adaptive execution on
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
