@@ -62,6 +62,23 @@ def test_embeddings(spark, monkeypatch):
         embed_dedup.links.__defaults__ = (embed_dedup.COSINE, 2048, embed_dedup.MAX_PIVOTS)
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Vectors of each length link with each other, also of those that few vectors have."""
+    most, fewer, rare = clusters(60, 8, 6), clusters(20, 12, 3), clusters(0, 3, 1)
+    vectors = most + fewer + fewer[:4] + rare + [rare[0], [1.0] * 9, [2.0] * 9, None, [0.0] * 12]
+    ids = list(range(len(vectors)))
+    random.Random(2).shuffle(ids)
+    length = dict(zip(ids, (len(v or []) for v in vectors)))
+    assert {length[a] for a, _ in check_links(spark, vectors, ids)} == {3, 8, 9, 12}
+    usual = embed_dedup.links.__defaults__
+    try:  # many pivots and blocks; then pivots for the two frequent lengths only
+        for pivots in (embed_dedup.MAX_PIVOTS, 4):
+            embed_dedup.links.__defaults__ = (embed_dedup.COSINE, 16, pivots)
+            check_links(spark, vectors, ids)
+    finally:
+        embed_dedup.links.__defaults__ = usual
+
+
 def test_embeddings_edges(spark):
     schema = "vec_id long, embedding array<double>"
     assert embed_dedup.cosine_links(spark.createDataFrame([], schema)).count() == 0

@@ -1,7 +1,8 @@
 """Exact range join of embeddings by cosine.
 
 Vectors of one direction are compared as points of the unit sphere, whose distances are a metric:
-cosine >= c means distance <= r = sqrt(2 - 2c).  Pivots (rows drawn by a hash) split the points into
+cosine >= c means distance <= r = sqrt(2 - 2c).  Vectors of unequal length have no cosine, so each length is
+joined on its own, with its share of the pivots.  Pivots (rows drawn by a hash) split the points into
 cells; a cell is one pivot and one ring of distances to it, with the least and greatest found.  By the triangle inequality a point y of
 a cell that has x within r lies at a distance to the pivot between d(x, pivot) - r and d(x, pivot) + r,
 and d(x, pivot) <= d(x, x's own pivot) + 2r; x is replicated to the other cells that pass both tests,
@@ -12,7 +13,7 @@ Pairs with a rounded distance near r pass the tests by a margin; the cosine in d
 Equal vectors are compared once and counted by their number, so copies cost nothing.
 
 Defined cases: null and zero vectors and vectors with null or non-finite components link with
-nothing, and so do those not as long as most vectors are; a null vec_id never is a component's smallest unless
+nothing, and vectors of unequal length not with each other; a null vec_id never is a component's smallest unless
 it stands alone (its component is null then); rows that repeat a vec_id with equal vectors count as links of each
 other; an empty table gives no rows; other columns are ignored."""
 
@@ -22,12 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import stored
+from textprep.llm.common import broadcast_if_small, stored
 from textprep.llm.graph import components
 
 COSINE = 0.9
 BLOCK = 2048
-MAX_PIVOTS = 64  # the pivots go to every task: 64 vectors at most
+MAX_PIVOTS = 64  # the pivots go to every task: 64 vectors at most, of all lengths together
 RINGS = (0.6, 1.1)  # bounds between the rings, distances from 0 to 2
 _SLACK = 1e-6
 
@@ -48,38 +49,50 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return far, own, home * (len(RINGS) + 1) + np.searchsorted(RINGS, own, side="right")
 
 
-def _place(pivots: np.ndarray):
-    """Adds the own cell and the distance to its pivot."""
+def _by_size(batch):
+    """The vector lengths of a batch, and the rows of each."""
+    sizes = np.asarray(batch.column("size"))
+    for size in np.unique(sizes):
+        yield int(size), batch.take(np.flatnonzero(sizes == size))
+
+
+def _place(pivots: dict[int, np.ndarray]):
+    """Adds the own cell and the distance to its pivot; a length without pivots is one cell, -1."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                _, own, cell = _distances(_unit(batch.column("vector")), pivots)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(own)], [*batch.schema.names, "cell", "own"])
+            for size, part in _by_size(batch):
+                own, cell = np.zeros(part.num_rows), np.full(part.num_rows, -1)
+                if size in pivots:
+                    _, own, cell = _distances(_unit(part.column("vector")), pivots[size])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(own)], [*part.schema.names, "cell", "own"])
 
     return run
 
 
-def _replicate(pivots: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, radius: float):
-    """Adds the other cells to which a vector goes."""
+def _replicate(pivots: dict[int, np.ndarray], bounds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], radius: float):
+    """Adds the other cells to which a vector goes; ``bounds`` has the cells of each length, their least and greatest distance."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            far, own, here = _distances(_unit(batch.column("vector")), pivots)
-            here, there, r = here[:, None], cells[None, :], radius + _SLACK
-            d = far[:, cells // (len(RINGS) + 1)]
-            near = (d <= high + r) & (d >= low - r) & (d <= own[:, None] + 2 * r)
-            # of two cells, the lower sends to the higher if their sum is even, else the other way round
-            near &= np.where((here + there) % 2 == 0, here < there, here > there)
-            n = np.concatenate([[0], near.sum(axis=1).cumsum()])
-            to = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(cells[np.nonzero(near)[1]], pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, to], [*batch.schema.names, "to"])
+            for size, part in _by_size(batch):
+                if size in pivots:
+                    cells, low, high = bounds[size]
+                    far, own, here = _distances(_unit(part.column("vector")), pivots[size])
+                    here, there, r = here[:, None], cells[None, :], radius + _SLACK
+                    d = far[:, cells // (len(RINGS) + 1)]
+                    near = (d <= high + r) & (d >= low - r) & (d <= own[:, None] + 2 * r)
+                    # of two cells, the lower sends to the higher if their sum is even, else the other way round
+                    near &= np.where((here + there) % 2 == 0, here < there, here > there)
+                else:
+                    cells, near = np.zeros(0, np.int64), np.zeros((part.num_rows, 0), bool)
+                n = np.concatenate([[0], near.sum(axis=1).cumsum()])
+                to = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(cells[np.nonzero(near)[1]], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, to], [*part.schema.names, "to"])
 
     return run
 
@@ -90,7 +103,7 @@ def _join_blocks(cosine: float):
     def run(key, rows):
         import pyarrow as pa
 
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j = key[2].as_py(), key[3].as_py()
         block = np.asarray(rows.column("block"))
         name, copies, x = np.asarray(rows.column("class")), np.asarray(rows.column("copies")), _unit(rows.column("vector"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -116,44 +129,47 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     """``(vec_id, class, vector)``: class is a hash of the vector, null where it can't link."""
     v = F.col("embedding")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    size = table.where(good).groupBy(F.size(v).alias("size")).agg(F.count("*").alias("n"))
-    most = size.orderBy(F.desc("n"), "size").first()
-    good = F.coalesce(good & (F.size(v) == F.lit(most["size"] if most else 0)), F.lit(False))
+    good = F.coalesce(good, F.lit(False))
     return table.select("vec_id", F.when(good, F.xxhash64(v)).alias("class"), F.when(good, v).alias("vector"))
 
 
 def links(points: DataFrame, cosine: float = COSINE, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """``(class, n, low)`` from stored ``points(class, copies, vector)``: partial link counts, and links
-    (class, low) that connect what the links connect."""
+    """``(class, n, low)`` from stored ``points(class, copies, size, vector)``, size being the vector's length:
+    partial link counts, and links (class, low) that connect what the links connect."""
     kind = points.schema["vector"].dataType.simpleString()
-    keys = f"class long, copies long, vector {kind}"
+    keys = f"class long, copies long, size int, vector {kind}"
     rows = points.count()
-    radius = float(np.sqrt(2 - 2 * cosine))
-    seeds = points.orderBy(F.xxhash64("class", F.lit(7)), "class").limit(min(max_pivots, max(1, rows // block))).select("vector").collect()
-    if not seeds:
+    if not rows:
         return points.select("class", F.col("copies").alias("n"), F.col("class").alias("low"))
+    radius = float(np.sqrt(2 - 2 * cosine))
     import pyarrow as pa
 
-    pivots = _unit(pa.array([list(r[0]) for r in seeds]))
+    # a length gets its share of the pivots; those without any, all rare ones among them, are one cell each
+    shares = points.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") * max_pivots >= rows).orderBy("size").collect()
+    pivots = {}
+    for size, n in shares:  # max_pivots lengths at most
+        own = points.where(F.col("size") == size).orderBy(F.xxhash64("class", F.lit(7)), "class")
+        seeds = own.limit(min(n * max_pivots // rows, max(1, n // block))).select("vector").collect()
+        pivots[size] = _unit(pa.array([list(r[0]) for r in seeds]))
     placed = stored(points.mapInArrow(_place(pivots), f"{keys}, cell int, own double"), "cells")
     # one row per cell, and cells are bounded by the pivots
-    cells = placed.groupBy("cell").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).orderBy("cell").collect()
-    bounds = [np.array([c[k] for c in cells]) for k in ("cell", "low", "high")]
-    sent = stored(placed.drop("own").mapInArrow(_replicate(pivots, *bounds, radius), f"{keys}, cell int, to array<int>"), "replicas")
-    guests = sent.select(F.explode("to").alias("cell")).groupBy("cell").agg(F.count("*").alias("guests"))
-    homes = sent.groupBy("cell").agg(F.count("*").alias("homes"))
-    sizes = homes.join(guests, "cell", "left").select(
-        "cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.coalesce("guests", F.lit(0)) / block).cast("int").alias("gb")
+    cells = placed.where("cell >= 0").groupBy("size", "cell").agg(F.min("own").alias("low"), F.max("own").alias("high")).orderBy("size", "cell").collect()
+    bounds = {s: tuple(np.array([c[k] for c in cells if c["size"] == s]) for k in ("cell", "low", "high")) for s in pivots}
+    sent = stored(placed.drop("own").mapInArrow(_replicate(pivots, bounds, radius), f"{keys}, cell int, to array<int>"), "replicas")
+    guests = sent.select("size", F.explode("to").alias("cell")).groupBy("size", "cell").agg(F.count("*").alias("guests"))
+    homes = sent.groupBy("size", "cell").agg(F.count("*").alias("homes"))
+    sizes = homes.join(guests, ["size", "cell"], "left").select(
+        "size", "cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.coalesce("guests", F.lit(0)) / block).cast("int").alias("gb")
     )
-    sizes = F.broadcast(stored(sizes, "cell-sizes"))  # one row per cell
-    own = sent.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("class"), "hb").cast("int"))
+    sizes = broadcast_if_small(stored(sizes, "cell-sizes"), F.lit(16))  # one row per cell
+    own = sent.join(sizes, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("class"), "hb").cast("int"))
     own = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("hb") + F.col("gb") - 1)))
-    own = own.select("cell", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "class", "copies", "vector")
-    other = sent.select(F.explode("to").alias("cell"), "class", "copies", "vector").join(sizes, "cell")
+    own = own.select("size", "cell", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "class", "copies", "vector")
+    other = sent.select("size", F.explode("to").alias("cell"), "class", "copies", "vector").join(sizes, ["size", "cell"])
     other = other.withColumn("block", F.col("hb") + F.pmod(F.xxhash64("class"), "gb").cast("int"))
     other = other.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)))
-    other = other.select("cell", "i", F.col("block").alias("j"), "block", "class", "copies", "vector")
-    found = own.unionByName(other).groupBy("cell", "i", "j").applyInArrow(_join_blocks(cosine), "class long, n long, low long")
+    other = other.select("size", "cell", "i", F.col("block").alias("j"), "block", "class", "copies", "vector")
+    found = own.unionByName(other).groupBy("size", "cell", "i", "j").applyInArrow(_join_blocks(cosine), "class long, n long, low long")
     return stored(found, "links")
 
 
@@ -162,8 +178,8 @@ def cosine_links(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = stored(valid_vectors(table), "vectors")
     linkable = rows.where("class IS NOT NULL")
     points = linkable.groupBy("class").agg(F.count("*").alias("copies"), F.first("vector").alias("vector"), F.min("vec_id").alias("least_id"))
-    points = stored(points, "points")
-    found = links(points.select("class", "copies", "vector"), cosine)
+    points = stored(points.withColumn("size", F.size("vector")), "points")
+    found = links(points.select("class", "copies", "size", "vector"), cosine)
     counts = found.groupBy("class").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("class").alias("a"), F.col("low").alias("b")))
     per = points.select("class", "copies", "least_id").join(counts, "class", "left")
