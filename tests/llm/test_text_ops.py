@@ -140,6 +140,27 @@ def test_minhash_dedup_equal_and_null_ids(spark):
     assert got == sorted([(3, True, 3), (3, True, 3), (3, True, 3), (None, True, 3), (None, True, 3), (5, True, 3), (None, False, None)], key=str)
 
 
+def test_minhash_keep_first_by_row(spark):
+    """One row for each component: null ids, repeated ids with different texts, repeated rows, texts without words."""
+    a, b, c, d = words(50), words(50), words(50), words(50)
+    table = [
+        (1, a, "x"), (None, a, "x"), (None, a + " more", "y"),  # copies with null ids go
+        (None, b, "x"), (None, b + " more", "x"), (None, b, "x"),  # only null ids: one of them
+        (2, a + " end", "x"), (2, c, "x"),  # 2 stays with its own text only
+        (3, d, "x"), (3, d, "x"), (3, d, "y"),  # one of the three
+        (4, None, "x"), (None, "", "x"), (None, "", "y"),
+    ]
+    df = spark.createDataFrame(table, "doc_id long, text string, class string").withColumn("key", F.lit("own")).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    for docs in (df, df.repartition(5)):
+        kept = minhash_dedup.keep_first(docs)
+        assert kept.columns == df.columns
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert {r["key"] for r in kept.collect()} == {"own"}
+        assert [t in (b, b + " more") for k, t in got if k is None and t].count(True) == 1
+        rest = [r for r in got if r[0] is not None or not r[1]]
+        assert len(got) == len(rest) + 1 and sorted(rest, key=str) == sorted([(1, a), (2, c), (3, d), (4, None), (None, ""), (None, "")], key=str)
+
+
 def test_minhash_dedup_large_families(spark, monkeypatch):
     """Teams above the limits, stragglers near them, and several blocks."""
     monkeypatch.setattr(minhash_dedup, "LARGE", 6)

@@ -21,7 +21,8 @@ chance of fewer than 13 is 2e-7, and falls steeply above the limit.
 
 Defined cases: null and empty texts have empty sets, link with nothing and form their own
 components; a null doc_id counts only where its component has no other id; rows that repeat a doc_id
-share its component; an empty table gives no rows; other columns are ignored or, by :func:`keep_first`, kept."""
+share a component only if their texts link; an empty table gives no rows; other columns are ignored or, by
+:func:`keep_first`, kept."""
 
 from __future__ import annotations
 
@@ -103,7 +104,8 @@ def _signatures(size: int, coordinates: int):
             n = np.concatenate(counts)
             own = pa.array(np.concatenate(classes), pa.int64(), mask=n == 0)
             columns = [batch.column(0), own, pa.array(n, pa.int64()), _lists(np.concatenate(signatures)), _lists(np.concatenate(sketches))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n_shingles", "signature", "sketch"])
+            names = ["doc_id", "class", "n_shingles", "signature", "sketch"]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *batch.schema.names[2:]])
 
     return run
 
@@ -125,10 +127,12 @@ def collisions(a: Column, b: Column, coordinates: int) -> Column:
     return F.lit(coordinates) - differ
 
 
-def signatures(docs: DataFrame, size: int = 2, coordinates: int = COORDINATES) -> DataFrame:
+def signatures(docs: DataFrame, size: int = 2, coordinates: int = COORDINATES, key: Column | None = None) -> DataFrame:
     """``(doc_id, class, n_shingles, signature, sketch)``; class is a hash of the shingle set, null if it is empty;
-    ``coordinates`` is a multiple of 16."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(size, coordinates), _SIGNED)
+    ``coordinates`` is a multiple of 16; a long ``key`` of the rows is added if given."""
+    keys = [] if key is None else [key.alias("key")]
+    schema = _SIGNED + ", key long" * len(keys)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys).mapInArrow(_signatures(size, coordinates), schema)
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -277,7 +281,31 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, all columns kept."""
-    found = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept_id"]), "left_semi")
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row, but for maps, which have none."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """One row of ``docs`` for each component, all columns kept: that of the smallest doc_id (nulls last), of
+    several rows with it the one with the least hash, and of equal rows one.  Texts without words all stay."""
+    signed = stored(signatures(docs, size, coordinates, _row_key(docs)), "signatures")
+    groups = components(links(docs, signed, size, coordinates, matches, percent))
+    rows = signed.groupBy("class", "doc_id", "key").agg(F.count("*").alias("n"))
+    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "n")
+    low = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(least).alias("low"))
+    low = low.join(groups, low["class"] == groups["node"], "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("low").alias("low"))
+    best = low.select(F.col("low.doc_id").alias("_id"), F.col("low.key").alias("_key"), F.col("low.n").alias("_n"))
+    blank = rows.where("class IS NULL").select("doc_id", "key", F.lit(1).cast("long"))
+    best = stored(best.union(blank), "firsts")
+    # the row travels as one column, so none of its names can clash
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _row_key(docs).alias("key")
+    )
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    out = whole.join(best.where("_n = 1"), same, "left_semi").select("row.*")
+    repeated = best.where("_n > 1")
+    if not repeated.isEmpty():
+        once = whole.join(repeated, same, "left_semi").groupBy("id", "key").agg(F.first("row").alias("row"))
+        out = out.unionByName(once.select("row.*"))
+    return out
