@@ -226,6 +226,14 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_stage_without_teachers(spark, docs):
+    """No label, or labels of held-out rows only: the texts with a letter stay."""
+    held = langid.held_out(F.col("doc_id"))
+    for lang in (F.lit(None).cast("string"), F.when(held, F.col("lang"))):
+        kept = langid.keep_identified(docs.withColumn("lang", lang))
+        assert kept.columns == docs.columns and set(rows(kept)) == set(range(len(TEXTS))) - {0, 1, 2, 5}
+
+
 def test_language_profiles_by_hand():
     codes, counts = langid.grams("Ab, ab!")
     a, b, edge = ord("a") + 1, ord("b") + 1, 1

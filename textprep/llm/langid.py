@@ -167,6 +167,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, all columns kept; those without a letter go."""
-    predict = predictor(learn(docs.where(~held_out(F.col("doc_id"))).select("lang", "text")))
-    return docs.where(predict("text")["lang_pred"] != UNKNOWN)
+    """The rows of ``docs`` whose text has a language, all columns kept; those without a letter go.  Where no row
+    teaches a language, all texts with a letter stay."""
+    profiles = learn(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
+    if profiles.empty:
+
+        @F.pandas_udf("boolean")
+        def has_letter(text: pd.Series) -> pd.Series:
+            return pd.Series([len(grams(t)[0]) > 0 for t in text], dtype=bool)
+
+        return docs.where(has_letter("text"))
+    return docs.where(predictor(profiles)("text")["lang_pred"] != UNKNOWN)
