@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import chat, decontam, embed_dedup, langid, licenses, minhash_dedup, mixing, quality, substring_dedup, warc
+from textprep.llm import bpe, chat, decontam, embed_dedup, langid, licenses, minhash_dedup, mixing, quality, substring_dedup, warc
 from textprep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     found = chat.format_pairs(*chat.with_negatives(turns))
     return found.select("pair_id", "part", "turn", "role", "rendered", "mask", "copies")
+
+
+@_query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.packed(bpe.decode(bpe.encode(docs, rank_file), rank_file))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
