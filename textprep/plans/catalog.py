@@ -46,4 +46,4 @@ def load_all() -> None:
         importlib.import_module(f"textprep.plans.{mod}")
 
 
-MODULES = ["q_prep", "q_clean", "q_sampling", "q_features", "q_eval", "q_tokens"]
+MODULES = ["q_prep", "q_clean", "q_sampling", "q_features", "q_eval", "q_tokens", "q_subwords"]
