@@ -4,7 +4,7 @@ Texts are cut into pre-tokens with their positions.  A task keeps a block of tex
 name the block's distinct words, and sends each word once to the bucket of its hash.  A bucket sees the
 words of all blocks, merges every distinct one of them once, and its ids go back to the blocks that asked,
 where they are put in place by position.  What moves is packed: (block, bucket) rows of words and
-ids, and the positions of a block in one row.  A word's share of a bucket is one entry for each block, so
+ids.  The positions of a block are one row of a table bucketed by block, and don't move.  A word's share of a bucket is one entry for each block, so
 a frequent word is no hot key.  Decoding joins ids with the table of the tokens' bytes; that table is the
 rank file, whose size is checked before each task gets a copy.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textprep.llm.common import stored, word_hashes
+from textprep.llm.common import stored_by, word_hashes
 from textprep.session import shuffle_partitions
 
 # Fixed value: the pattern that cuts a text into the pieces which are encoded one by one.
@@ -131,7 +131,7 @@ def _word_arrays(words) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def _blocks(buckets: int, key_type: T.DataType, schema: T.StructType):
+def _blocks(buckets: int, block_bytes: int, key_type: T.DataType, schema: T.StructType):
     """Rows of a block: its positions (``seq``; the words numbered from the most frequent), and for every bucket
     that it has words of, those words."""
 
@@ -186,7 +186,7 @@ def _blocks(buckets: int, key_type: T.DataType, schema: T.StructType):
         for batch in batches:
             for key, text in zip(batch.column(0).cast(kind).to_pylist(), batch.column(1).cast(pa.large_binary())):
                 text = text.as_py() or b""
-                if size and size + len(text) > BLOCK_BYTES:
+                if size and size + len(text) > block_bytes:
                     yield flush()
                     size = 0
                 found = split(text.decode("utf-8", "replace"))
@@ -260,7 +260,7 @@ def _placed(key_type: T.DataType):
     return run
 
 
-def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(key, ids)`` of every row: the ids of its whole text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(rank_file))
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "te
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
 
     schema = T.StructType().add("block", "long").add("bucket", "integer").add("words", "binary").add("keys", T.ArrayType(key_type)).add("seq", "binary")
-    blocks = stored(docs.mapInArrow(_blocks(buckets, key_type, schema), schema), "bpe-blocks")
+    blocks = stored_by(docs.mapInArrow(_blocks(buckets, block_bytes, key_type, schema), schema), "bpe_blocks", buckets, "block")
     answers = (
         blocks.where("bucket is not null")
         .select("block", "bucket", "words")
@@ -288,8 +288,8 @@ def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "te
 # --- decoding -------------------------------------------------------------------------------------
 
 def decode(encoded: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded``: the bytes of the ids one behind the other (a null list has none).  An id that the
-    table lacks is an error."""
+    """Adds ``decoded``, the bytes of the ids one behind the other, and ``packed``, the ids as little-endian unsigned 32-bit
+    integers (both empty for a null list).  An id that the table lacks is an error."""
     ranks = read_ranks(rank_file)
     tokens = [b""] * (max(ranks.values()) + 1)
     known = np.zeros(len(tokens), bool)
@@ -297,40 +297,25 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
         tokens[rank], known[rank] = token, True
     shared = encoded.sparkSession.sparkContext.broadcast((b"".join(tokens), np.array([len(t) for t in tokens], np.int64), known))
     at = encoded.columns.index(ids)
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("packed", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
         data, size, known = shared.value
         data, start = np.frombuffer(data, np.uint8), _starts(size)[:-1]
-        for batch in batches:
-            rows = batch.column(at)
-            values = []
-            for k in range(0, len(rows), 256):
-                part = rows.slice(k, 256).fill_null([]) if rows.null_count else rows.slice(k, 256)
-                flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                rows = batch.column(at)
+                rows = rows.fill_null([]) if rows.null_count else rows
+                flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 if len(flat) and (flat.min() < 0 or flat.max() >= len(known) or not known[flat].all()):
                     raise ValueError("an id that the token table lacks")
-                ends = _starts(part.value_lengths().to_numpy(zero_copy_only=False))
-                raw, offs = _ragged(data, start[flat], size[flat]).tobytes(), _starts(size[flat])[ends]
-                values += [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*batch.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, schema)
-
-
-def packed(encoded: DataFrame, ids: str = "ids") -> DataFrame:
-    """Adds ``packed``: the ids as little-endian unsigned 32-bit integers."""
-    at = encoded.columns.index(ids)
-    schema = T.StructType([*encoded.schema.fields, T.StructField("packed", T.BinaryType())])
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            values = [None if x is None else x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in batch.column(at)]
-            values = [b"" if x is None else x for x in values]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*batch.schema.names, "packed"])
+                ends = _starts(rows.value_lengths().to_numpy(zero_copy_only=False))
+                columns = []
+                for raw, offs in ((_ragged(data, start[flat], size[flat]).tobytes(), _starts(size[flat])[ends]), (flat.astype("<u4").tobytes(), 4 * ends)):
+                    columns.append(pa.array([raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "decoded", "packed"])
 
     return encoded.mapInArrow(run, schema)

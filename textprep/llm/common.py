@@ -39,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """Like :func:`stored`, in buckets of a column: what joins on it later does not shuffle this side."""
+    spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{own}"
+    df.write.bucketBy(buckets, by).option("path", path).saveAsTable(own)
+    return spark.table(own)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast a stored table if its rows, ``row_bytes`` each, add up to at most ``limit``; beyond
     that it is returned as it is and joins on it shuffle (AQE splits their hot keys)."""
