@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import bpe, chat, decontam, divergence, embed_dedup, langid, licenses, minhash_dedup, mixing, quality, substring_dedup, warc
+from textprep.llm import bpe, chat, decontam, divergence, embed_dedup, hard_negatives, langid, licenses, minhash_dedup, mixing, quality, substring_dedup, warc
 from textprep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +219,40 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "part", "turn", "role", "rendered", "mask", "copies")
 
 
+OP11_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label,
+           list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own = label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN s ON s.anchor_id = p.anchor_id AND s.own <> s.label
+     AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+@_query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = rows.where(finite).select("vec_id", label.alias("label"), vector.alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 OP12_SQL = r"""
 WITH d AS (
     SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -263,7 +297,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = bpe.packed(bpe.decode(bpe.encode(docs, rank_file), rank_file))
+    found = bpe.decode(bpe.encode(docs, rank_file), rank_file)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
