@@ -433,6 +433,18 @@ def q_s1(spark, sf_dir):
     return r.select("index", "title", F.length("title").cast("long").alias("n"))
 
 
+@register("s1_read_csv_split", "SELECT doc_id AS \"index\", text AS title, CAST(length(text) AS BIGINT) AS n FROM documents")
+def q_s1_split(spark, sf_dir):
+    """S1 by byte ranges: the same file, read by many tasks."""
+    from textprep.sources.csv_split import read_records_split
+
+    path = _scratch(spark, "records")
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.col("text").alias("title"), F.lit("").alias("goal"))
+    d.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    r = read_records_split(spark, path, schema="index long, title string, goal string")
+    return r.select("index", "title", F.length("title").cast("long").alias("n"))
+
+
 @register("s4_submission_file", f"SELECT CAST(doc_id AS BIGINT) AS \"index\", CAST(label AS BIGINT) AS label FROM {LABELLED_SQL} l")
 def q_s4(spark, sf_dir):
     """A prediction file written and read back."""
