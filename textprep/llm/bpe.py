@@ -32,6 +32,17 @@ from textprep.session import shuffle_partitions
 
 # Fixed value: the pattern that cuts a text into the pieces which are encoded one by one.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Runs of letters and digits that the regex package knows, but not Unicode 16.0, by which the rank files' own library cuts.
+LATER = (
+    "\\u0558 \\u058b-\\u058c \\u088f \\u0c5c \\u0cdc \\u208f \\u209d-\\u209f \\ua7ce-\\ua7cf \\ua7d2 \\ua7d4 \\ua7dd \\ua7e2 \\ua7f1 \\uab6c-\\uab6d "
+    "\\U000107bb-\\U000107bf \\U00010940-\\U00010959 \\U00010ec5-\\U00010ec7 \\U00010ed9-\\U00010eee \\U00011b0a \\U00011db0-\\U00011ddb "
+    "\\U00011de0-\\U00011de9 \\U00011df1 \\U0001246f \\U00012475-\\U0001247f \\U00012550-\\U00012686 \\U00016ea0-\\U00016eb8 "
+    "\\U00016ebb-\\U00016ed3 \\U00016ff2-\\U00016ff6 \\U000187f8-\\U000187ff \\U00018cd6-\\U00018cda \\U00018d09-\\U00018d20 "
+    "\\U00018d80-\\U00018df2 \\U00018e00-\\U00019191 \\U000191a0-\\U000191d2 \\U0001b123-\\U0001b128 \\U0001b168 \\U0001d6a6 "
+    "\\U0001df1f-\\U0001df24 \\U0001df2b-\\U0001df81 \\U0001df90-\\U0001df96 \\U0001dfcd-\\U0001dfff \\U0001e6c0-\\U0001e6de "
+    "\\U0001e6e0-\\U0001e6e2 \\U0001e6e4-\\U0001e6e5 \\U0001e6e7-\\U0001e6ed \\U0001e6f0-\\U0001e6f4 \\U0001e6fe-\\U0001e6ff "
+    "\\U0002b73a-\\U0002b73f \\U0002b81e \\U0002cea2-\\U0002cead \\U000323b0-\\U00033479 \\U0003d000-\\U0003fc3f"
+).replace(" ", "")
 
 BLOCK_BYTES = 16 << 20  # of the texts of a block (one text at least)
 BUCKET_BYTES = 64 << 20  # of the texts for each bucket of words
@@ -39,6 +50,19 @@ CHUNK_WORDS = 200_000  # words that are Python strings at the same time
 RANK_FILE_BYTES = 64 << 20  # of a rank file that every task may hold a copy of
 
 
+_LATER = regex.compile(f"[{LATER}]")
+_PLAIN = regex.compile(PATTERN)
+_EXACT = regex.compile(
+    PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]{LATER}]").replace(r"?\p{L}+", rf"?[\p{{L}}--[{LATER}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{LATER}]]+"),
+    regex.V1,
+)
+
+
+def split(text: str) -> list[str]:
+    """Pre-tokens of a text."""
+    return (_PLAIN if text.isascii() or not _LATER.search(text) else _EXACT).findall(text)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to ids, from lines of base64 and id.  All 256 single bytes must be among them."""
     if os.path.getsize(path) > RANK_FILE_BYTES:
@@ -88,7 +112,7 @@ def _zip(*arrays: np.ndarray) -> bytes:
     parts = []
     for a in arrays:
         wide = next(t for t in (np.uint8, np.uint16, np.uint32) if not len(a) or a.max() <= np.iinfo(t).max)
-        planes = np.ascontiguousarray(a, wide).view(np.uint8).reshape(len(a), -1).T
+        planes = np.ascontiguousarray(a, wide).view(np.uint8).reshape(len(a), np.dtype(wide).itemsize).T
         raw = planes.tobytes()
         parts += [np.array([len(a), np.dtype(wide).itemsize], np.int64).tobytes(), raw]
     raw = b"".join(parts)
@@ -141,7 +165,6 @@ def _blocks(buckets: int, block_bytes: int, key_type: T.DataType, schema: T.Stru
         from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
         arrow, kind = to_arrow_schema(schema), to_arrow_type(key_type)
-        split = regex.compile(PATTERN).findall
         block = itertools.count(TaskContext.get().partitionId() << 32)
         keys, lens, chunks, words, size = [], [], [], [], 0
 
