@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textprep.llm.common import _TO_LOWER, stored, text_chunks
-from textprep.session import shuffle_partitions
 
 MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
 ENTRIES = 2_000_000  # counts that a task holds before it sends them
-BLOCK_ROWS = 500_000  # counts of a block of terms
+BLOCK_ROWS = 200_000  # counts of a block of terms
 SOURCES = 64  # of a block of sources
 MAX_COLUMNS = 2048  # indicator columns at which the next product takes fewer terms
 
@@ -211,7 +210,6 @@ def _price_block(counts, sides):
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: of every source its distance to each other source of the language
     (part ``pair``), and the terms in which it exceeds the language most (part ``term``)."""
-    spark = docs.sparkSession
     docs = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     counts = stored(term_counts(docs, min_docs), "audit-counts")
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.sum("first").alias("firsts"))
@@ -220,7 +218,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     sides = sides.withColumn("kept", F.sum("firsts").over(by_lang)).withColumn("lang_size", F.sum("size").over(by_lang))
     sides = stored(sides.select("lang", "source", "size", "kept", "lang_size"), "audit-sides")
 
-    n_blocks = max(shuffle_partitions(spark), -(-counts.count() // BLOCK_ROWS))
+    n_blocks = max(1, -(-counts.count() // BLOCK_ROWS))
     block = F.pmod(F.xxhash64("term"), F.lit(n_blocks)).cast("int")
     dealt = counts.select("lang", block.alias("block"), "source", "term", "n").groupBy("lang", "block")
     beside = sides.where("kept > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).groupBy("lang", "block")
