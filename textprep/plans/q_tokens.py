@@ -445,6 +445,41 @@ def q_s1_split(spark, sf_dir):
     return r.select("index", "title", F.length("title").cast("long").alias("n"))
 
 
+@register("s2_cached_table", "SELECT lang, count(*) AS n, CAST(1 AS BIGINT) AS computed FROM documents GROUP BY lang")
+def q_s2(spark, sf_dir):
+    """Asked for twice, computed once; the second answer is read from the published copy."""
+    from textprep.sources.io import with_cache
+
+    path, computed = _scratch(spark, "cached"), []
+
+    def compute():
+        computed.append(1)
+        return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+    with_cache(spark, path, compute)
+    again = with_cache(spark, path, compute)
+    return again.withColumn("computed", F.lit(len(computed)).cast("long"))
+
+
+@register("s3_cache_keys", """SELECT CAST(k AS BIGINT) AS k, CAST(doc_id % k AS BIGINT) AS part, count(*) AS n, CAST(3 AS BIGINT) AS n_keys
+    FROM documents, (VALUES (2), (3), (5)) p(k) GROUP BY k, doc_id % k""")
+def q_s3(spark, sf_dir):
+    """S3: tables of one input under different parameters, each stored under its own key."""
+    from functools import reduce
+
+    from textprep.sources.io import cache_key, input_signature, with_cache
+
+    root, d = _scratch(spark, "keys"), read_table(spark, sf_dir, "documents")
+    source = input_signature(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    keys = {k: cache_key({"op": "parts", "k": k, **source}) for k in (2, 3, 5)}
+    tables = [
+        with_cache(spark, f"{root}/{key}", lambda k=k: d.groupBy((F.col("doc_id") % k).alias("part")).agg(F.count(F.lit(1)).alias("n")))
+        .select(F.lit(k).cast("long").alias("k"), F.col("part").cast("long"), "n")
+        for k, key in keys.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), tables).withColumn("n_keys", F.lit(len(set(keys.values()))).cast("long"))
+
+
 @register("s4_submission_file", f"SELECT CAST(doc_id AS BIGINT) AS \"index\", CAST(label AS BIGINT) AS label FROM {LABELLED_SQL} l")
 def q_s4(spark, sf_dir):
     """A prediction file written and read back."""

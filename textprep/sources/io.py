@@ -56,20 +56,13 @@ def cache_key(params: dict) -> str:
     return f"{safe}-{digest}"
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    """Whether the folder holds a finished write: the ``_SUCCESS`` file that Spark leaves last."""
-    sc = spark.sparkContext
-    done = sc._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done)
-
-
 def with_cache(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table at ``path`` if a complete copy exists (``_SUCCESS`` marker); otherwise
-    compute it, write it as Parquet (overwrite only a partial earlier attempt) and read it back,
-    so later steps start from the stored copy instead of the lineage."""
-    if not _complete(spark, path):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Read the table at ``path`` if a complete copy is published there; otherwise compute it, store it as
+    Parquet, publish it and read it back, so later steps start from the stored copy instead of the lineage.  Of several
+    applications that compute it at the same time one publishes, and all read its copy."""
+    from textprep.sources.cache import materialise_once
+
+    return materialise_once(spark, path, compute)
 
 
 def cached_path(root: str, params: dict, name: str = "prep") -> str:
