@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from textprep.functions.hashing import hash_hex, hex_bucket, uniform
 from textprep.operators.labels import class_counts
 from textprep.operators.ranking import expand_counts, global_rank, hash_rank
-from textprep.session import checkpointed, shuffle_partitions, small_side
+from textprep.session import BROADCAST_BYTES, checkpointed, shuffle_partitions, small_side, table_bytes
 
 
 BUCKET_ROWS = 2_000_000  # rows and draws of a bucket of a weighted draw, about
@@ -101,8 +101,9 @@ def draw(
     ``j = 1..target`` per class."""
     if "n" not in targets.columns:
         targets = targets.join(class_counts(df, label_col), label_col)
-    t = small_side(targets.select(label_col, F.col("n").cast("long").alias("n"), F.col("target").cast("long").alias("target")))
-    ranked = _ranked(df.select(label_col, key_col), label_col, key_col, seed, epoch).join(t.drop("n"), label_col)
+    t = checkpointed(targets.select(label_col, F.col("n").cast("long").alias("n"), F.col("target").cast("long").alias("target")))
+    side = F.broadcast(t) if table_bytes(t) <= BROADCAST_BYTES else t  # only here: the hint would reach the draws made of t
+    ranked = _ranked(df.select(label_col, key_col), label_col, key_col, seed, epoch).join(side.drop("n"), label_col)
     taken = ranked.filter((F.col("target") <= F.col("_n")) & (F.col("_rn") <= F.col("target")))
     taken = taken.select(label_col, F.col("_rn").alias("j"), key_col)
     # classes with more draws than rows: one draw row per (class, j), a uniform rank for each

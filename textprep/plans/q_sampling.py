@@ -222,3 +222,51 @@ def q_b5_rows(spark, sf_dir):
     )
     s = B.weighted_rows_sample(li, 2000, "w", "lkey")
     return s.select(F.col("j").cast("long"), F.col("lkey").cast("long"))
+
+
+# --- ranked store: one ranking for all epochs ---------------------------------------------------------
+
+def _store_sql(targets: str, rounds: int = 6, seed: int = 42) -> str:
+    """targets: (epoch, label, target).  Ranks once, then each draw's rank by the rounds of the permutation."""
+    ranked = f"""(SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY {S.hash_hex(seed, "'row'", 'doc_id')}, doc_id) AS rn FROM {C_SQL} c)"""
+    step = f"""(SELECT t.epoch, t.label, t.target, s.n, unnest(generate_series(1, t.target)) AS j FROM {targets} t JOIN {SIZES_SQL} s ON s.label = t.label)"""
+    step = f"(SELECT *, j - 1 AS x FROM {step} d)"
+    for r in range(1, rounds + 1):
+        key = f"CAST(floor({S.uniform(seed, "'key'", 'epoch', 'label', r)} * n) AS BIGINT)"
+        step = f"(SELECT *, ({key} - x + n) % n AS y{r} FROM {step} a{r})"
+        swap = f"substr({S.hash_hex(seed, "'swap'", 'epoch', 'label', r, f'greatest(x, y{r})')}, 1, 1) < '8'"
+        step = f"(SELECT * EXCLUDE (x), CASE WHEN {swap} THEN y{r} ELSE x END AS x FROM {step} b{r})"
+    again = f"CAST(floor({S.uniform(seed, "'draw'", 'epoch', 'label', 'j')} * n) AS BIGINT)"
+    return f"""(SELECT p.epoch, p.label, p.j, r.doc_id FROM (SELECT *, CASE WHEN target <= n THEN x ELSE {again} END + 1 AS rn FROM {step} z) p
+        JOIN {ranked} r ON r.label = p.label AND r.rn = p.rn)"""
+
+
+def ranked_corpus(spark, sf_dir):
+    from textprep.operators import ranked_store as RS
+
+    return spark.table(RS.write_ranked(labelled_corpus(spark, sf_dir), "label", "doc_id"))
+
+
+@register("b1_ranked_epochs", f"""SELECT CAST(epoch AS BIGINT) AS epoch, {SAMPLE_OUT_SQL} FROM
+    {_store_sql(f"(SELECT e AS epoch, label, min(n) OVER (PARTITION BY e) AS target FROM {SIZES_SQL} s, (SELECT unnest([0, 1, 2]) AS e) g)")} q""")
+def q_b1_ranked(spark, sf_dir):
+    """B1 of three epochs from one ranked store."""
+    from textprep.operators import ranked_store as RS
+
+    store = ranked_corpus(spark, sf_dir)
+    found = RS.draw_epochs(store, RS.epoch_targets(store, [0, 1, 2]), "label", "doc_id")
+    return found.select(F.col("epoch").cast("long"), F.col("label").cast("long"), "j", F.col("doc_id").cast("long"))
+
+
+@register("b4_ranked_epochs", f"""SELECT CAST(epoch AS BIGINT) AS epoch, CAST(label AS BIGINT) AS label, count(*) AS n_draws, count(DISTINCT doc_id) AS n_keys,
+    CAST(sum((j * 31 + doc_id) % 1000003) AS BIGINT) AS mixed FROM {_store_sql(f"(SELECT epoch, label, target FROM {_DYN_SQL} y)")} q GROUP BY epoch, label""")
+def q_b4_ranked(spark, sf_dir):
+    """All 60 epochs of the dynamic schedule from one ranked store."""
+    from textprep.operators import ranked_store as RS
+
+    store = ranked_corpus(spark, sf_dir)
+    targets = B.dynamic_targets(store, 60, ignore_warning=True).select("epoch", "label", "target")
+    found = RS.draw_epochs(store, targets, "label", "doc_id")
+    mixed = F.sum((F.col("j") * 31 + F.col("doc_id")) % 1000003)
+    g = found.groupBy("epoch", "label").agg(F.count(F.lit(1)).alias("n_draws"), F.countDistinct("doc_id").alias("n_keys"), mixed.alias("mixed"))
+    return g.select(*[F.col(c).cast("long") for c in ("epoch", "label", "n_draws", "n_keys", "mixed")])
