@@ -270,3 +270,35 @@ def q_b4_ranked(spark, sf_dir):
     mixed = F.sum((F.col("j") * 31 + F.col("doc_id")) % 1000003)
     g = found.groupBy("epoch", "label").agg(F.count(F.lit(1)).alias("n_draws"), F.countDistinct("doc_id").alias("n_keys"), mixed.alias("mixed"))
     return g.select(*[F.col(c).cast("long") for c in ("epoch", "label", "n_draws", "n_keys", "mixed")])
+
+
+# --- shard files: written once, read from the middle ---------------------------------------------------
+
+@register("b7_shard_files_resume", f"""SELECT CAST(shard AS BIGINT) AS shard, CAST(local_pos // 3 AS BIGINT) AS batch_id, CAST(local_pos % 3 AS BIGINT) AS in_batch,
+    CAST(doc_id AS BIGINT) AS doc_id FROM {_shard_sql(_B1_SQL, 5)} q WHERE local_pos // 3 >= 2""")
+def q_b7_files(spark, sf_dir):
+    """Batches of five shards as files; every shard is then read from its third batch on."""
+    from functools import reduce
+
+    from textprep.plans.q_tokens import _scratch
+    from textprep.sources import shard_files as SF
+
+    path = _scratch(spark, "shards")
+    s = B.shard(B.balanced_sample(labelled_corpus(spark, sf_dir), "label", "doc_id", "downsampling"), 5)
+    SF.write_shards(B.batches(s, 3).select("shard", "batch_id", "in_batch", "doc_id"), path, batches_per_part=4)
+    rows = reduce(lambda a, b: a.unionByName(b), [SF.read_from(spark, path, k, 2) for k in range(5)])
+    return rows.select(*[F.col(c).cast("long") for c in ("shard", "batch_id", "in_batch", "doc_id")])
+
+
+@register("b7_shard_manifest", f"""SELECT shard, batch_id // 4 AS part, min(batch_id) AS first_batch, max(batch_id) AS last_batch, count(*) AS rows,
+    count(DISTINCT batch_id) AS batches, CAST(coalesce(sum(count(*)) OVER (PARTITION BY shard ORDER BY batch_id // 4 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_row
+    FROM (SELECT CAST(shard AS BIGINT) AS shard, CAST(local_pos // 3 AS BIGINT) AS batch_id FROM {_shard_sql(_B1_SQL, 5)} q) z GROUP BY shard, batch_id // 4""")
+def q_b7_manifest(spark, sf_dir):
+    """The manifest of such files."""
+    from textprep.plans.q_tokens import _scratch
+    from textprep.sources import shard_files as SF
+
+    path = _scratch(spark, "shards")
+    s = B.shard(B.balanced_sample(labelled_corpus(spark, sf_dir), "label", "doc_id", "downsampling"), 5)
+    SF.write_shards(B.batches(s, 3).select("shard", "batch_id", "in_batch", "doc_id"), path, batches_per_part=4)
+    return SF.read_manifest(spark, path).select(*[F.col(c).cast("long") for c in ("shard", "part", "first_batch", "last_batch", "rows", "batches", "first_row")])
