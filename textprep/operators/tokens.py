@@ -201,12 +201,12 @@ def encode_corpus(
     return pad_right(enc, "input_ids", (longest or 0) + (max_len - body), PAD_ID)
 
 
-def pad_right(df: DataFrame, col: str, length: int, pad_value: int = PAD_ID, mask_col: str = "attention_mask",
+def pad_right(df: DataFrame, col: str, length: int | Column, pad_value: int = PAD_ID, mask_col: str = "attention_mask",
               label_col: str | None = None, label_pad: int = IGNORE_LABEL) -> DataFrame:
-    """Right-pad ``col`` (and optionally labels with ``label_pad``) to ``length``; the mask
-    is ones over the real tokens and zeros over the pads."""
+    """Right-pad ``col`` (and optionally labels with ``label_pad``) to ``length`` (a number, or a
+    column with each row's own); the mask is ones over the real tokens and zeros over the pads."""
     n = F.size(col)
-    k = F.greatest(F.lit(length) - n, F.lit(0))
+    k = F.greatest((length if isinstance(length, Column) else F.lit(length)) - n, F.lit(0))
     out = df.withColumn(mask_col, F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), k)))
     if label_col:
         out = out.withColumn(label_col, F.concat(F.col(label_col), F.array_repeat(F.lit(label_pad), k)))

@@ -207,6 +207,40 @@ def _norm_sql(c: str, accents: bool) -> str:
     return s if accents else f"strip_accents({s})"
 
 
+# --- T13 by length buckets: the fewest pads that four buckets can have --------------------------------
+
+_LENS_SQL = f"(SELECT len({S.split_words(S.clean_full('text'))}) AS x, count(*) AS n FROM documents GROUP BY 1)"
+
+
+def _least_pads_sql(buckets: int) -> str:
+    """Fewest pads by buckets: best(b) of one more bucket is the least best(a) plus the pads of the lengths after a up to b."""
+    sums = f"(SELECT x, sum(n) OVER w AS r, sum(n * x) OVER w AS t FROM {_LENS_SQL} h WINDOW w AS (ORDER BY x))"
+    best = f"(SELECT x, r, t, x * r - t AS pads FROM {sums} s)"
+    for i in range(buckets - 1):
+        best = f"""(SELECT b.x, b.r, b.t, least(min(b.pads), coalesce(min(a.pads + b.x * (b.r - a.r) - (b.t - a.t)), min(b.pads))) AS pads
+            FROM {best} b LEFT JOIN {best} a ON a.x < b.x GROUP BY b.x, b.r, b.t)""" if i == 0 else f"""(SELECT s.x, s.r, s.t,
+            least(min(a.pads + s.x * (s.r - a.r) - (s.t - a.t)), min(CASE WHEN a.x = s.x THEN a.pads END)) AS pads
+            FROM {sums} s JOIN {best} a ON a.x <= s.x GROUP BY s.x, s.r, s.t)"""
+    return best
+
+
+@register("t13_length_buckets", f"""SELECT CAST(max(r) AS BIGINT) AS n_rows, CAST(max(t) AS BIGINT) AS n_ids, CAST(max_by(pads, x) AS BIGINT) AS n_pads,
+    CAST(max(x) * max(r) - max(t) AS BIGINT) AS n_pads_to_longest FROM {_least_pads_sql(4)} z""")
+def q_t13_buckets(spark, sf_dir):
+    """Documents padded inside four length buckets; what is counted are the pads of the padded rows."""
+    from textprep.operators import padding as P
+
+    d = read_table(spark, sf_dir, "documents").select("doc_id", clean_text_full("text").alias("text"))
+    d = TK.encode_corpus(d, corpus_vocab(spark, sf_dir), ["doc_id"], "text", max_len=1 << 30, padding=False).drop("attention_mask")
+    b = P.bucketed_batches(d, "input_ids", 32, ["doc_id"], buckets=4)
+    real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    sums = b.select(F.size("input_ids").cast("long").alias("p"), real.cast("long").alias("x"))
+    return sums.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("x").alias("n_ids"), F.sum(F.col("p") - F.col("x")).alias("n_pads"),
+        (F.max("x") * F.count(F.lit(1)) - F.sum("x")).alias("n_pads_to_longest"),
+    )
+
+
 @register("t3_normalise_text", f"SELECT doc_id, {_norm_sql('text', False)} AS normalised FROM documents")
 def q_t3(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
