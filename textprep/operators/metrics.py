@@ -115,26 +115,29 @@ def weighted_cross_entropy(
 
 def soft_f1_loss(pred: DataFrame, num_classes: int, logits_col: str = "logits", label_col: str = "label", eps: float = 1e-7) -> DataFrame:
     """M8: softmax; soft tp / fp / fn per class; precision, recall and F1 with ``eps``; F1
-    clamped to ``[eps, 1 - eps]``; loss = 1 - mean over all ``num_classes`` classes."""
-    z = F.col(logits_col)
-    m = F.array_max(z)
-    ex = F.transform(z, lambda x: F.exp(x - m))
-    sm = F.transform(ex, lambda x: x / F.aggregate(ex, F.lit(0.0), lambda a, b: a + b))
-    d = pred.select(F.col(label_col).alias("_y"), F.posexplode(sm).alias("cls", "p"))
-    y = (F.col("_y") == F.col("cls")).cast("double")
-    per = d.groupBy("cls").agg(
-        F.sum(y * F.col("p")).alias("tp"),
-        F.sum((1 - y) * F.col("p")).alias("fp"),
-        F.sum(y * (1 - F.col("p"))).alias("fn"),
-    )
-    spark = pred.sparkSession
-    per = spark.range(num_classes).select(F.col("id").cast("int").alias("cls")).join(per, "cls", "left").na.fill(0.0)
-    p = F.col("tp") / (F.col("tp") + F.col("fp") + eps)
-    r = F.col("tp") / (F.col("tp") + F.col("fn") + eps)
-    per = per.select("cls", p.alias("p"), r.alias("r"))
-    f1 = 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + eps)
-    f1 = F.least(F.greatest(f1, F.lit(eps)), F.lit(1 - eps))
-    return per.agg((1 - F.avg(f1)).alias("loss"))
+    clamped to ``[eps, 1 - eps]``; loss = 1 - mean over all ``num_classes`` classes.
+
+    A class's tp, fp and fn follow from sums of whole softmax vectors by label: tp is its own sum's entry, tp + fp the
+    entry of all labels' sums, tp + fn the number of its rows.  So rows are never exploded by the classes; one
+    vector per label is aggregated."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    z = F.col("_z")
+    d = pred.select(F.col(label_col).alias("cls"), F.col(logits_col).alias("_z")).withColumn("_m", F.array_max(z))
+    d = d.select("cls", F.transform(z, lambda x: F.exp(x - F.col("_m"))).alias("_e"))
+    d = d.select("cls", "_e", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b).alias("_s"))
+    soft = array_to_vector(F.transform("_e", lambda x: x / F.col("_s")))
+    per = d.where("_e IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(Summarizer.sum(soft).alias("v"), F.count(F.lit(1)).alias("n"))
+    per = checkpointed(per)  # a row per label
+    total = per.agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("t")).withColumn("_one", F.lit(1))
+    known = per.where((F.col("cls") >= 0) & (F.col("cls") < num_classes)).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    tp = vector_to_array("v")[F.col("cls")]
+    p, r = tp / (F.col("t")[F.col("cls")] + eps), tp / (F.col("n") + eps)
+    f1 = F.least(F.greatest(2 * p * r / (p + r + eps), F.lit(eps)), F.lit(1 - eps))
+    found = known.select(f1.alias("f1")).agg(F.coalesce(F.sum("f1"), F.lit(0.0)).alias("f"), F.count(F.lit(1)).alias("k"))
+    # classes without rows have F1 = 0, clamped
+    return found.select((1 - (F.col("f") + (num_classes - F.col("k")) * eps) / num_classes).alias("loss"))
 
 
 def two_stage(stage1: DataFrame, stage2: DataFrame, key_col: str = "key") -> DataFrame:

@@ -32,14 +32,18 @@ def truncate_head_or_tail(ids, key, max_len: int, seed: int = 42, epoch: int = 0
     return F.when(F.size(t) <= max_len, t).when(head, F.slice(t, 1, max_len)).otherwise(F.slice(t, -max_len, max_len))
 
 
+def _with_draws(ids, name: str, key, seed: int, epoch: int) -> Column:
+    """Each id with its position and its draw, a digest each; what reads the draw several times reads this value."""
+    return F.transform(_c(ids), lambda x, i: F.struct(x.alias("x"), i.alias("i"), uniform(seed, F.lit(name), epoch, _c(key), i).alias("u")))
+
+
 def uniform_mask(ids, key, p: float = 0.15, mask_id: int = MASK_ID, seed: int = 42, epoch: int = 0, ignore: int = IGNORE_LABEL):
     """Each position independently with probability ``p`` becomes ``mask_id``; the label is
     the original id there and ``ignore`` elsewhere.  Returns (ids, labels)."""
-    t = _c(ids)
-    hit = lambda i: uniform(seed, F.lit("mask"), epoch, _c(key), i) < p
-    masked = F.transform(t, lambda x, i: F.when(hit(i), F.lit(mask_id)).otherwise(x))
-    labels = F.transform(t, lambda x, i: F.when(hit(i), x).otherwise(F.lit(ignore)))
-    return masked, labels
+    drawn = _with_draws(ids, "mask", key, seed, epoch)
+    both = F.transform(drawn, lambda d: F.when(d["u"] < p, F.struct(F.lit(mask_id).alias("id"), d["x"].alias("label"))).otherwise(
+        F.struct(d["x"].alias("id"), F.lit(ignore).alias("label"))))
+    return both["id"], both["label"]
 
 
 def bert_mask(ids, key, vocab_size: int, n_special: int = 5, p: float = 0.15, mask_id: int = MASK_ID,
@@ -49,32 +53,26 @@ def bert_mask(ids, key, vocab_size: int, n_special: int = 5, p: float = 0.15, ma
     The label is the original id at chosen positions and ``ignore`` elsewhere.
 
     The random id is drawn over the other eligible ids directly (no rejection loop): ``k`` over
-    ``n - 1`` slots, shifted by one at or above the current id."""
+    ``n - 1`` slots, shifted by one at or above the current id.  Every position has one draw; the few that
+    take a random id have a second."""
     t = _c(ids)
     if inference_mode:
         return t, F.transform(t, lambda x: F.lit(ignore))
     n_elig = vocab_size - n_special
-    u = lambda i: uniform(seed, F.lit("bert"), epoch, _c(key), i)
-    u2 = lambda i: uniform(seed, F.lit("rand"), epoch, _c(key), i)
 
     def rand_id(x, i):
-        eligible = x >= n_special
-        k_other = F.floor(u2(i) * (n_elig - 1)).cast("int") + n_special
-        k_any = F.floor(u2(i) * n_elig).cast("int") + n_special
-        return F.when(eligible, F.when(k_other >= x, k_other + 1).otherwise(k_other)).otherwise(k_any)
-
-    def one(x, i):
-        r = u(i) / p
-        return (
-            F.when(u(i) >= p, x)
-            .when(r < 0.8, F.lit(mask_id))
-            .when(r < 0.9, rand_id(x, i))
-            .otherwise(x)
-        )
-
-    out = F.transform(t, one)
-    labels = F.transform(t, lambda x, i: F.when(u(i) < p, x).otherwise(F.lit(ignore)))
-    return out, labels
+        # the draw is one element's list, so that it is made once however often it is read
+        slot = F.transform(F.array(uniform(seed, F.lit("rand"), epoch, _c(key), i)), lambda u2: F.when(
+            x >= n_special, F.floor(u2 * (n_elig - 1)).cast("int") + n_special + (F.floor(u2 * (n_elig - 1)).cast("int") + n_special >= x).cast("int")
+        ).otherwise(F.floor(u2 * n_elig).cast("int") + n_special))
+        return slot[0]
+
+    def one(d):
+        new = F.when(d["u"] / p < 0.8, F.lit(mask_id)).when(d["u"] / p < 0.9, rand_id(d["x"], d["i"])).otherwise(d["x"])
+        return F.when(d["u"] >= p, F.struct(d["x"].alias("id"), F.lit(ignore).alias("label"))).otherwise(F.struct(new.alias("id"), d["x"].alias("label")))
+
+    both = F.transform(_with_draws(t, "bert", key, seed, epoch), one)
+    return both["id"], both["label"]
 
 
 def mlm_rows(df: DataFrame, key_col: str, toks_col: str = "toks", label_col: str = "label", max_len: int = 64,
