@@ -133,8 +133,10 @@ def normalise_text(c, remove_space: bool = True, keep_accents: bool = False, low
     if remove_space:
         s = py_strip(F.regexp_replace(s, f"{WS_CLASS}+", " "))
     s = F.replace(F.replace(s, F.lit("``"), F.lit('"')), F.lit("''"), F.lit('"'))
-    if not keep_accents:  # ASCII texts are what they become, and stay in the JVM's branch
-        s = F.when(F.octet_length(s) == F.length(s), s).otherwise(nfkd_strip_marks(s))
+    if not keep_accents:
+        # ASCII texts stay as they are: the UDF, which Spark evaluates for every row, gets nulls for them
+        other = F.transform(F.array(s), lambda x: F.when(F.octet_length(x) != F.length(x), x))[0]
+        s = F.coalesce(nfkd_strip_marks(other), s)
     if lower:
         s = F.lower(s)
     return s

@@ -26,3 +26,12 @@ def explode_chunks(
     return words.select(
         key_col, *keep, F.posexplode(word_windows(F.col("_words"), size, overlap)).alias("subix", out_col)
     ).select(key_col, F.col("subix").cast("int").alias("subix"), out_col, *keep)
+
+
+def longest_chunk(texts: DataFrame, size: int, text_col: str = "data_cleaned", cleaned: bool = False) -> int:
+    """Words of the longest chunk of the texts, from their word counts: ``size`` as soon as one text has that many (the search stops
+    there), else the longest text's."""
+    n = F.size(split_words(F.col(text_col), cleaned))
+    if texts.where(n >= size).select(F.lit(1)).head(1):
+        return size
+    return texts.agg(F.max(n)).first()[0] or 0

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textprep.functions.text import clean_text_full, concat_text
+from textprep.session import checkpointed
 
 # ---------------------------------------------------------------------------------------------
 # The reference's drop lists and placeholders (Korean R&D project records).
@@ -55,18 +56,22 @@ def _all(conds: Sequence[Column]) -> Column:
 
 # --- P4-P7: filters (pandas keeps null rows; Spark's three-valued NOT would drop them) --------
 
+def _listed(col: str, values: Sequence | None) -> Column:
+    return F.coalesce(F.col(col).isin(*values), F.lit(False)) if values else F.lit(False)
+
+
+def _matches(col: str, pattern: str | None) -> Column:
+    return F.coalesce(F.col(col).rlike(pattern), F.lit(False)) if pattern else F.lit(False)
+
+
 def drop_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
     """Drop rows whose ``col`` is in ``values``; null is kept."""
-    if not values:
-        return df
-    return df.filter(~F.coalesce(F.col(col).isin(*values), F.lit(False)))
+    return df.filter(~_listed(col, values)) if values else df
 
 
 def drop_matching(df: DataFrame, col: str, pattern: str | None) -> DataFrame:
     """Drop rows whose ``col`` contains a match of the regex ``pattern``; null is kept."""
-    if not pattern:
-        return df
-    return df.filter(~F.coalesce(F.col(col).rlike(pattern), F.lit(False)))
+    return df.filter(~_matches(col, pattern)) if pattern else df
 
 
 def drop_all_null(df: DataFrame, cols: Sequence[str] = SUMMARY_COLS) -> DataFrame:
@@ -113,6 +118,12 @@ def duplicate_ids(
     hashed = df.filter(~_any([c.isNull() for c in keys])).select(
         F.col(order_col).alias("_id"), exempt.alias("_exempt"), F.xxhash64(*keys).alias("_h1"), F.xxhash64(F.lit("second"), *keys).alias("_h2")
     )
+    return _later(checkpointed(hashed), "_h1", "_h2")  # stored: groups and members both read it, the keys are computed once
+
+
+def _later(hashed: DataFrame, h1: str, h2: str) -> DataFrame:
+    """``(_id)`` of the rows ``(_id, _exempt, h1, h2)`` that are not the first of their hashes."""
+    hashed = hashed.select("_id", "_exempt", F.col(h1).alias("_h1"), F.col(h2).alias("_h2"))
     first = hashed.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     return hashed.join(first, ["_h1", "_h2"]).filter("_id > _first AND NOT _exempt").select("_id")
 
@@ -149,19 +160,38 @@ def clean_records(
 
     P9 (full-row key) is subsumed by P10 (its key is a subset of P9's): the first row of a
     P10 group is also first in its P9 sub-group, so running P10 alone keeps the same rows and
-    saves a step."""
+    saves a step.  Every step between the two dedups works on single rows, so both are decided on one narrow
+    table of hashes and flags; the texts are read once more, without the rows to drop."""
     rules = rules or CleanRules()
-    near_key = [c for c in df.columns if c not in (key_col, year_col, continuing_col)]
-    d = dedup_keep_first(df, near_key, key_col)
-    d = drop_values(d, ministry_col, rules.drop_ministries)
-    d = drop_all_null(d, summary_cols)
-    d = drop_values(d, title_col, rules.drop_titles)
-    d = drop_matching(d, title_col, rules.drop_title_pattern)
-    d = null_placeholders(d, rules.placeholders, key_col, mode=placeholder_mode)
+    near = [F.col(c) for c in df.columns if c not in (key_col, year_col, continuing_col)]
+    hit = _any([_listed(c, v) for c, v in rules.placeholders.items()])
+    compat = placeholder_mode == "compat"
+    gone = _listed(ministry_col, rules.drop_ministries) | _all([F.col(c).isNull() for c in summary_cols])
+    gone = gone | _listed(title_col, rules.drop_titles) | _matches(title_col, rules.drop_title_pattern)
+
+    def cleaned(c: str) -> Column:
+        """What the text pass below makes of a column."""
+        empty = hit if compat else _listed(c, rules.placeholders.get(c))
+        return F.when(gone | empty, F.lit("")).otherwise(clean_text_full(F.coalesce(F.col(c), F.lit("")), entity_mode))
+
+    # One narrow pass decides: hashes of every row's near key, and of the cleaned text of those that the filters leave.
+    known = ~_any([c.isNull() for c in near])
+    exempt = hit if compat else F.lit(False)
+    flags = (F.col(key_col).alias("_id"), known.alias("_known"), (~gone).alias("_left"), exempt.alias("_exempt"))
+    hashes = (F.xxhash64(*near).alias("_n1"), F.xxhash64(F.lit("second"), *near).alias("_n2"))
+    texts = [f"_t{i}" for i in range(len(text_cols))]
+    narrow = df.select(*flags, *hashes, *[cleaned(c).alias(t) for c, t in zip(text_cols, texts)])
+    narrow = checkpointed(narrow.select(
+        "_id", "_known", "_left", "_exempt", "_n1", "_n2", F.xxhash64(*texts).alias("_c1"), F.xxhash64(F.lit("second"), *texts).alias("_c2")
+    ))
+    later = _later(narrow.filter("_known").withColumn("_exempt", F.lit(False)), "_n1", "_n2")
+    left = narrow.filter("_left").join(later, "_id", "left_anti")
+    dropped = later.unionByName(_later(left, "_c1", "_c2"))
+
+    d = df.join(dropped, F.col(key_col) == F.col("_id"), "left_anti")
+    d = null_placeholders(d.filter(~gone), rules.placeholders, key_col, mode=placeholder_mode)
     d = d.na.fill("", subset=list(text_cols))
-    d = d.select("*", *[clean_text_full(c, entity_mode).alias(f"{c}_cleaned") for c in text_cols])
-    exempt = "is_placeholder" if placeholder_mode == "compat" else None
-    return dedup_keep_first(d, [f"{c}_cleaned" for c in text_cols], key_col, exempt_col=exempt)
+    return d.select("*", *[clean_text_full(c, entity_mode).alias(f"{c}_cleaned") for c in text_cols])
 
 
 def survivors(original: DataFrame, cleaned: DataFrame, key_col: str = "index") -> DataFrame:

@@ -182,9 +182,11 @@ def encode_corpus(
     padding: bool = True,
     add_special_tokens: bool = False,
     max_bytes: int = VOCAB_BYTES,
+    longest: int | None = None,
 ) -> DataFrame:
     """Text -> ``input_ids``, ``attention_mask``.  Truncated to ``max_len`` (specials included),
-    padded to the longest row of the whole frame, which follows from the word counts alone."""
+    padded to the longest row of the whole frame, which follows from the word counts alone; a caller who knows the
+    words of the longest row (:func:`textprep.operators.chunks.longest_chunk`) says so, and the frame is made once."""
     keys = list(key_cols)
     body = max_len - (2 if add_special_tokens else 0)
     words = F.slice(split_words(F.coalesce(F.col(text_col), F.lit(""))), 1, body)
@@ -197,8 +199,8 @@ def encode_corpus(
     enc = enc.select(*keys, *other, ids.alias("input_ids"))
     if not padding:
         return enc.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
-    longest = df.agg(F.max(F.size(words))).first()[0]
-    return pad_right(enc, "input_ids", (longest or 0) + (max_len - body), PAD_ID)
+    longest = (df.agg(F.max(F.size(words))).first()[0] or 0) if longest is None else min(longest, body)
+    return pad_right(enc, "input_ids", longest + (max_len - body), PAD_ID)
 
 
 def pad_right(df: DataFrame, col: str, length: int | Column, pad_value: int = PAD_ID, mask_col: str = "attention_mask",

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from textprep.functions.text import DIGIT_CLASS, clean_text_full, normalise_text, repair_digit_comma, sentences, word_pieces
 from textprep.operators import mlm as LM
 from textprep.operators import tokens as TK
-from textprep.operators.chunks import explode_chunks
+from textprep.operators.chunks import explode_chunks, longest_chunk
 from textprep.plans import sqltext as S
 from textprep.plans.catalog import register
 from textprep.plans.q_prep import _chunks_sql, prepared_corpus
-from textprep.sources.tables import LABELLED_SQL, read_table
+from textprep.sources.tables import LABELLED_SQL, labelled_corpus, read_table
 
 # --- vocabularies ---------------------------------------------------------------------------------
 
@@ -105,7 +105,9 @@ def _encode_sql(size: int, max_len: int, specials: bool) -> str:
 
 def _encode_spark(spark, sf_dir, size: int, max_len: int, specials: bool):
     ch = explode_chunks(prepared_corpus(spark, sf_dir), size, key_col="doc_id", cleaned=True).select("doc_id", "subix", "data")
-    enc = TK.encode_corpus(ch, corpus_vocab(spark, sf_dir), ["doc_id", "subix"], "data", max_len=max_len, add_special_tokens=specials)
+    texts = labelled_corpus(spark, sf_dir).select(clean_text_full("text").alias("data_cleaned"))
+    longest = longest_chunk(texts, size, cleaned=True)
+    enc = TK.encode_corpus(ch, corpus_vocab(spark, sf_dir), ["doc_id", "subix"], "data", max_len=max_len, add_special_tokens=specials, longest=longest)
     return enc.select("doc_id", F.col("subix").cast("long"), TK.ids_string("input_ids").alias("input_ids"),
                       TK.ids_string("attention_mask").alias("attention_mask"))
 
