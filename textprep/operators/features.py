@@ -9,7 +9,7 @@ a matrix that every task holds, with its class ids: predictions are classes, not
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -193,6 +193,41 @@ def extract_features(
     return chunks.withColumn(out_col, udf(F.col(text_col)))
 
 
+_MODELS: dict[str, Callable] = {}  # of a worker process
+
+
+def _loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def extract_with_model(
+    chunks: DataFrame, name: str, load: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "data", out_col: str = "hs", batch_size: int = 64
+) -> DataFrame:
+    """E1 with an encoder that is costly to load: ``load()`` returns it (texts -> rows of a matrix), and a worker process calls it
+    once, under ``name``, however many tasks and batches it runs.  The texts of an Arrow batch are encoded ``batch_size`` at a time from
+    the shortest to the longest, so a batch pads little, and their vectors go back to their rows; a null text has none."""
+
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from textprep.operators import features  # the process's own module, not this closure's copy of its names
+
+        model = None
+        for texts in batches:
+            out = pd.Series([None] * len(texts), dtype=object)
+            known = np.flatnonzero(texts.notna().to_numpy())
+            order = known[np.argsort(texts.iloc[known].str.len().to_numpy(), kind="stable")]
+            for a in range(0, len(order), batch_size):
+                at = order[a : a + batch_size]
+                model = model or features._loaded(name, load)
+                for place, vector in zip(at, np.asarray(model(texts.iloc[at].tolist()), np.float64)):
+                    out.iat[place] = vector.tolist()
+            yield out
+
+    encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return chunks.withColumn(out_col, F.pandas_udf(encode, T.ArrayType(T.DoubleType()))(F.col(text_col)))
+
+
 # --- E8: fitting a weighted linear head -------------------------------------------------------
 
 def as_features(vec) -> Column:

@@ -154,6 +154,23 @@ def q_e1(spark, sf_dir):
     return v.select("doc_id", F.col("subix").cast("long"), F.array_join(F.transform("hs", lambda x: x.cast("long").cast("string")), ",").alias("vec"))
 
 
+@register("e1_model_features", f"""SELECT doc_id, CAST(subix AS BIGINT) AS subix, CAST(count(*) FILTER (WHERE w <> '') AS BIGINT) AS n_words,
+      CAST(sum(length(w)) AS BIGINT) AS n_letters, CAST(count(*) FILTER (WHERE w = 'the') AS BIGINT) AS n_the
+    FROM (SELECT doc_id, subix, unnest(string_split(data, ' ')) AS w FROM ({_chunks_sql(250)}) z) q GROUP BY doc_id, subix""")
+def q_e1_model(spark, sf_dir):
+    """E1 with an encoder that each worker loads once: words, letters and occurrences of a word of each chunk."""
+
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[len([w for w in t.split(" ") if w]), sum(map(len, t.split(" "))), t.split(" ").count("the")] for t in texts])
+
+    ch = explode_chunks(prepared_corpus(spark, sf_dir), 250, key_col="doc_id", cleaned=True)
+    v = E.extract_with_model(ch, "word-counts", load, "data", "hs")
+    names = ("n_words", "n_letters", "n_the")
+    return v.select("doc_id", F.col("subix").cast("long"), *[F.col("hs")[i].cast("long").alias(n) for i, n in enumerate(names)])
+
+
 @register("t19_pad_sequences", f"""SELECT doc_id, CAST(n AS BIGINT) AS seq_len, CAST(longest AS BIGINT) AS padded_len,
       md5(vecs || repeat(',' || array_to_string(list_transform(range(16), lambda x: 0), ','), longest - n)) AS hs_md5
     FROM (SELECT doc_id, count(*) AS n, max(count(*)) OVER () AS longest, string_agg(vec, ',' ORDER BY subix) AS vecs
