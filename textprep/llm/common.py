@@ -3,6 +3,7 @@ numpy helpers that hash the words of many texts at once."""
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -68,6 +69,18 @@ def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str
     return left.join(right, on, how)
 
 
+def release() -> None:
+    """Give memory that a finished pass has freed back to the system: Spark keeps Python workers, and idle ones
+    count as memory of their executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --- numpy side -----------------------------------------------------------------------------------
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64

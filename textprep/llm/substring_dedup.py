@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import blank_words, mix, null_safe, rolling, text_chunks, word_hashes
+from textprep.llm.common import blank_words, mix, null_safe, release, rolling, text_chunks, word_hashes
 from textprep.session import shuffle_partitions
 
 WIDTH = 20
@@ -73,18 +73,23 @@ def _slices(width: int, buckets: int):
         again = np.unique(place[~first])
         rows = []
         cut = np.searchsorted(hashes[first], np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
-        parts_h, parts_p = np.split(hashes[first], cut), np.split(place[first].astype(np.uint32), cut)
+        parts_h, parts_p = np.split(hashes[first], cut), np.split(place[first], cut)
         share = np.searchsorted(again, firsts[(np.arange(1, buckets) * len(ids)) // buckets])
-        tables = _planes(np.diff(ids, prepend=0)), _planes(marks), _planes(counts.astype(np.uint32))
-        for b, (h, p, r) in enumerate(zip(parts_h, parts_p, np.split(again.astype(np.uint32), share))):
+        for b, (h, p, r) in enumerate(zip(parts_h, parts_p, np.split(again, share))):
             if len(h) or len(r):
-                rows.append((b, _planes(np.diff(h, prepend=np.uint64(0))), _planes(p), *tables, _planes(r)))
+                # a row names the documents it has entries of, and places count within those
+                both = np.concatenate([p, r])
+                of = np.searchsorted(firsts, both, side="right") - 1
+                own, code = np.unique(of, return_inverse=True)
+                at = (np.cumsum(counts[own]) - counts[own])[code] + both - firsts[of]
+                tables = _planes(np.diff(ids[own], prepend=0)), _planes(marks[own]), _planes(counts[own].astype(np.uint32))
+                rows.append((b, _planes(np.diff(h, prepend=np.uint64(0))), _planes(at[: len(p)].astype(np.uint32)), *tables, _planes(at[len(p) :].astype(np.uint32))))
         names = [x.split()[0] for x in _ENTRIES.split(", ")]
         kinds = [pa.int32()] + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names) if rows else None
 
     def run(batches):
-        held, n = [], 0
+        held, n, batch = [], 0, None
         for batch in batches:
             all_ids = np.array(batch.column(0).fill_null(_NULL_ID), np.int64)
             all_marks = np.array(batch.column(1), np.int32)
@@ -108,6 +113,8 @@ def _slices(width: int, buckets: int):
                         yield out
         if n and (out := settle(held)) is not None:
             yield out
+        del held, batch
+        release()
 
     return run
 
@@ -230,6 +237,7 @@ def _apply(kept_text: bool):
             out += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
             out.append(pa.array(spans, removed.type))
             yield pa.RecordBatch.from_arrays(out, ["rest", *["text"] * kept_text, *MADE])
+        release()
 
     return run
 
