@@ -221,3 +221,31 @@ def q_m11(spark, sf_dir):
     model = E.collect_model(E.class_means(train, "hs", "label"))
     p = E.centroid_predictions(valid, model, "hs", "doc_id", "label")
     return _report_out(M.classification_report(M.confusion(p)))
+
+
+# --- E8 / M11 over all folds -----------------------------------------------------------------------
+
+def fold_rows(spark, sf_dir, folds: int = 5):
+    """Mean-pooled documents ``(key, x, label, w, cv)``: class weights N / n_c (G1) and stratified folds (F1)."""
+    from textprep.operators import labels as L
+    from textprep.operators.folds import stratified_folds
+    from textprep.sources.tables import chunk_vectors
+
+    label = E.first_non_null("label", "subix").alias("label")
+    d = E.pool_by_key(chunk_vectors(spark, sf_dir), "index", "hs", ("mean",), [label]).filter("label IS NOT NULL")
+    d = d.select(F.col("index").alias("key"), F.col("mean").alias("x"), "label")
+    cv = stratified_folds(d.select("key", "label"), "label", "key", k=folds).select("key", "cv")
+    return L.sample_weights(d, "label").join(cv, "key")
+
+
+@register("m11_all_folds")
+def q_m11_folds(spark, sf_dir):
+    """Five weighted heads, each fitted without its fold, in the same passes; every document is scored by the one that has not
+    seen it."""
+    from textprep.operators import fold_models as FM
+    from textprep.session import checkpointed
+
+    rows = checkpointed(fold_rows(spark, sf_dir))
+    classes, weights, _ = FM.fit_folds(rows, 5)
+    p = FM.score_held_out(rows, classes, weights)
+    return p.select(F.col("key").cast("long"), F.col("cv").cast("long"), F.col("label").cast("long"), F.col("pred").cast("long"))
