@@ -54,6 +54,16 @@ def q_m1(spark, sf_dir):
     )
 
 
+@register("m1_argmax_by_blocks", f"""SELECT CAST(key AS BIGINT) AS key, CAST(pred AS BIGINT) AS pred, round(list_max(logits), 6) AS max_score FROM {PRED_SQL} p""")
+def q_m1_blocks(spark, sf_dir):
+    """M1 by a stored model that is not broadcast: vectors meet blocks of classes."""
+    from textprep.operators.class_scoring import best_class
+
+    c = chunk_vectors(spark, sf_dir)
+    p = best_class(c, E.class_means(c), "hs", "vec_id", max_bytes=0)
+    return p.select(F.col("key").cast("long"), F.col("pred").cast("long"), rounded("score", "max_score"))
+
+
 @register("m2_confusion", f"""SELECT CAST(label AS BIGINT) AS label, CAST(pred AS BIGINT) AS pred, CAST(count(*) AS BIGINT) AS n
     FROM {PRED_SQL} p GROUP BY label, pred""")
 def q_m2(spark, sf_dir):
