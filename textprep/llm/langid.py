@@ -8,7 +8,9 @@ Spark adds the sums, and only the profiles (300 rows per language) reach the dri
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0, and so are all texts when
 no labelled text has a letter; rows with a null label don't teach; of languages at equal distance the
-first by code point wins, and n-grams of equal count rank by code point; an empty table gives no rows."""
+first by code point wins, and n-grams of equal count rank by code point; an empty table gives no rows; rows that
+repeat an id are judged and teach one by one; texts are read whole, however long; only doc_id, text and lang are read, so
+other columns don't matter to :func:`identify`."""
 
 from __future__ import annotations
 
@@ -115,8 +117,9 @@ def learn(labelled: DataFrame, top: int = TOP) -> pd.DataFrame:
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top)
-    return ranked.select("lang", "gram", "rank").toPandas()  # top rows per language
+    # filtered on the row number itself, so Spark cuts each language to its first rows before and after the shuffle
+    ranked = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return ranked.select("lang", "gram", (F.col("place") - 1).alias("rank")).toPandas()  # top rows per language
 
 
 class _Model:
