@@ -228,47 +228,47 @@ def weighted_rows_sample(
     Rows in seeded hash order tile ``[0, sum(w))`` with intervals ``[lo_i, lo_i + w_i)``; draw
     ``j`` lands at ``x = u(seed, j) * sum(w)`` and takes the row whose interval holds ``x``.
     The hash order is cut into order-preserving hash buckets (about equal row counts); ``lo`` is a
-    per-bucket running sum plus the bucket's offset (a bucket-sized side table).  A draw finds its
-    bucket in the literal list of bucket offsets, then its row by a merge inside the bucket (a
-    window over rows and draws ordered by position).  Rows of at least ``sum(w) / buckets`` weight
-    (at most ``buckets`` of them) are resolved from a literal before the merge, so a row holding a
-    third of the mass never sends a third of the draws into one task.  Integer-valued weights
-    give exact sums."""
+    per-bucket running sum plus the bucket's offset (a side table of one row per bucket).  Buckets and heavy
+    rows are intervals of the weight axis, and the axis is cut into equal ranges: both are side tables by
+    range, so a draw finds its heavy row or its bucket by an equi-join on its range, then its row by a merge inside the bucket (a
+    window over rows and draws ordered by position).  Heavy are rows of at least ``sum(w) / buckets``
+    weight (at most ``buckets`` of them), so a row holding a third of the mass never sends a third of the draws into one task.
+    Integer-valued weights give exact sums; only the total reaches the driver."""
     spark = df.sparkSession
     w = F.col(weight_col).cast("double")
     d = df.select(key_col, w.alias("_w")).filter(F.col("_w") > 0)
     # a bucket's rows and draws are merged by one task
     nb = buckets or max(8, shuffle_partitions(spark), (d.count() + n) // BUCKET_ROWS)
     d = d.withColumn("_h", hash_hex(seed, F.lit("wrow"), key_col)).withColumn("_hb", hex_bucket(F.col("_h"), nb))
-    mass = d.groupBy("_hb").agg(F.sum("_w").alias("_m")).orderBy("_hb").collect()  # at most nb rows
-    offsets, acc = {}, 0.0
-    for r in mass:
-        offsets[r["_hb"]] = acc
-        acc += r["_m"]
-    total = acc
+    mass = d.groupBy("_hb").agg(F.sum("_w").alias("_m"))
+    before = Window.orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)  # nb rows
+    mass = checkpointed(mass.withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0.0))))
+    total = mass.agg(F.max(F.col("_off") + F.col("_m"))).first()[0] or 0.0
     if total <= 0:
         raise ValueError("all weights are zero")
-    bnames = sorted(offsets)
-    off_col = F.element_at(F.array(*[F.lit(offsets[b]) for b in bnames]), F.array_position(F.array(*[F.lit(b) for b in bnames]), F.col("_hb")).cast("int"))
     run = Window.partitionBy("_hb").orderBy("_h", key_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = checkpointed(d.withColumn("_lo", off_col + F.coalesce(F.sum("_w").over(run), F.lit(0.0))))
-    heavy = rows.filter(F.col("_w") >= total / nb).select("_lo", "_w", key_col).orderBy("_lo").collect()  # at most nb rows
+    lo = F.col("_off") + F.coalesce(F.sum("_w").over(run), F.lit(0.0))
+    rows = checkpointed(d.join(mass.select("_hb", "_off"), "_hb").withColumn("_lo", lo).drop("_off"))
+
+    ranges = 4 * nb
+
+    def range_of(c):
+        return F.floor(c / F.lit(total) * ranges).cast("long")
+
+    def by_range(intervals: DataFrame) -> DataFrame:
+        """Intervals ``(_from, _to, ...)`` once for each range they reach into."""
+        last = F.least(range_of(F.col("_to")), F.lit(ranges - 1).cast("long"))
+        return small_side(intervals.withColumn("_in", F.explode(F.sequence(F.least(range_of(F.col("_from")), last), last))))
+
+    heavy = rows.filter(F.col("_w") >= total / nb)
+    heavy = by_range(heavy.select(F.col("_lo").alias("_from"), (F.col("_lo") + F.col("_w")).alias("_to"), F.col(key_col).alias("_heavy")))
+    spans = by_range(mass.select(F.col("_off").alias("_from"), (F.col("_off") + F.col("_m")).alias("_to"), F.col("_hb").alias("_bucket")))
     draws = spark.range(n).select((F.col("id") + 1).alias("j"), (uniform(seed, F.lit("wdraw"), epoch, "id") * F.lit(total)).alias("_x"))
-    starts = F.array(*[F.lit(offsets[b]) for b in bnames])
-    draws = draws.withColumn("_hb", F.element_at(F.array(*[F.lit(b) for b in bnames]), F.size(F.filter(starts, lambda s: s <= F.col("_x")))))
-    if heavy:
-        h_lo = F.array(*[F.lit(r["_lo"]) for r in heavy])
-        h_hi = F.array(*[F.lit(r["_lo"] + r["_w"]) for r in heavy])
-        h_key = F.array(*[F.lit(r[key_col]) for r in heavy])
-        hit = F.array_position(
-            F.transform(F.arrays_zip(h_lo.alias("lo"), h_hi.alias("hi")), lambda z: (z["lo"] <= F.col("_x")) & (F.col("_x") < z["hi"])),
-            F.lit(True),
-        )
-        draws = draws.withColumn("_heavy", F.when(hit > 0, F.element_at(h_key, hit.cast("int"))))
-    else:
-        draws = draws.withColumn("_heavy", F.lit(None).cast(rows.schema[key_col].dataType))
-    direct = draws.filter(F.col("_heavy").isNotNull()).select("j", F.col("_heavy").alias(key_col))
-    rest = draws.filter(F.col("_heavy").isNull())
+    draws = draws.withColumn("_range", F.least(range_of(F.col("_x")), F.lit(ranges - 1).cast("long")))
+    inside = (F.col("_range") == F.col("_in")) & (F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_to"))
+    found = draws.join(heavy, inside, "left").drop("_in", "_from", "_to")
+    direct = found.filter(F.col("_heavy").isNotNull()).select("j", F.col("_heavy").alias(key_col))
+    rest = found.filter(F.col("_heavy").isNull()).drop("_heavy").join(spans, inside).withColumnRenamed("_bucket", "_hb")
     merged = rows.select("_hb", F.col("_lo").alias("_pos"), F.lit(0).alias("_kind"), key_col, F.lit(None).cast("long").alias("j")).unionByName(
         rest.select("_hb", F.col("_x").alias("_pos"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema[key_col].dataType).alias(key_col), "j")
     )
