@@ -15,8 +15,17 @@ QUERIES = {name: fn for name, fn in E.queries().items() if name in catalog.QUERI
 ORACLE = {name: sql for name, sql in E.oracle_sql().items() if name in QUERIES}
 
 
+# What SQL cannot express, and the test that holds it against something else.
+ELSEWHERE = {
+    "t20_subword_vocab": "test_subwords.py: the piece model's own library",
+    "t1_subword_encode": "test_subwords.py: the piece model's own library",
+    "t2_subword_sentences": "test_subwords.py: the piece model's own library",
+    "m11_all_folds": "test_fold_models.py: a plain Newton solver, fold by fold",
+}
+
+
 def test_every_query_has_oracle_or_is_model_based():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ELSEWHERE) == set(ORACLE)
 
 
 def test_entry(spark):
