@@ -19,6 +19,7 @@ import base64
 import heapq
 import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textprep.llm.common import stored_by, word_hashes
+from textprep.llm.common import release, stored_by, word_hashes
 from textprep.session import shuffle_partitions
 
 # Fixed value: the pattern that cuts a text into the pieces which are encoded one by one.
@@ -50,6 +51,7 @@ CHUNK_WORDS = 200_000  # words that are Python strings at the same time
 RANK_FILE_BYTES = 64 << 20  # of a rank file that every task may hold a copy of
 
 
+_HIGH = re.compile("[\u0558-\U0010FFFF]")  # from the first of them on
 _LATER = regex.compile(f"[{LATER}]")
 _PLAIN = regex.compile(PATTERN)
 _EXACT = regex.compile(
@@ -60,7 +62,8 @@ _EXACT = regex.compile(
 
 def split(text: str) -> list[str]:
     """Pre-tokens of a text."""
-    return (_PLAIN if text.isascii() or not _LATER.search(text) else _EXACT).findall(text)
+    later = not text.isascii() and _HIGH.search(text) and _LATER.search(text)
+    return (_EXACT if later else _PLAIN).findall(text)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -183,14 +186,15 @@ def _blocks(buckets: int, block_bytes: int, key_type: T.DataType, schema: T.Stru
                 for name in columns:
                     columns[name].append(row.get(name))
 
-            seq, bucket_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            seq, bucket_of = np.zeros(0, np.int32), np.zeros(0, np.int64)
             if chunks:
                 # one numbering for the block's words
                 all_words = pa.concat_arrays([w for _, w in chunks]).dictionary_encode()
                 to, at = all_words.indices.to_numpy(), _starts(np.array([len(w) for _, w in chunks]))
-                seq = np.concatenate([to[at[i] + codes] for i, (codes, _) in enumerate(chunks)])
+                seq = np.concatenate([to[at[i] : at[i + 1]][codes] for i, (codes, _) in enumerate(chunks)])
+                chunks.clear()
                 order = np.argsort(-np.bincount(seq, minlength=len(all_words.dictionary)), kind="stable")
-                rank = np.empty_like(order)
+                rank = np.empty(len(order), np.int32)
                 rank[order] = np.arange(len(order))
                 seq = rank[seq]
                 data, offs = _word_arrays(all_words.dictionary)
@@ -221,6 +225,7 @@ def _blocks(buckets: int, block_bytes: int, key_type: T.DataType, schema: T.Stru
                     encode_chunk()
         if keys:
             yield flush()
+        release()
 
     return run
 
@@ -277,6 +282,8 @@ def _placed(key_type: T.DataType):
                 offsets.append(last + _starts(size[mine])[ends[a + 1 : b + 1] - ends[a]])
             keys += row["keys"]
         flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+        del out, answers, blocks
+        release()
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.array(flat))
         return pa.table({"key": pa.array(keys, to_arrow_type(key_type)), "ids": lists})
 
@@ -340,5 +347,6 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
                 for raw, offs in ((_ragged(data, start[flat], size[flat]).tobytes(), _starts(size[flat])[ends]), (flat.astype("<u4").tobytes(), 4 * ends)):
                     columns.append(pa.array([raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "decoded", "packed"])
+        release()
 
     return encoded.mapInArrow(run, schema)
