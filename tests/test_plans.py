@@ -52,3 +52,17 @@ def test_small_vocab_lookup_is_broadcast(spark, static_plans):
     toks = spark.createDataFrame([(0, "a")], "p int, token string")
     plan = plan_of(TK.lookup_ids(toks, v))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_draw_lists_are_not_broadcast(spark):
+    """Draws with replacement are made of few rows and look as small to Spark, whatever their number."""
+    from textprep.operators import ranked_store as RS
+    from textprep.operators import sampling as B
+
+    rows = spark.createDataFrame([(c, 10 * i + c) for c, n in ((0, 40), (1, 3)) for i in range(n)], "label int, index long")
+    store = spark.table(RS.write_ranked(rows))
+    epochs = RS.draw_epochs(store, RS.epoch_targets(store, [0], "upsampling"))
+    for sample in (B.balanced_sample(rows, mode="upsampling"), epochs):
+        assert len(sample.collect()) == 80
+        joins = [line for line in plan_of(sample).splitlines() if re.search(r"Join \[label#\d+, _?rn#", line)]
+        assert joins and all("SortMergeJoin" in line for line in joins), joins

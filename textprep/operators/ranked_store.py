@@ -69,7 +69,8 @@ def draw_epochs(store: DataFrame, targets: DataFrame, label_col: str = "label",
     again = F.floor(uniform(seed, F.lit("draw"), "epoch", label_col, "j") * F.col("n")).cast("long")
     rank = F.when(F.col("target") <= F.col("n"), _permuted(label_col, seed)).otherwise(again) + 1
     picks = picks.select("epoch", label_col, "j", F.coalesce(rank, F.lit(0)).alias("rn"))
-    return picks.join(store.select(label_col, "rn", key_col), [label_col, "rn"]).select("epoch", label_col, "j", key_col)
+    # as in sampling.draw: the draws look as small as the rows that they are made of
+    return picks.hint("merge").join(store.select(label_col, "rn", key_col), [label_col, "rn"]).select("epoch", label_col, "j", key_col)
 
 
 def epoch_targets(store: DataFrame, epochs: Sequence[int], mode="downsampling", label_col: str = "label") -> DataFrame:

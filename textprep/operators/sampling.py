@@ -111,7 +111,8 @@ def draw(
     u = uniform(seed, F.lit("draw"), epoch, label_col, "j")
     picks = expand_counts(repeated, "target", "j").withColumn("_rn", (F.floor(u * F.col("n")) + 1).cast("long"))
     rows = ranked.filter(F.col("target") > F.col("_n")).select(label_col, "_rn", key_col)
-    return taken.unionByName(picks.join(rows, [label_col, "_rn"]).select(label_col, "j", key_col))
+    # draws are made of few rows, so they look small to Spark: without the hint it collects all of them for a broadcast
+    return taken.unionByName(picks.hint("merge").join(rows, [label_col, "_rn"]).select(label_col, "j", key_col))
 
 
 def balanced_sample(df, label_col="label", key_col="index", mode="downsampling", seed=42, epoch=0) -> DataFrame:
