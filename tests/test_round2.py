@@ -85,6 +85,31 @@ def test_large_vocabulary_paths(spark):
     assert {(r["id"], r["token"]) for r in TK.lookup_tokens(ids, vocab, max_bytes=0).collect()} == {(5, "a"), (99, None)}
 
 
+def test_large_vocabulary_takes_odd_rows(spark, monkeypatch):
+    """Part of the vocabulary copied, part joined; keys that repeat or are null; tokens that repeat; nulls among the words."""
+    monkeypatch.setattr(TK, "HEAD_BYTES", 60)
+    d = spark.createDataFrame([(1, "b a a zz"), (1, "c b zz yy c"), (None, "d e"), (None, "e c c"), (2, None), (3, "e " * 9 + "zz d")], "doc_id long, text string")
+    vocab = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), ("a", 2), ("b", 3), ("c", 4), ("d", 5), ("e", 6), ("e", 7)], "token string, id long")
+    assert 0 < TK._cutoff(vocab, 60) < 7
+    rows = lambda df: sorted(map(str, df.collect()))
+    for max_bytes in (0, 100):
+        assert rows(TK.encode_corpus(d, vocab, ["doc_id"], "text", max_bytes=max_bytes)) == rows(TK.encode_corpus(d, vocab, ["doc_id"], "text"))
+        s = d.select("doc_id", F.array("text", F.lit("c a zz"), F.lit(None), F.lit("")).alias("sents"), F.lit("x").alias("other"))
+        assert rows(TK.encode_sentences(s, vocab, "doc_id", max_bytes=max_bytes)) == rows(TK.encode_sentences(s, vocab, "doc_id"))
+        ids = spark.createDataFrame([(2,), (2,), (5,), (99,), (None,)], "id int")
+        assert rows(TK.lookup_tokens(ids, vocab, max_bytes=max_bytes)) == rows(TK.lookup_tokens(ids, vocab))
+
+
+def test_large_vocabulary_moves_only_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(TK, "HEAD_BYTES", 60)
+    vocab = spark.createDataFrame([("[PAD]", 0), ("a", 1), ("b", 2), ("c", 3), ("d", 4)], "token string, id long")
+    d = spark.createDataFrame([(i, "a " * 500 + "d") for i in range(20)], "doc_id long, text string").repartition(2)
+    out = TK.encode_corpus(d, vocab, ["doc_id"], "text", padding=False, max_bytes=100)
+    assert all(r["input_ids"] == [1] * 500 + [4] for r in out.collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "map_from_entries" not in plan
+
+
 def test_vocabulary_file_round_trip(spark, tmpdir_run):
     vocab = spark.createDataFrame([(f"t{i}", i) for i in range(50)], "token string, id long")
     TK.write_vocab(vocab.repartition(3), f"{tmpdir_run}/v")

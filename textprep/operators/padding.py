@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textprep.functions.hashing import hash_hex
 from textprep.operators.ranking import hash_rank
 from textprep.operators.tokens import IGNORE_LABEL, PAD_ID, pad_right
+from textprep.session import checkpointed
 
 LENGTHS = 4096  # distinct borders that are weighed against each other
 
@@ -51,7 +52,7 @@ def length_borders(df: DataFrame, length_col: str, buckets: int = 8) -> list[int
     """Borders of the buckets; rows without a length count as length 0.  What reaches the driver is the histogram, ``LENGTHS`` rows at most."""
     if buckets < 1:
         raise ValueError("one bucket at least")
-    histogram = df.groupBy(F.coalesce(F.col(length_col), F.lit(0)).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    histogram = checkpointed(df.groupBy(F.coalesce(F.col(length_col), F.lit(0)).alias("x")).agg(F.count(F.lit(1)).alias("n")))
     longest, distinct = histogram.agg(F.max("x"), F.count(F.lit(1))).first()
     if distinct > LENGTHS:  # the longest of each run of lengths stands for it
         step = -(-(longest + 1) // LENGTHS)
@@ -74,7 +75,7 @@ def bucketed_batches(df: DataFrame, ids_col: str, batch_size: int, key_cols, buc
                      pad_value: int = PAD_ID, label_pad: int = IGNORE_LABEL, borders: list[int] | None = None) -> DataFrame:
     """Rows with ``padded_len``, ``batch_id`` (from 0 in each bucket), ``in_batch`` and ``attention_mask``, padded to their bucket.  ``borders`` of an earlier
     run save the histogram; a longer row than its border is an error of the caller and stays as it is."""
-    d = df.withColumn("_len", F.coalesce(F.size(ids_col), F.lit(0)))
+    d = checkpointed(df.withColumn("_len", F.coalesce(F.size(ids_col), F.lit(0))))  # read for the histogram, the places and the rows
     d = with_border(d, "_len", length_borders(d, "_len", buckets) if borders is None else borders).drop("_len")
     keys = list(key_cols)
     place = d.select(*keys, "padded_len").withColumn("_h", hash_hex(seed, F.lit("pad"), epoch, *keys))

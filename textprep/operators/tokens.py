@@ -2,9 +2,8 @@
 
 The reference's per-string tokenizer is re-aimed as corpus jobs.  Where the vocabulary is small in
 bytes (checked), every task gets a copy and maps whole word arrays through it in Arrow batches, so
-no token is shuffled.  A larger one is joined: each row asks once per distinct word, the join key
-is salted, so a frequent or unknown word is spread over several tasks, and the answers return to their
-row as a map.  An external tokenizer plugs in through ``pandas_udf`` (:func:`encode_with`).
+no token is shuffled.  Of a larger one the frequent part is copied; each row asks a join once for each of its
+distinct other words, and the answers return to their row by place.  An external tokenizer plugs in through ``pandas_udf`` (:func:`encode_with`).
 """
 
 from __future__ import annotations
@@ -19,8 +18,11 @@ from pyspark.sql import types as T
 
 from textprep.functions.text import clean_text_full, split_words
 from textprep.operators.ranking import global_offsets, global_rank
+from textprep.session import checkpointed
 
 VOCAB_BYTES = 64 << 20  # of a vocabulary that every task may hold a copy of
+HEAD_BYTES = 16 << 20  # of the frequent part that the tasks copy of a larger vocabulary
+RANGES = 4096  # runs of ids among which that part's end is looked for
 SALTS = 16  # copies of a larger vocabulary in a join
 
 # ---------------------------------------------------------------------------------------------
@@ -134,7 +136,13 @@ def lookup_tokens(ids: DataFrame, vocab: DataFrame, id_col: str = "id", out_col:
     """Id -> token; an id outside the vocabulary gives null (count them with
     ``filter(token is null)``)."""
     side = vocab.select(F.col("id").alias("_vid"), F.col("token").alias(out_col))
-    return _salted_join(ids, side, id_col, "_vid", _bytes(side, out_col) <= max_bytes).drop("_vid")
+    if _bytes(side, out_col) <= max_bytes:
+        return _salted_join(ids, side, id_col, "_vid", True).drop("_vid")
+    # most ids are frequent ones, and those need no shuffle
+    cut = _cutoff(vocab, min(max_bytes, HEAD_BYTES))
+    frequent = F.coalesce(F.col(id_col) < cut, F.lit(False))
+    head = _salted_join(ids.where(frequent), side.where(F.col("_vid") < cut), id_col, "_vid", True)
+    return head.unionByName(_salted_join(ids.where(~frequent), side.where(F.col("_vid") >= cut), id_col, "_vid", False)).drop("_vid")
 
 
 def _mapper(vocab: DataFrame, depth: int, unk_id: int) -> Callable[[Column], Column]:
@@ -162,13 +170,84 @@ def _mapper(vocab: DataFrame, depth: int, unk_id: int) -> Callable[[Column], Col
     return F.arrow_udf(find, T.ArrayType(T.IntegerType()) if depth == 1 else T.ArrayType(T.ArrayType(T.IntegerType())))
 
 
-def _ids_by_join(df: DataFrame, vocab: DataFrame, keys: Sequence[str], words: Column, max_bytes: int) -> DataFrame:
-    """``df`` with ``_ids``, the ids of its words, through one join of distinct (row, word) pairs."""
-    d = df.withColumn("_words", words)
-    pairs = lookup_ids(d.select(*keys, F.explode(F.array_distinct("_words")).alias("token")), vocab, max_bytes=max_bytes)
-    maps = pairs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_map"))
-    d = d.join(maps, list(keys), "left")
-    return d.withColumn("_ids", F.transform("_words", lambda w: F.element_at(F.col("_map"), w))).drop("_words", "_map")
+def _cutoff(vocab: DataFrame, max_bytes: int) -> int:
+    """Tokens with an id below this one hold ``max_bytes`` at most: ids of a corpus vocabulary follow the counts, so they are its
+    frequent tokens.  At most ``RANGES`` sums reach the driver."""
+    low, high = vocab.agg(F.min("id"), F.max("id")).first()
+    if low is None or max_bytes <= 0:
+        return low or 0
+    step = (high - low) // RANGES + 1
+    run = F.call_function("div", F.col("id") - F.lit(low), F.lit(step)).alias("r")
+    size, at = 0, low
+    for r in vocab.groupBy(run).agg(F.sum(F.octet_length("token") + F.lit(24)).alias("b")).where("r IS NOT NULL").orderBy("r").collect():
+        size += r["b"] or 0
+        if size > max_bytes:
+            break
+        at = low + (r["r"] + 1) * step
+    return at
+
+
+def _coder(head: DataFrame, depth: int) -> Callable[[Column], Column]:
+    """As :func:`_mapper` by a part of the vocabulary: ``ids``, where -1, -2, ... stand for the first, second, ... of ``rare``, the
+    row's distinct words outside that part."""
+    import pyarrow as pa
+
+    rows = head.select("token", F.col("id").cast("int").alias("id")).toPandas()
+    tokens, ids = pa.array(rows["token"], pa.string()), np.append(rows["id"].to_numpy(np.int32), np.int32(UNK_ID))
+
+    def find(words):
+        import pyarrow.compute as pc
+
+        offsets = []
+        for _ in range(depth):
+            n = np.asarray(pc.fill_null(pc.list_value_length(words), 0))
+            offsets.append(np.concatenate([[0], np.cumsum(n)]))
+            words = words.flatten()
+        words = words.cast(pa.string())
+        found = pc.index_in(words, value_set=tokens)
+        out = ids[np.asarray(pc.fill_null(found, len(ids) - 1))]
+        ends = offsets[0]  # of the rows, in words
+        for o in offsets[1:]:
+            ends = o[ends]
+        at = np.flatnonzero(np.asarray(pc.and_(pc.is_null(found), pc.is_valid(words))))
+        terms = pc.dictionary_encode(words.take(pa.array(at)))
+        row = np.searchsorted(ends, at, side="right") - 1
+        code = np.asarray(terms.indices).astype(np.int64)
+        pair, place = np.unique(row * max(len(terms.dictionary), 1) + code, return_inverse=True)
+        starts = np.searchsorted(pair, np.arange(len(ends)) * max(len(terms.dictionary), 1))
+        out[at] = -1 - (place - starts[row])
+        rare = terms.dictionary.take(pa.array(pair % max(len(terms.dictionary), 1)))
+        rare = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rare)
+        out = pa.array(out)
+        for o in reversed(offsets):
+            out = pa.ListArray.from_arrays(pa.array(o, pa.int32()), out)
+        return pa.StructArray.from_arrays([out, rare], ["ids", "rare"])
+
+    find.__annotations__ = {"words": pa.Array, "return": pa.Array}
+    ids_type = "array<int>" if depth == 1 else "array<array<int>>"
+    return F.arrow_udf(find, f"struct<ids: {ids_type}, rare: array<string>>")
+
+
+def _ids_of_large(df: DataFrame, vocab: DataFrame, others: Sequence[str], words: Column, out_col: str, max_bytes: int, depth: int = 1) -> DataFrame:
+    """``others`` and the ids of the words by a vocabulary too large to copy.  Every task maps the frequent words through a copy of
+    their part; each row asks for its few distinct rare words in one join, and takes the answers by their place.  The coded rows are
+    stored once under row numbers, so keys may repeat or be null, and neither text nor words are shuffled."""
+    cut = _cutoff(vocab, min(max_bytes, HEAD_BYTES))
+    known = F.coalesce((F.col("id") >= 0) & (F.col("id") < cut), F.lit(False))
+    head, tail = vocab.where(known), vocab.where(~known)
+    coded = df.select(*others, _coder(head, depth)(words).alias("_w"))
+    coded = checkpointed(coded.select(*others, "_w.ids", "_w.rare", F.monotonically_increasing_id().alias("_row")).toDF(*others, "_ids", "_rare", "_row"))
+    asked = coded.select("_row", F.posexplode("_rare").alias("_place", "token"))
+    side = tail.groupBy(F.col("token").alias("_tok")).agg(F.min("id").cast("int").alias("_vid"))
+    answers = asked.hint("merge").join(side, asked["token"] == side["_tok"], "left")  # the asked words look as small as their rows
+    answers = answers.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_place", "_vid"))).alias("_answers"))
+    rows = coded.select(*others, "_ids", F.size("_rare").alias("_asks"), "_row").join(answers, "_row", "left")
+
+    def filled(ids):
+        return F.transform(ids, lambda x: F.when(x >= 0, x).otherwise(F.coalesce(F.get("_answers", -1 - x)["_vid"], F.lit(UNK_ID))))
+
+    ids = filled(F.col("_ids")) if depth == 1 else F.transform("_ids", filled)
+    return rows.select(*others, F.when(F.col("_asks") > 0, ids).otherwise(F.col("_ids")).alias(out_col))
 
 
 # --- T1: corpus encoding ------------------------------------------------------------------------
@@ -190,11 +269,11 @@ def encode_corpus(
     keys = list(key_cols)
     body = max_len - (2 if add_special_tokens else 0)
     words = F.slice(split_words(F.coalesce(F.col(text_col), F.lit(""))), 1, body)
+    other = [c for c in df.columns if c not in keys and c != text_col]
     if _bytes(vocab, "token") <= max_bytes:
         enc = df.withColumn("_ids", _mapper(vocab, 1, UNK_ID)(words))
     else:
-        enc = _ids_by_join(df, vocab, keys, words, max_bytes)
-    other = [c for c in df.columns if c not in keys and c != text_col]
+        enc = _ids_of_large(df, vocab, [*keys, *other], words, "_ids", max_bytes)
     ids = with_specials("_ids") if add_special_tokens else F.col("_ids")
     enc = enc.select(*keys, *other, ids.alias("input_ids"))
     if not padding:
@@ -235,12 +314,7 @@ def encode_sentences(df: DataFrame, vocab: DataFrame, key_col: str, sentences_co
     if _bytes(vocab, "token") <= max_bytes:
         out = df.select(key_col, *other, _mapper(vocab, 2, UNK_ID)(F.transform(sents, lambda s: split_words(s))).alias("toks"))
     else:
-        each = df.select(key_col, F.posexplode(sents).alias("_si", "_sent"))
-        each = _ids_by_join(each, vocab, [key_col, "_si"], split_words(F.col("_sent")), max_bytes)
-        rows = each.groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct("_si", "_ids"))).alias("_s"))
-        out = df.select(key_col, *other).join(rows, key_col, "left")
-        none = F.array().cast("array<array<int>>")
-        out = out.select(key_col, *other, F.coalesce(F.transform("_s", lambda x: x["_ids"]), none).alias("toks"))
+        out = _ids_of_large(df, vocab, [key_col, *other], F.transform(sents, lambda s: split_words(s)), "toks", max_bytes, depth=2)
     out = out.withColumn("tok_lens", F.transform("toks", lambda t: F.size(t)))
     out = out.withColumn("tot_len", F.aggregate("tok_lens", F.lit(0), lambda a, x: a + x))
     out = out.withColumn("ixs", F.when(F.size("toks") > 0, F.sequence(F.lit(0), F.size("toks") - 1)).otherwise(F.array().cast("array<int>")))
@@ -286,5 +360,5 @@ def token_type_ids(a, b=None) -> Column:
 
 
 def ids_string(c) -> Column:
-    return F.array_join(F.transform(_c(c), lambda x: x.cast("string")), " ")
+    return F.array_join(_c(c).cast("array<string>"), " ")
 
