@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+RUN_ROWS = 512  # texts whose words a worker holds at a time
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -168,17 +172,21 @@ def centroid_predictions(
 def hashed_bow(dim: int) -> Callable[[pd.Series], pd.Series]:
     """Built-in test encoder: counts of words per md5 bucket (``int(md5[:8], 16) % dim``)."""
 
-    def enc(texts: pd.Series) -> pd.Series:
+    def count(texts: pd.Series, m: np.ndarray) -> None:
         words = texts.fillna("").str.split(" ")
         lens = words.str.len().to_numpy()
-        flat = np.concatenate(words.to_numpy()) if len(words) else np.array([], dtype=object)
-        codes, uniq = pd.factorize(flat)  # each distinct word of the batch is hashed once
+        flat = np.array(list(chain.from_iterable(words)), dtype=object)  # as objects: an array of text is as wide as its longest word
+        codes, uniq = pd.factorize(flat)  # each distinct word of the run is hashed once
         ub = np.array([int(hashlib.md5(u.encode("utf-8")).hexdigest()[:8], 16) % dim if u else -1 for u in uniq], dtype=np.int64)
         b = ub[codes] if len(codes) else np.array([], dtype=np.int64)
         row = np.repeat(np.arange(len(texts)), lens)
         keep = b >= 0
-        m = np.zeros((len(texts), dim), dtype=np.float64)
         np.add.at(m, (row[keep], b[keep]), 1.0)
+
+    def enc(texts: pd.Series) -> pd.Series:
+        m = np.zeros((len(texts), dim), dtype=np.float64)
+        for i in range(0, len(texts), RUN_ROWS):  # a worker holds the words of one run only
+            count(texts.iloc[i : i + RUN_ROWS], m[i : i + RUN_ROWS])
         return pd.Series(list(m))
 
     return enc
