@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,11 +61,16 @@ def py_strip(c) -> Column:
     return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
+def _single_spaces(c) -> Column:
+    """Whitespace runs as one space, none at the ends."""
+    return F.trim(F.regexp_replace(_c(c), f"{WS_CLASS}+", " "))
+
+
 def split_words(c, cleaned: bool = False) -> Column:
     """Python ``str.split()``: split on whitespace runs, no empty words (so '' -> []).
     ``cleaned=True`` skips the whitespace normalisation for text that came out of
     :func:`clean_text_full` / :func:`clean_text_basic` (single spaces, no ends)."""
-    s = _c(c) if cleaned else py_strip(F.regexp_replace(_c(c), f"{WS_CLASS}+", " "))
+    s = _c(c) if cleaned else _single_spaces(c)
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
 
 
@@ -120,10 +124,34 @@ def _combining() -> re.Pattern:
     return _MARKS[0]
 
 
-@F.pandas_udf(T.StringType())
-def nfkd_strip_marks(s: pd.Series) -> pd.Series:
+def by_rows(find, column, bytes_at_once: int = 1 << 20):
+    """``find`` over an Arrow column a run of rows at a time, so that a worker holds the Python values of one run only; a run has
+    ``bytes_at_once`` bytes or one row."""
+    import pyarrow as pa
+
+    if not len(column):
+        return find(column)
+    step = max(1, int(len(column) * bytes_at_once // max(column.nbytes, 1)))
+    return pa.concat_arrays([find(column.slice(i, step)) for i in range(0, len(column), step)])
+
+
+def _nfkd_strip_marks(texts):
+    import pyarrow as pa
+
+    marks = _combining()
+    one = lambda s: None if s is None else marks.sub("", unicodedata.normalize("NFKD", s))
+    return by_rows(lambda run: pa.array([one(s.as_py()) for s in run], pa.string()), texts)
+
+
+def _nfkd_udf():
     """NFKD, then drop combining characters (Spark has no Unicode normaliser built in)."""
-    return s.str.normalize("NFKD").str.replace(_combining(), "", regex=True)
+    import pyarrow as pa
+
+    _nfkd_strip_marks.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # as objects: this module's own are strings
+    return F.arrow_udf(_nfkd_strip_marks, T.StringType())
+
+
+nfkd_strip_marks = _nfkd_udf()
 
 
 def normalise_text(c, remove_space: bool = True, keep_accents: bool = False, lower: bool = False) -> Column:
@@ -131,7 +159,7 @@ def normalise_text(c, remove_space: bool = True, keep_accents: bool = False, low
     unless ``keep_accents``, optional lower-casing."""
     s = _c(c)
     if remove_space:
-        s = py_strip(F.regexp_replace(s, f"{WS_CLASS}+", " "))
+        s = _single_spaces(s)
     s = F.replace(F.replace(s, F.lit("``"), F.lit('"')), F.lit("''"), F.lit('"'))
     if not keep_accents:
         # ASCII texts stay as they are: the UDF, which Spark evaluates for every row, gets nulls for them
@@ -144,9 +172,9 @@ def normalise_text(c, remove_space: bool = True, keep_accents: bool = False, low
 
 # --- piece-level helpers (T4, T7) -----------------------------------------------------------
 
-def word_pieces(c) -> Column:
-    """Word-level pieces with the word-start marker: 'a b' -> ['▁a', '▁b']."""
-    return F.transform(split_words(c), lambda w: F.concat(F.lit(PIECE_MARK), w))
+def word_pieces(c, cleaned: bool = False) -> Column:
+    """Word-level pieces with the word-start marker: 'a b' -> ['▁a', '▁b']; ``cleaned`` as in :func:`split_words`."""
+    return F.transform(split_words(c, cleaned), lambda w: F.concat(F.lit(PIECE_MARK), w))
 
 
 # Characters Python's str.isdigit() accepts besides decimal digits (superscripts, subscripts,
@@ -162,7 +190,7 @@ def repair_digit_comma(pieces) -> Column:
         F.transform(
             _c(pieces),
             lambda x: F.when(
-                (F.length(x) > 1) & x.rlike(DIGIT_CLASS + ",$"),
+                x.endswith(",") & (F.length(x) > 1) & x.rlike(DIGIT_CLASS + ",$"),  # few pieces get as far as the pattern
                 F.array(F.regexp_replace(x, ",$", ""), F.lit(",")),
             ).otherwise(F.array(x)),
         )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textprep.functions.text import PIECE_MARK, split_words
+from textprep.functions.text import PIECE_MARK, by_rows, split_words
 
 VOCAB_BYTES = 64 << 20  # of a vocabulary that every task may hold a copy of
 KEPT_WORDS = 500_000  # words whose pieces a worker keeps
@@ -139,6 +139,9 @@ def subword_ids(vocab: DataFrame, repair: bool = True, max_bytes: int = VOCAB_BY
     shared = _shared(vocab, max_bytes)
 
     def find(words):
+        return by_rows(find_run, words)
+
+    def find_run(words):
         import pyarrow.compute as pc
 
         def offsets(lists):
@@ -202,8 +205,8 @@ def decode_subwords(df: DataFrame, vocab: DataFrame, ids_col: str = "input_ids",
         raw = {}
         for token, i, _, kind in shared.value[1]:
             raw[i] = bytes([int(token[3:-1], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else token.replace(PIECE_MARK, " ").encode()
-        rows = ids.to_pylist()
-        return pa.array([None if x is None else b"".join(map(raw.__getitem__, x)).decode("utf-8", "replace").strip(" ") for x in rows], pa.string())
+        one = lambda x: None if x is None else b"".join(map(raw.__getitem__, x)).decode("utf-8", "replace").strip(" ")
+        return by_rows(lambda run: pa.array([one(x.as_py()) for x in run], pa.string()), ids)
 
     text.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     return df.withColumn(out_col, F.arrow_udf(text, T.StringType())(F.col(ids_col)))

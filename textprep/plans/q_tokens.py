@@ -267,7 +267,7 @@ def _re2_class() -> str:
      FROM documents) q""")
 def q_t4(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    p = repair_digit_comma(word_pieces(normalise_text("text", keep_accents=True)))
+    p = repair_digit_comma(word_pieces(normalise_text("text", keep_accents=True), cleaned=True))
     return d.select("doc_id", p.alias("p")).select(
         "doc_id", F.size("p").cast("long").alias("n_pieces"), F.md5(F.array_join("p", " ")).alias("pieces_md5")
     )
