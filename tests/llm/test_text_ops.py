@@ -180,6 +180,33 @@ def test_minhash_dedup_large_families(spark, monkeypatch):
     assert {k: r["component_id"] for k, r in got.items()} == root
 
 
+def test_minhash_dedup_rows_of_unlinked_families(spark, monkeypatch):
+    """Texts just below the limit: no table grows with the square of their number, whole lists and clusters are cut, no link is lost."""
+    for name, value in (("LARGE", 64), ("BLOCK", 64), ("SPAN", 100), ("FEW", 3)):
+        monkeypatch.setattr(minhash_dedup, name, value, raising=False)
+    counts, store = {}, minhash_dedup.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "stored", counted)
+    base, texts = [f"base{i}" for i in range(60)], []
+    for k in range(300):
+        w = list(base)
+        for i in rng.sample(range(60), 4):
+            w[i] = f"own{k}x{i}"
+        texts.append(" ".join(w))
+        if k % 10 == 0:
+            texts.append(" ".join([*w, "end"]))
+    got = rows(minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2))
+    root, _ = brute.near_duplicates(dict(enumerate(texts)))
+    assert len(set(root.values())) > 250
+    assert {k: r["component_id"] for k, r in got.items()} == root
+    assert max(counts.values()) <= 40 * len(texts), counts
+
+
 def test_components(spark):
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, 500 + i) for i in range(50)]
     want = brute.components({x for e in links for x in e}, links)

@@ -6,15 +6,14 @@
    ``matches`` such pairs: no partner.  Prefix: sorted by the length of their lists, the rarest
    (shared pairs - matches + 1) are enough to meet every partner with at least ``matches`` common pairs;
    the long lists are skipped.
-3. A class is first compared with the two smallest classes of its lists that have most collisions with
-   it; confirmed links make teams.  Then a class is compared with the large teams of a list in which it has
-   enough collisions with a member of any, and, with the teams that this makes, once more, together
-   with the small teams among each other.  A team is compared in blocks inside a task, which return at
-   most one link per class and block.  So a group of thousands of near copies costs about as many rows
-   as it has members, not their square.
-4. Pairs count as candidates only with ``matches`` collisions; lists carry four bits of each coordinate for
-   that, so a pair with enough common coordinates always passes.  Links are confirmed on the full
-   shingle sets: 100 * intersection >= percent * union.
+3. In a list, texts of fitting sizes with at least ``matches`` collisions belong together (lists carry four bits
+   of each coordinate for that, so a pair with enough common coordinates always passes); a task returns a spanning
+   forest of them, no pairs.  The components of the forests are clusters: a pair that may link is inside one.
+4. Small clusters are compared whole, many in one task.  In a large one a class first meets the heads, its parents
+   in the forests with most collisions; confirmed links make teams.  Then the classes outside the cluster's largest
+   team meet all the others, block by block.  A block returns the links that connect its teams.  So a group of thousands
+   of near copies makes about as many rows as it has members, times the blocks that it fills; not their square.
+5. Links are confirmed on the full shingle sets: 100 * intersection >= percent * union.
 
 With 32 coordinates and 13 matches, a pair at the limit of 0.8 has 25.6 expected collisions; the
 chance of fewer than 13 is 2e-7, and falls steeply above the limit.
@@ -26,6 +25,8 @@ share a component only if their texts link; an empty table gives no rows; other
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,11 @@ from textprep.llm.graph import components
 COORDINATES = 32
 MATCHES = 13
 PERCENT = 80
-BLOCK = 512  # classes of one component, and probes, that meet in one task
-HEADS = 2  # list heads with most collisions that a class is compared with at first
-LARGE = 64  # classes of a team from which it is compared as a whole
+BLOCK = 512  # members of one cluster, and probes, that meet in one task
+HEADS = 2  # parents with most collisions that a class of a large cluster is compared with at first
+LARGE = 512  # classes of a cluster from which it is not compared whole
+SPAN = 4096  # classes of a list that meet in one task
+FEW = 8  # classes of a list up to which its pairs are listed
 _SIGNED = "doc_id long, class long, n_shingles long, signature array<long>, sketch array<long>"
 _NIBBLES = 16  # coordinates in a 64-bit part of a sketch
 
@@ -116,15 +119,25 @@ def _lists(rows: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-def collisions(a: Column, b: Column, coordinates: int) -> Column:
-    """Coordinates whose four bits are equal in two sketches."""
-    differ = F.lit(0)
-    for i in range(coordinates // _NIBBLES):
-        x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return F.lit(coordinates) - differ
+def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Coordinates whose four bits are equal in two sketches, for each row."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    differ = np.bitwise_count(x & np.uint64(0x1111111111111111))
+    return a.shape[-1] * _NIBBLES - differ.sum(axis=-1, dtype=np.int64)
+
+
+def _fit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes of sets that can have the overlap."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _sketches(column, parts: int) -> np.ndarray:
+    import pyarrow as pa
+
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return a.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, parts)
 
 
 def signatures(docs: DataFrame, size: int = 2, coordinates: int = COORDINATES, key: Column | None = None) -> DataFrame:
@@ -136,14 +149,14 @@ def signatures(docs: DataFrame, size: int = 2, coordinates: int = COORDINATES, k
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """``(pair, class, sketch)``: the rarest coordinate-value pairs of each class that can have partners."""
+    """``(pair, class, sketch, n_shingles)``: the rarest coordinate-value pairs of each class that can have partners."""
     pairs = classes.select("class", F.explode("signature").alias("pair"))
     lengths = pairs.groupBy("pair").agg(F.count("*").alias("length")).where("length > 1")
     shared = pairs.join(lengths, "pair").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("length", "pair"))).alias("pairs"))
     shared = shared.where(F.size("pairs") >= matches)
     prefix = F.slice("pairs", F.lit(1), F.size("pairs") - F.lit(matches - 1))
-    prefix = shared.select("class", F.transform(prefix, lambda p: p["pair"]).alias("pairs")).join(classes.select("class", "sketch"), "class")
-    return prefix.select("class", "sketch", F.explode("pairs").alias("pair"))
+    prefix = shared.select("class", F.transform(prefix, lambda p: p["pair"]).alias("pairs")).join(classes.select("class", "sketch", "n_shingles"), "class")
+    return prefix.select("class", "sketch", "n_shingles", F.explode("pairs").alias("pair"))
 
 
 def _sets(size: int):
@@ -162,106 +175,187 @@ def _sets(size: int):
     return run
 
 
-def _confirm(matches: int, percent: int):
-    """Members of one component block against classes of other components: a link of each class that
-    has one, as soon as it is found."""
+def _forest(parts: int, matches: int, percent: int, few: int):
+    """Rows ``(list, class, n_shingles, sketch)``, a list's together: a spanning forest of each list's candidates, as (a, b, equal)."""
+
+    def pairs(sizes, starts):
+        """Row numbers of all pairs in lists of up to ``few`` classes."""
+        for n in range(2, few + 1):
+            at = starts[sizes == n]
+            if len(at):
+                x, y = np.triu_indices(n, 1)
+                yield (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
+
+    def search(n, sketch):
+        """Parent, child and collisions, breadth first."""
+        todo = np.arange(len(n))
+        while len(todo) > 1:
+            queue, todo = deque(todo[:1]), todo[1:]
+            while queue and len(todo):
+                x = queue.popleft()
+                equal = _collisions(sketch[todo], sketch[x])
+                near = (equal >= matches) & _fit(n[todo], n[x], percent)
+                if near.any():
+                    found = todo[near]
+                    yield np.full(len(found), x), found, equal[near]
+                    queue.extend(found)
+                    todo = todo[~near]
+
+    def edges(key, names, n, sketch):
+        order = np.lexsort((names, key))
+        key, names, n, sketch = key[order], names[order], n[order], sketch[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        out = []
+        for x, y in pairs(sizes, starts):
+            equal = _collisions(sketch[x], sketch[y])
+            near = (equal >= matches) & _fit(n[x], n[y], percent)
+            out.append((x[near], y[near], equal[near]))
+        for lo, size in zip(starts[sizes > few], sizes[sizes > few]):
+            out += [(lo + x, lo + y, equal) for x, y, equal in search(n[lo : lo + size], sketch[lo : lo + size])]
+        if not out:
+            return None
+        x, y, equal = (np.concatenate(c) for c in zip(*out))
+        # children are not always the larger ones; a pair is the same in all its lists
+        links = np.unique(np.stack([names[x], names[y], equal]), axis=1)
+        return links[:, links[0] != links[1]]
 
-    def run(key, members, probes):
+    def run(batches):
         import pyarrow as pa
 
+        def rows(c):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["a", "b", "equal"])
+
+        held = None
+        for batch in batches:
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [_sketches(batch.column(3), parts)]
+            held = part if held is None else [np.concatenate(c) for c in zip(held, part)]
+            ready = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if ready:
+                if (found := edges(*[c[:ready] for c in held])) is not None:
+                    yield rows(found)
+                held = [c[ready:] for c in held]
+        if held is not None and len(held[0]) and (found := edges(*held)) is not None:
+            yield rows(found)
+
+    return run
+
+
+def candidates(lists: DataFrame, parts: int, matches: int, percent: int) -> DataFrame:
+    """``(a, b, equal)``: links that connect all classes that are candidates of each other in some list.  A list of more than ``SPAN``
+    classes is cut into blocks, each pair of blocks a list of its own."""
+    long = lists.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > SPAN)
+    long = stored(long.select(F.col("pair").alias("_pair"), F.ceil(F.col("n") / SPAN).cast("int").alias("k")), "long")
+    rows = lists.join(broadcast_if_small(long, F.lit(12)), F.col("pair") == F.col("_pair"), "left")
+    own = F.pmod(F.xxhash64("class"), F.col("k")).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.xxhash64("pair", F.least(own, j), F.greatest(own, j)))
+    rows = rows.select(F.explode(F.when(F.col("k").isNull(), F.array("pair")).otherwise(blocks)).alias("list"), "class", "n_shingles", "sketch")
+    rows = rows.repartition("list").sortWithinPartitions("list")
+    return rows.mapInArrow(_forest(parts, matches, percent, FEW), "a long, b long, equal long").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+
+
+def _confirm(parts: int, matches: int, percent: int):
+    """Probes (side 1 or 3) against members (side 2 or 3) of other teams: links that connect all teams that any link connects."""
+
+    def run(table):
+        import pyarrow as pa
+
+        names = table.column("class").to_numpy()
+        side = table.column("side").to_numpy()
+        _, label = np.unique(table.column("team").to_numpy(), return_inverse=True)
+        sketch = _sketches(table.column("sketch"), parts)
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        codes, cuts = np.unique(np.concatenate(sets), return_inverse=True)[1], np.concatenate([[0], np.cumsum(sizes)])
+        codes = [codes[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        held = np.zeros(cuts[-1] + 1, np.int32)
+        members = np.flatnonzero(side & 2)
+        member_sizes, member_sketch, both_sides = sizes[members], sketch[members], side[members] == 3
         found = []
-        if members.num_rows and probes.num_rows:
-            names = members.column("class").to_pylist()
-            known = np.array([m for m in members.column("signature").to_pylist()])
-            sets = [np.frombuffer(b, np.uint64) for b in members.column("shingles").to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            for name, sig, raw in zip(probes.column("class").to_pylist(), probes.column("signature").to_pylist(), probes.column("shingles").to_pylist()):
-                own = np.frombuffer(raw, np.uint64)
-                n = (known == np.array(sig)).sum(axis=1)
-                fits = 100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))
-                close = np.flatnonzero((n >= matches) & fits)
-                for i in close[np.argsort(-n[close], kind="stable")]:
-                    both = len(np.intersect1d(own, sets[i], assume_unique=True))
-                    if 100 * both >= percent * (len(own) + sizes[i] - both):
-                        found.append((name, names[i]))
-                        break
+        for p in np.flatnonzero(side & 1):
+            near = (label[members] != label[p]) & (_collisions(member_sketch, sketch[p]) >= matches) & _fit(member_sizes, sizes[p], percent)
+            if side[p] == 3:
+                near &= ~both_sides | (members > p)
+            todo = members[near]
+            if not len(todo):
+                continue
+            held[codes[p]] = 1
+            starts = np.concatenate([[0], np.cumsum(sizes[todo])[:-1]])
+            common = np.add.reduceat(held[np.concatenate([codes[m] for m in todo])], starts)
+            held[codes[p]] = 0
+            for m in todo[100 * common >= percent * (sizes[p] + sizes[todo] - common)]:
+                if label[m] != label[p]:
+                    label[label == label[m]] = label[p]
+                    found.append((names[p], names[m]))
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _meet(members: DataFrame, probes: DataFrame, texts: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Links (a, b) between ``probes(team, class)`` and ``members(team, class)`` of the same team.  Teams
-    are cut into blocks of members and blocks of probes, each pair of blocks one group."""
-    sizes = members.groupBy("team").agg(F.count("*").alias("m")).join(probes.groupBy("team").agg(F.count("*").alias("p")), "team")
-    sizes = sizes.select("team", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("p") / BLOCK).cast("int").alias("pb"))
-    own = members.join(sizes, "team").select(
-        "team", "class", F.pmod(F.xxhash64("class"), F.col("mb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j")
-    )
-    other = probes.join(sizes, "team").select(
-        "team", "class", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod(F.xxhash64("class"), F.col("pb")).cast("int").alias("j")
-    )
-    keys = ["team", "i", "j"]
-    left, right = own.join(texts, "class"), other.join(texts, "class")
-    right = right.toDF(*right.columns)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_confirm(matches, percent), "a long, b long")
+def _meet(rows: DataFrame, texts: DataFrame, parts: int, matches: int, percent: int) -> DataFrame:
+    """Links (a, b) inside the groups of ``rows(key, class, team, side)``."""
+    rows = rows.join(texts, "class").select("key", "class", "team", "side", "sketch", "shingles")
+    return rows.groupBy("key").applyInArrow(_confirm(parts, matches, percent), "a long, b long")
+
+
+def _side(rows: DataFrame, key: Column, team: Column, side: int) -> DataFrame:
+    return rows.select(key.alias("key"), "class", team.alias("team"), F.lit(side).alias("side"))
 
 
 def _texts(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Stored ``(class, signature, shingles)`` of the ``wanted(class)``, made again from one text of each."""
-    holder = signed.join(wanted, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    """Stored ``(class, sketch, shingles)`` of the ``wanted(class)``, made again from one text of each."""
+    holder = signed.join(wanted, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     holder = stored(holder, "holders")
     ids = broadcast_if_small(holder.select(F.col("doc_id").alias("_id")).distinct(), F.lit(16))
     text = null_safe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, {"doc_id": "_id"}, "left_semi").select("text")
     sets = text.mapInArrow(_sets(size), "class long, shingles binary")
     # by class once more: of several rows with a holder's id, only those with its text count
-    return stored(sets.join(holder.select("class", "signature"), "class"), "sets")
+    return stored(sets.join(holder.select("class", "sketch"), "class"), "sets")
 
 
 def links(docs: DataFrame, signed: DataFrame, size: int, coordinates: int, matches: int, percent: int) -> DataFrame:
     """Links between classes that connect all classes connected by any link."""
-    first = signed.where("class IS NOT NULL").groupBy("class").agg(F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    parts = coordinates // _NIBBLES
+    first = signed.where("class IS NOT NULL").groupBy("class")
+    first = first.agg(*[F.first(c).alias(c) for c in ("signature", "sketch", "n_shingles")])
     lists = stored(postings(first, matches), "postings")
-    enough = lambda a, b: collisions(F.col(a), F.col(b), coordinates) >= matches
-
-    heads = lists.groupBy("pair").agg(F.min(F.struct("class", "sketch")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    lists = stored(lists.join(heads.drop("n"), "pair"), "lists")
-    near_heads = lists.where(F.col("class") != F.col("head.class")).withColumn("equal", collisions(F.col("sketch"), F.col("head.sketch"), coordinates))
-    near_heads = near_heads.where(F.col("equal") >= matches).select("class", F.struct((-F.col("equal")).alias("less"), F.col("head.class").alias("team")).alias("head"))
-    # a class has as many heads as prefix pairs at most; the most promising ones go first
-    best = near_heads.groupBy("class").agg(F.slice(F.sort_array(F.collect_set("head")), 1, HEADS).alias("heads"))
-    probes = stored(best.select("class", F.explode("heads.team").alias("team")), "probes")
-    texts = _texts(docs, signed, probes.select(F.explode(F.array("team", "class")).alias("class")).distinct(), size)
-    members = probes.select("team", F.col("team").alias("class")).distinct()
-    near = stored(_meet(members, probes, texts, matches, percent), "near")
-
-    def compare(found: DataFrame, small: bool) -> DataFrame:
-        """Links between the teams that ``found`` makes: of classes with large teams, and between small teams."""
-        teams = components(found)
-        sizes = teams.groupBy("root").agg(F.count("*").alias("n"))
-        teams = stored(teams.join(sizes, "root"), "teams")
-        placed = lists.join(teams, lists["class"] == teams["node"], "left")
-        placed = placed.select("pair", "class", "sketch", F.coalesce("root", "class").alias("team"), F.coalesce("n", F.lit(1)).alias("n"))
-        placed = stored(placed, "placed")
-        x, y = (placed.select(*[F.col(c).alias(f"{c}_{k}") for c in ("pair", "class", "sketch", "team", "n")]) for k in "xy")
-        meets = (F.col("pair_x") == F.col("pair_y")) & (F.struct("n_x", "team_x") < F.struct("n_y", "team_y"))
-        # a class that has enough collisions with any member of a large team in a list, once for each large team there
-        large = y.where(F.col("n_y") >= LARGE)
-        guests = x.join(large, meets & enough("sketch_x", "sketch_y"), "left_semi")
-        guests = guests.join(large.select("pair_y", "n_y", "team_y").distinct(), meets)
-        guests = guests.select(F.col("team_y").alias("team"), F.col("class_x").alias("class"))
-        if small:
-            pairs = x.where(F.col("n_x") < LARGE).join(y.where(F.col("n_y") < LARGE), meets & enough("sketch_x", "sketch_y"))
-            guests = guests.unionByName(pairs.select(F.col("team_y").alias("team"), F.col("class_x").alias("class")))
-        guests = stored(guests.distinct(), "guests")
-        members = placed.select("team", "class").distinct().join(guests.select("team").distinct(), "team")
-        members = stored(members, "members")
-        texts = _texts(docs, signed, members.select("class").union(guests.select("class")).distinct(), size)
-        return stored(found.unionByName(_meet(members, guests, texts, matches, percent)), "links")
-
-    # the large teams first: what joins them is no longer compared one by one
-    return compare(compare(near, small=False), small=True)
+    edges = stored(candidates(lists, parts, matches, percent), "candidates")
+    clusters = components(edges).toDF("class", "cluster")
+    clusters = stored(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"), "clusters")
+    texts = _texts(docs, signed, clusters.select("class"), size)
+    small, large = clusters.where(F.col("n") <= LARGE), clusters.where(F.col("n") > LARGE)
+    # small clusters share tasks; what meets there beyond its cluster is only compared for nothing
+    whole = _side(small, F.pmod(F.xxhash64("cluster"), F.lit(small.count() // BLOCK + 1)), F.col("class"), 3)
+    heads = edges.select(F.col("b").alias("class"), F.struct((-F.col("equal")).alias("less"), F.col("a").alias("team")).alias("head"))
+    heads = heads.join(large.select("class"), "class").groupBy("class").agg(F.slice(F.sort_array(F.collect_list("head")), 1, HEADS).alias("heads"))
+    heads = stored(heads.select("class", F.explode("heads.team").alias("head")), "heads")
+    tasks = F.lit(heads.count() // BLOCK + 1)
+    blocks = stored(heads.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "blocks")
+    one = F.col("k") == 1
+    task = lambda i: F.when(one, F.pmod(F.xxhash64("head"), tasks)).otherwise(F.xxhash64("head", i))
+    probes = _side(heads.join(blocks, "head"), task(F.pmod(F.xxhash64("class"), F.col("k")).cast("int")), F.col("class"), 1)
+    head_rows = blocks.select(F.col("head").alias("class"), "head", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    head_rows = _side(head_rows, task(F.col("i")), F.col("class"), 2)
+    # keys of the two kinds may be equal, too
+    rows = whole.select(F.xxhash64(F.lit("whole"), "key").alias("key"), "class", "team", "side").unionByName(probes).unionByName(head_rows)
+    near = stored(_meet(rows, texts, parts, matches, percent), "near")
+
+    teams = components(near)
+    teams = large.join(teams, large["class"] == teams["node"], "left").select("cluster", "class", F.coalesce("root", "class").alias("team"))
+    teams = stored(teams, "teams")
+    counts = teams.groupBy("cluster", "team").agg(F.count("*").alias("n")).groupBy("cluster")
+    counts = counts.agg(F.max_by("team", F.struct("n", "team")).alias("largest"), F.sum("n").alias("m"), F.max("n").alias("most"))
+    counts = counts.where("m > most").select(
+        "cluster", "largest", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("pb")
+    )
+    open_ = teams.join(counts, "cluster")
+    place = lambda k: F.pmod(F.xxhash64("class"), F.col(k)).cast("int")
+    others = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias("other")
+    members = _side(open_.select("*", others("pb")), F.xxhash64("cluster", place("mb"), "other"), F.col("team"), 2)
+    guests = open_.where("team <> largest").select("*", others("mb"))
+    guests = _side(guests, F.xxhash64("cluster", "other", place("pb")), F.col("team"), 1)
+    return stored(near.unionByName(_meet(members.unionByName(guests), texts, parts, matches, percent)), "links")
 
 
 def near_duplicates(
