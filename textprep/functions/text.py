@@ -43,12 +43,19 @@ def _c(x) -> Column:
 def clean_text_full(c, entity_mode: str = "compat") -> Column:
     """Entities, ``<br>``, non-word runs, strip.  ``entity_mode='strict'`` uses a
     non-greedy entity pattern instead of the reference's greedy one."""
+    return F.trim(F.regexp_replace(_without_entities(c, entity_mode), NON_WORD_RUN, " "))
+
+
+def _without_entities(c, entity_mode: str) -> Column:
     pattern = GREEDY_ENTITY if entity_mode == "compat" else STRICT_ENTITY
-    s = F.regexp_replace(_c(c), AMP_ENTITY, "&")
-    s = F.regexp_replace(s, pattern, " ")
-    s = F.regexp_replace(s, BR_TAG, " ")
-    s = F.regexp_replace(s, NON_WORD_RUN, " ")
-    return F.trim(s)
+    s = F.regexp_replace(F.replace(_c(c), F.lit(AMP_ENTITY), F.lit("&")), pattern, " ")
+    s = F.when(F.contains(_c(c), F.lit("&")), s).otherwise(_c(c))  # most texts have none
+    return F.replace(s, F.lit(BR_TAG), F.lit(" "))
+
+
+def clean_words(c, entity_mode: str = "compat") -> Column:
+    """The words of a text cleaned by P12, cut at the non-word runs without writing the cleaned text first."""
+    return F.array_remove(F.split(_without_entities(c, entity_mode), NON_WORD_RUN), "")
 
 
 def clean_text_basic(c) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textprep.functions.text import clean_text_full, split_words
+from textprep.functions.text import clean_words, split_words
 from textprep.operators.ranking import global_offsets, global_rank
 from textprep.session import checkpointed
 
@@ -43,8 +43,7 @@ def build_vocab(texts: DataFrame, text_col: str = "text", clean: bool = True, sp
     """Corpus vocabulary ``(token, id, count)``: specials first, then words by
     ``(-count, word)``.  Counting is a partial aggregation; ids come from a distributed global
     rank (no single-partition window)."""
-    t = clean_text_full(text_col) if clean else F.col(text_col)
-    words = texts.select(F.explode(split_words(t, cleaned=clean)).alias("token"))
+    words = texts.select(F.explode(clean_words(text_col) if clean else split_words(text_col)).alias("token"))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_count)
     ranked = global_rank(counts, [F.col("count").desc(), F.col("token")], rank_col="_r")
     spark = texts.sparkSession
@@ -263,12 +262,14 @@ def encode_corpus(
     max_bytes: int = VOCAB_BYTES,
     longest: int | None = None,
 ) -> DataFrame:
-    """Text -> ``input_ids``, ``attention_mask``.  Truncated to ``max_len`` (specials included),
+    """Text, or its words as an array -> ``input_ids``, ``attention_mask``.  Truncated to ``max_len`` (specials included),
     padded to the longest row of the whole frame, which follows from the word counts alone; a caller who knows the
     words of the longest row (:func:`textprep.operators.chunks.longest_chunk`) says so, and the frame is made once."""
     keys = list(key_cols)
     body = max_len - (2 if add_special_tokens else 0)
-    words = F.slice(split_words(F.coalesce(F.col(text_col), F.lit(""))), 1, body)
+    is_text = isinstance(df.schema[text_col].dataType, T.StringType)
+    words = split_words(F.coalesce(F.col(text_col), F.lit(""))) if is_text else F.coalesce(F.col(text_col), F.array().cast("array<string>"))
+    words = F.slice(words, 1, body)
     other = [c for c in df.columns if c not in keys and c != text_col]
     if _bytes(vocab, "token") <= max_bytes:
         enc = df.withColumn("_ids", _mapper(vocab, 1, UNK_ID)(words))

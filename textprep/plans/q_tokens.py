@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textprep.functions.text import DIGIT_CLASS, clean_text_full, normalise_text, repair_digit_comma, sentences, word_pieces
+from textprep.functions.text import DIGIT_CLASS, clean_text_full, clean_words, normalise_text, repair_digit_comma, sentences, word_pieces
 from textprep.operators import mlm as LM
 from textprep.operators import tokens as TK
 from textprep.operators.chunks import explode_chunks, longest_chunk
@@ -232,8 +232,8 @@ def q_t13_buckets(spark, sf_dir):
     """Documents padded inside four length buckets; what is counted are the pads of the padded rows."""
     from textprep.operators import padding as P
 
-    d = read_table(spark, sf_dir, "documents").select("doc_id", clean_text_full("text").alias("text"))
-    d = TK.encode_corpus(d, corpus_vocab(spark, sf_dir), ["doc_id"], "text", max_len=1 << 30, padding=False).drop("attention_mask")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", clean_words("text").alias("words"))
+    d = TK.encode_corpus(d, corpus_vocab(spark, sf_dir), ["doc_id"], "words", max_len=1 << 30, padding=False).drop("attention_mask")
     b = P.bucketed_batches(d, "input_ids", 32, ["doc_id"], buckets=4)
     real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     sums = b.select(F.size("input_ids").cast("long").alias("p"), real.cast("long").alias("x"))
