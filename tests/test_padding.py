@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textprep.operators import padding as P
+from textprep.operators import tokens as TK
 
 
 def pads(lengths, counts, borders):
@@ -59,3 +60,15 @@ def test_empty(spark):
     assert P.bucketed_batches(df, "ids", 4, ["k"]).collect() == []
     with pytest.raises(ValueError):
         P.length_borders(df.withColumn("n", F.size("ids")), "n", 0)
+
+
+def test_text_ids_get_text_pads(spark):
+    rows = [(0, [5, 6, 7]), (1, []), (2, [9]), (3, None)]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").withColumn("labels", F.col("ids"))
+    text = df.select("k", *[F.col(c).cast("array<string>").alias(c) for c in ("ids", "labels")])
+    one, two = (TK.pad_right(d, "ids", 5, TK.PAD_ID, "mask", "labels", TK.IGNORE_LABEL) for d in (df, text))
+    assert [two.schema[c].dataType.elementType.simpleString() for c in ("ids", "labels", "mask")] == ["string"] * 3
+    strings = [F.size("ids")] + [TK.ids_string(c) for c in ("ids", "labels", "mask")]
+    found = two.select("k", *strings).orderBy("k").collect()
+    assert found == one.select("k", *strings).orderBy("k").collect()
+    assert tuple(found[0])[1:] == (5, "5 6 7 0 0", "5 6 7 -100 -100", "1 1 1 0 0")

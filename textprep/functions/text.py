@@ -107,10 +107,9 @@ def sentences(cols, clean: bool = True, entity_mode: str = "compat") -> Column:
     concatenated over the columns in order.  Null columns contribute nothing."""
     parts = [F.coalesce(F.split(_c(c), "\n"), F.array().cast("array<string>")) for c in cols]
     arr = F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
-    arr = F.filter(F.transform(arr, lambda s: py_strip(s)), lambda s: F.length(s) > 0)
-    if clean:
-        arr = F.filter(F.transform(arr, lambda s: clean_text_full(s, entity_mode)), lambda s: F.length(s) > 0)
-    return arr
+    # cleaning strips too: whitespace at the ends is part of a non-word run and of no entity
+    each = (lambda s: clean_text_full(s, entity_mode)) if clean else py_strip
+    return F.filter(F.transform(arr, lambda s: each(s)), lambda s: F.length(s) > 0)
 
 
 def concat_text(cols, fill: str = " ") -> Column:

@@ -286,13 +286,19 @@ def encode_corpus(
 def pad_right(df: DataFrame, col: str, length: int | Column, pad_value: int = PAD_ID, mask_col: str = "attention_mask",
               label_col: str | None = None, label_pad: int = IGNORE_LABEL) -> DataFrame:
     """Right-pad ``col`` (and optionally labels with ``label_pad``) to ``length`` (a number, or a
-    column with each row's own); the mask is ones over the real tokens and zeros over the pads."""
+    column with each row's own); the mask is ones over the real tokens and zeros over the pads.  Of ids that
+    are written as text already, pads and mask are text too, so that no pad is turned into text one by one."""
     n = F.size(col)
     k = F.greatest((length if isinstance(length, Column) else F.lit(length)) - n, F.lit(0))
-    out = df.withColumn(mask_col, F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), k)))
+
+    def repeated(like: str, value: int, times: Column) -> Column:
+        text = isinstance(df.schema[like].dataType.elementType, T.StringType)
+        return F.array_repeat(F.lit(str(value) if text else value), times)
+
+    out = df.withColumn(mask_col, F.concat(repeated(col, 1, n), repeated(col, 0, k)))
     if label_col:
-        out = out.withColumn(label_col, F.concat(F.col(label_col), F.array_repeat(F.lit(label_pad), k)))
-    return out.withColumn(col, F.concat(F.col(col), F.array_repeat(F.lit(pad_value), k)))
+        out = out.withColumn(label_col, F.concat(F.col(label_col), repeated(label_col, label_pad, k)))
+    return out.withColumn(col, F.concat(F.col(col), repeated(col, pad_value, k)))
 
 
 def encode_with(tokenize: Callable[[list[str]], list[list[int]]]) -> Callable:
@@ -307,15 +313,16 @@ def encode_with(tokenize: Callable[[list[str]], list[list[int]]]) -> Callable:
 
 # --- T2: per-sentence encoding -------------------------------------------------------------------
 
-def encode_sentences(df: DataFrame, vocab: DataFrame, key_col: str, sentences_col: str = "sents", max_bytes: int = VOCAB_BYTES) -> DataFrame:
+def encode_sentences(df: DataFrame, vocab: DataFrame, key_col: str, sentences_col: str = "sents", max_bytes: int = VOCAB_BYTES,
+                     cleaned: bool = False) -> DataFrame:
     """A list of sentences per row -> ``toks`` (ids per sentence), ``tok_lens``, ``tot_len``
-    and ``ixs = 0..n-1``; no padding, truncation or specials."""
+    and ``ixs = 0..n-1``; no padding, truncation or specials.  ``cleaned`` as for :func:`split_words`."""
     sents = F.coalesce(F.col(sentences_col), F.array().cast("array<string>"))
     other = [c for c in df.columns if c not in (key_col, sentences_col)]
     if _bytes(vocab, "token") <= max_bytes:
-        out = df.select(key_col, *other, _mapper(vocab, 2, UNK_ID)(F.transform(sents, lambda s: split_words(s))).alias("toks"))
+        out = df.select(key_col, *other, _mapper(vocab, 2, UNK_ID)(F.transform(sents, lambda s: split_words(s, cleaned))).alias("toks"))
     else:
-        out = _ids_of_large(df, vocab, [key_col, *other], F.transform(sents, lambda s: split_words(s)), "toks", max_bytes, depth=2)
+        out = _ids_of_large(df, vocab, [key_col, *other], F.transform(sents, lambda s: split_words(s, cleaned)), "toks", max_bytes, depth=2)
     out = out.withColumn("tok_lens", F.transform("toks", lambda t: F.size(t)))
     out = out.withColumn("tot_len", F.aggregate("tok_lens", F.lit(0), lambda a, x: a + x))
     out = out.withColumn("ixs", F.when(F.size("toks") > 0, F.sequence(F.lit(0), F.size("toks") - 1)).otherwise(F.array().cast("array<int>")))

@@ -175,7 +175,7 @@ def sentence_tokens(spark, sf_dir):
 
     def compute():
         d = read_table(spark, sf_dir, "documents").select("doc_id", sentences(["text"]).alias("sents"))
-        return TK.encode_sentences(d, corpus_vocab(spark, sf_dir), "doc_id", "sents")
+        return TK.encode_sentences(d, corpus_vocab(spark, sf_dir), "doc_id", "sents", cleaned=True)
 
     return with_cache(spark, f"{cache_root(spark)}/sentence_tokens/{key}", compute)
 
@@ -423,7 +423,8 @@ def q_t13(spark, sf_dir):
     mask 1s then 0s."""
     t = sentence_tokens(spark, sf_dir)
     longest = t.agg(F.max("tot_len")).first()[0] or 0
-    t = t.select("doc_id", LM.shuffle_sentences("toks", "doc_id").alias("ids"))
+    # pads outnumber the ids many times: ids are written as text before they are padded, and the pads are text from the start
+    t = t.select("doc_id", LM.shuffle_sentences("toks", "doc_id").cast("array<string>").alias("ids"))
     p = TK.pad_right(t.withColumn("labels", F.col("ids")), "ids", longest, TK.PAD_ID, "mask", "labels", TK.IGNORE_LABEL)
     return p.select("doc_id", F.size("ids").cast("long").alias("padded_len"), F.md5(TK.ids_string("ids")).alias("ids_md5"),
                     F.md5(TK.ids_string("labels")).alias("labels_md5"), F.md5(TK.ids_string("mask")).alias("mask_md5"))
