@@ -207,6 +207,32 @@ def test_minhash_dedup_rows_of_unlinked_families(spark, monkeypatch):
     assert max(counts.values()) <= 40 * len(texts), counts
 
 
+@pytest.mark.parametrize("own", [24, 4])
+def test_minhash_dedup_rows_of_texts_with_a_common_line(spark, monkeypatch, own):
+    """Texts that share a line but few of which link make one cluster: their rows are not its size times its blocks.  Where
+    lists of shingles make more rows than blocks (4 words of their own), blocks remain.  No link is lost either way."""
+    for name, value in (("LARGE", 64), ("BLOCK", 16), ("WIDE", 2)):
+        monkeypatch.setattr(minhash_dedup, name, value, raising=False)
+    counts, meet = [], minhash_dedup._meet
+
+    def counted(table, *more):
+        counts.append(table.count())
+        return meet(table, *more)
+
+    monkeypatch.setattr(minhash_dedup, "_meet", counted)
+    base, texts = [f"base{i}" for i in range(60 - own)], []
+    for k in range(330):
+        w = [f"own{k}x{i}" for i in range(own)]
+        texts.append(" ".join(base + w if own > 9 else base[: k % 50] + w + base[k % 50 :]))
+        if k % 10 == 0:
+            texts += [texts[-1] + " end", "start " + texts[-1]]
+    got = rows(minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2))
+    root, _ = brute.near_duplicates(dict(enumerate(texts)))
+    assert {k: r["component_id"] for k, r in got.items()} == root
+    if own == 24:
+        assert len(set(root.values())) == 330 and counts[-1] <= 6 * len(texts), counts
+
+
 def test_components(spark):
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, 500 + i) for i in range(50)]
     want = brute.components({x for e in links for x in e}, links)

@@ -13,6 +13,10 @@
    in the forests with most collisions; confirmed links make teams.  Then the classes outside the cluster's largest
    team meet all the others, block by block.  A block returns the links that connect its teams.  So a group of thousands
    of near copies makes about as many rows as it has members, times the blocks that it fills; not their square.
+   Many texts that only share some lines can make a cluster of any size, with few links and so as many teams as classes.
+   In a cluster of many blocks the full sets are therefore posted under their rarest shingles as in 2., as many as two sets
+   must share one of to reach the limit (exact, no chance involved).  If the lists make fewer rows than
+   the blocks, the classes meet in them instead.
 5. Links are confirmed on the full shingle sets: 100 * intersection >= percent * union.
 
 With 32 coordinates and 13 matches, a pair at the limit of 0.8 has 25.6 expected collisions; the
@@ -42,6 +46,8 @@ HEADS = 2  # parents with most collisions that a class of a large cluster is com
 LARGE = 512  # classes of a cluster from which it is not compared whole
 SPAN = 4096  # classes of a list that meet in one task
 FEW = 8  # classes of a list up to which its pairs are listed
+WIDE = 8  # blocks of a cluster from which lists of shingles are tried
+GRAMS = 1 << 20  # shingles in an Arrow batch
 _SIGNED = "doc_id long, class long, n_shingles long, signature array<long>, sketch array<long>"
 _NIBBLES = 16  # coordinates in a 64-bit part of a sketch
 
@@ -150,15 +156,24 @@ def signatures(docs: DataFrame, size: int = 2, coordinates: int = COORDINATES, k
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     """``(pair, class, sketch, n_shingles)``: the rarest coordinate-value pairs of each class that can have partners."""
-    pairs = classes.select("class", F.explode("signature").alias("pair"))
-    lengths = pairs.groupBy("pair").agg(F.count("*").alias("length")).where("length > 1")
-    shared = pairs.join(lengths, "pair").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("length", "pair"))).alias("pairs"))
-    shared = shared.where(F.size("pairs") >= matches)
-    prefix = F.slice("pairs", F.lit(1), F.size("pairs") - F.lit(matches - 1))
-    prefix = shared.select("class", F.transform(prefix, lambda p: p["pair"]).alias("pairs")).join(classes.select("class", "sketch", "n_shingles"), "class")
+    shared = _shared(classes.select("class", F.explode("signature").alias("pair")))
+    prefix = _rarest(shared, F.lit(matches)).join(classes.select("class", "sketch", "n_shingles"), "class")
     return prefix.select("class", "sketch", "n_shingles", F.explode("pairs").alias("pair"))
 
 
+def _shared(pairs: DataFrame) -> DataFrame:
+    """``(class, pairs)``: those of ``pairs(class, pair)`` that other classes have too, by the length of their lists."""
+    lengths = pairs.groupBy("pair").agg(F.count("*").alias("length")).where("length > 1")
+    return pairs.join(lengths, "pair").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("length", "pair"))).alias("pairs"))
+
+
+def _rarest(shared: DataFrame, least: Column) -> DataFrame:
+    """``(class, pairs)``: the first of the pairs, enough to meet every class with ``least`` common ones."""
+    # not below 0, as Spark may take the slice before the filter
+    prefix = F.slice("pairs", F.lit(1), F.greatest(F.size("pairs") - least + F.lit(1), F.lit(0)))
+    return shared.where(F.size("pairs") >= least).select("class", F.transform(prefix, lambda p: p["pair"]).alias("pairs"))
+
+
 def _sets(size: int):
     def run(batches):
         import pyarrow as pa
@@ -175,6 +190,24 @@ def _sets(size: int):
     return run
 
 
+def _grams(batches):
+    """Rows ``(cluster, class, shingles)`` as (class, pair), a pair for each shingle in its cluster."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        cluster, names = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 8
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GRAMS, side="right")))
+            grams = np.frombuffer(b"".join(batch.column(2).slice(lo, hi - lo).to_pylist()), np.uint64)
+            pair = mix(grams ^ np.repeat(mix(cluster[lo:hi].view(np.uint64)), sizes[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[lo:hi], sizes[lo:hi])), pa.array(pair.view(np.int64))], ["class", "pair"])
+            lo = hi
+
+
 def _forest(parts: int, matches: int, percent: int, few: int):
     """Rows ``(list, class, n_shingles, sketch)``, a list's together: a spanning forest of each list's candidates, as (a, b, equal)."""
 
@@ -303,6 +336,20 @@ def _side(rows: DataFrame, key: Column, team: Column, side: int) -> DataFrame:
     return rows.select(key.alias("key"), "class", team.alias("team"), F.lit(side).alias("side"))
 
 
+def _by_shingles(teams: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Stored ``(cluster, pair, class, team, n, k)``: the classes of ``teams(cluster, class, team)`` under the rarest of their shingles, as
+    many as two sets that may link share one of; lists of one team are left out.  ``n`` classes of a list fill ``k`` blocks."""
+    sets = teams.join(texts, "class")
+    n = F.octet_length("shingles") / 8
+    least = sets.select("class", F.ceil(n * percent / 100).cast("int").alias("least")).distinct()
+    shared = _shared(sets.select("cluster", "class", "shingles").mapInArrow(_grams, "class long, pair long"))
+    prefix = _rarest(shared.join(least, "class"), F.col("least"))
+    lists = stored(teams.join(prefix.select("class", F.explode("pairs").alias("pair")), "class"), "lists")
+    met = lists.groupBy("pair").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high")).where("low < high")
+    met = met.select("pair", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+    return stored(lists.join(met, "pair").select("cluster", "pair", "class", "team", "n", "k"), "met")
+
+
 def _texts(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Stored ``(class, sketch, shingles)`` of the ``wanted(class)``, made again from one text of each."""
     holder = signed.join(wanted, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
@@ -347,15 +394,28 @@ def links(docs: DataFrame, signed: DataFrame, size: int, coordinates: int, match
     counts = teams.groupBy("cluster", "team").agg(F.count("*").alias("n")).groupBy("cluster")
     counts = counts.agg(F.max_by("team", F.struct("n", "team")).alias("largest"), F.sum("n").alias("m"), F.max("n").alias("most"))
     counts = counts.where("m > most").select(
-        "cluster", "largest", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("pb")
+        "cluster", "largest", "m", "most", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("pb")
     )
-    open_ = teams.join(counts, "cluster")
+    counts = stored(counts.withColumn("met", F.col("m") * F.col("pb") + (F.col("m") - F.col("most")) * F.col("mb")), "counts")
+    lists = _by_shingles(teams.join(counts.where(F.col("pb") > WIDE).select("cluster"), "cluster").select("cluster", "class", "team"), texts, percent)
+    cost = lists.groupBy("cluster").agg(F.sum("k").alias("listed"))
+    wide = counts.where(F.col("pb") > WIDE).join(cost, "cluster", "left").where(F.coalesce("listed", F.lit(0)) < F.col("met"))
+    wide = stored(wide.select("cluster"), "wide")
+    lists = lists.join(wide, "cluster", "left_semi")
+    # short lists share tasks, long ones are cut into blocks
+    tasks = F.lit(lists.where("k = 1").count() // BLOCK + 1)
+    own = F.pmod(F.xxhash64("class"), F.col("k")).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.xxhash64("pair", F.least(own, j), F.greatest(own, j)))
+    met = lists.select(F.explode(F.when(one, F.array(F.pmod(F.xxhash64("pair"), tasks))).otherwise(pieces)).alias("key"), "class", "team")
+    met = met.select(F.xxhash64(F.lit("lists"), "key").alias("key"), "class", "team", F.lit(3).alias("side")).distinct()
+    open_ = teams.join(counts, "cluster").join(wide, "cluster", "left_anti")
     place = lambda k: F.pmod(F.xxhash64("class"), F.col(k)).cast("int")
     others = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias("other")
     members = _side(open_.select("*", others("pb")), F.xxhash64("cluster", place("mb"), "other"), F.col("team"), 2)
     guests = open_.where("team <> largest").select("*", others("mb"))
     guests = _side(guests, F.xxhash64("cluster", "other", place("pb")), F.col("team"), 1)
-    return stored(near.unionByName(_meet(members.unionByName(guests), texts, parts, matches, percent)), "links")
+    rows = members.unionByName(guests).unionByName(met)
+    return stored(near.unionByName(_meet(rows, texts, parts, matches, percent)), "links")
 
 
 def near_duplicates(
