@@ -161,10 +161,10 @@ def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     return prefix.select("class", "sketch", "n_shingles", F.explode("pairs").alias("pair"))
 
 
-def _shared(pairs: DataFrame) -> DataFrame:
-    """``(class, pairs)``: those of ``pairs(class, pair)`` that other classes have too, by the length of their lists."""
+def _shared(pairs: DataFrame, *more: Column) -> DataFrame:
+    """``(class, pairs)``: those of ``pairs(class, pair)`` that other classes have too, by the length of their lists; ``more`` aggregates."""
     lengths = pairs.groupBy("pair").agg(F.count("*").alias("length")).where("length > 1")
-    return pairs.join(lengths, "pair").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("length", "pair"))).alias("pairs"))
+    return pairs.join(lengths, "pair").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("length", "pair"))).alias("pairs"), *more)
 
 
 def _rarest(shared: DataFrame, least: Column) -> DataFrame:
@@ -190,22 +190,28 @@ def _sets(size: int):
     return run
 
 
-def _grams(batches):
-    """Rows ``(cluster, class, shingles)`` as (class, pair), a pair for each shingle in its cluster."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
+def _grams(percent: int):
+    """Rows ``(cluster, class, shingles)`` as (class, pair, least): a pair for each shingle in its cluster, and how many two linked sets share at least."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    for batch in batches:
-        cluster, names = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 8
-        ends = np.cumsum(sizes)
-        lo = 0
-        while lo < len(sizes):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GRAMS, side="right")))
-            grams = np.frombuffer(b"".join(batch.column(2).slice(lo, hi - lo).to_pylist()), np.uint64)
-            pair = mix(grams ^ np.repeat(mix(cluster[lo:hi].view(np.uint64)), sizes[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[lo:hi], sizes[lo:hi])), pa.array(pair.view(np.int64))], ["class", "pair"])
-            lo = hi
+        for batch in batches:
+            cluster, names = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            ends, least = np.cumsum(sizes), -(-percent * sizes // 100)
+            lo = 0
+            while lo < len(sizes):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GRAMS, side="right")))
+                grams = np.frombuffer(b"".join(batch.column(2).slice(lo, hi - lo).to_pylist()), np.uint64)
+                each = np.repeat(np.arange(lo, hi), sizes[lo:hi])
+                pair = mix(grams ^ mix(cluster.view(np.uint64))[each]).view(np.int64)
+                columns = [pa.array(names[each]), pa.array(pair), pa.array(least[each], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "pair", "least"])
+                lo = hi
+
+    return run
 
 
 def _forest(parts: int, matches: int, percent: int, few: int):
@@ -339,11 +345,9 @@ def _side(rows: DataFrame, key: Column, team: Column, side: int) -> DataFrame:
 def _by_shingles(teams: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Stored ``(cluster, pair, class, team, n, k)``: the classes of ``teams(cluster, class, team)`` under the rarest of their shingles, as
     many as two sets that may link share one of; lists of one team are left out.  ``n`` classes of a list fill ``k`` blocks."""
-    sets = teams.join(texts, "class")
-    n = F.octet_length("shingles") / 8
-    least = sets.select("class", F.ceil(n * percent / 100).cast("int").alias("least")).distinct()
-    shared = _shared(sets.select("cluster", "class", "shingles").mapInArrow(_grams, "class long, pair long"))
-    prefix = _rarest(shared.join(least, "class"), F.col("least"))
+    classes = broadcast_if_small(teams.select("cluster", "class"), F.lit(16))  # else the sets of all clusters are shuffled
+    pairs = texts.join(classes, "class").select("cluster", "class", "shingles").mapInArrow(_grams(percent), "class long, pair long, least int")
+    prefix = _rarest(_shared(pairs, F.max("least").alias("least")), F.col("least"))
     lists = stored(teams.join(prefix.select("class", F.explode("pairs").alias("pair")), "class"), "lists")
     met = lists.groupBy("pair").agg(F.count("*").alias("n"), F.min("team").alias("low"), F.max("team").alias("high")).where("low < high")
     met = met.select("pair", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
