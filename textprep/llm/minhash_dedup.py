@@ -334,7 +334,8 @@ def _confirm(parts: int, matches: int, percent: int):
 
 def _meet(rows: DataFrame, texts: DataFrame, parts: int, matches: int, percent: int) -> DataFrame:
     """Links (a, b) inside the groups of ``rows(key, class, team, side)``."""
-    rows = rows.join(texts, "class").select("key", "class", "team", "side", "sketch", "shingles")
+    rows = broadcast_if_small(stored(rows, "rows"), F.lit(32))  # else all sets are shuffled once more
+    rows = texts.join(rows, "class").select("key", "class", "team", "side", "sketch", "shingles")
     return rows.groupBy("key").applyInArrow(_confirm(parts, matches, percent), "a long, b long")
 
 
